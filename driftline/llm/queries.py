@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from driftline.llm import bpe, chat_format, exact_dedup, jaccard_join, packing, quality_rules, wrappers
+from driftline.llm import bpe, chat_format, exact_dedup, jaccard_join, packing, quality_rules, toxicity, wrappers
 from driftline.llm._tables import ship, table
 
 
@@ -18,6 +18,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
+
+
 def op4_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return wrappers.extract_main_text(table(spark, sf_dir, "pages"))
@@ -60,6 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_html_wrappers": op4_html_wrappers,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
