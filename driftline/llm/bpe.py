@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: Documents that a task holds as Python objects at once.
 SLICE = 256
 #: Remembered chunks of text; a task that has more forgets those not in its last slice.
-REMEMBER = 500_000
+REMEMBER = 1_000_000
 
 
 def byte_characters() -> list[str]:

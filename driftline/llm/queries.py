@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from driftline.llm import bpe, chat_format, exact_dedup, jaccard_join, packing, quality_rules, toxicity, wrappers
-from driftline.llm._tables import ship, table
+from driftline.llm import bpe, chat_format, exact_dedup, jaccard_join, packing, quality_rules, repair, toxicity, wrappers
+from driftline.llm._tables import Scratch, ship, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op7_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    path = f"{Scratch(spark).root}/ids"
+    repair.write_ids(table(spark, sf_dir, "documents"), path, bpe.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    return repair.read_ids(spark, path, digest=True)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     records = chat_format.records_of_turns(table(spark, sf_dir, "conversations"))
@@ -70,6 +77,7 @@ QUERIES = {
     "op4_html_wrappers": op4_html_wrappers,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_repair_files": op7_repair_files,
     "op8_chat_format": op8_chat_format,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
