@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from driftline.llm import bpe, chat_format, exact_dedup, jaccard_join, packing, quality_rules, repair, toxicity, wrappers
+from driftline.llm import bpe, chat_format, exact_dedup, jaccard_join, line_dedup, packing, quality_rules, repair, toxicity, wrappers
 from driftline.llm._tables import Scratch, ship, table
 
 
@@ -18,6 +18,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "removed_lines", "longest_run", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     scored = toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -73,6 +78,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_html_wrappers": op4_html_wrappers,
     "op5_jaccard_join": op5_jaccard_join,
@@ -83,6 +89,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 SQL = {
+    "op2_line_dedup": line_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_chat_format": chat_format.SQL,
     "op10_quality_rules": quality_rules.SQL,
