@@ -97,9 +97,10 @@ class Index:
         term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype("i8")
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         order = np.lexsort((rows, term))
-        cuts = np.searchsorted(term[order], np.arange(len(self.terms) + 2))
-        self.docs = [rows[order][a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.weights = [weight[order][a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows, term, weight = rows[order], term[order], weight[order]
+        cuts = np.searchsorted(term, np.arange(len(self.terms) + 2))
+        self.docs = [rows[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.weights = [weight[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.tops = np.zeros((len(self.terms) + 1, len(vectors) // BLOCK + 1), "f4")
         np.maximum.at(self.tops, (term, rows // BLOCK), weight.astype("f4"))
 
