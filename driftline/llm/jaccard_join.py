@@ -14,7 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,15 +24,17 @@ from driftline.llm._tables import BROADCAST_BYTES, Scratch
 WORDS = 5
 PERCENT = 75
 #: Documents that are hashed as one numpy buffer, and the bytes after which a buffer ends earlier.
-SLICE, SLICE_BYTES = 256, 8 << 20
+SLICE, SLICE_BYTES = 256, 1 << 20
 #: Segments per shingle of a band's largest set, and a few more: nearly every set then fills enough of them.
-SEGMENTS_PER_SHINGLE, SEGMENTS_MORE = 0.45, 6
+SEGMENTS_PER_SHINGLE, SEGMENTS_MORE = 0.45, 8
 #: Segments of each band that one-deletion neighbourhoods are indexed for.
 DELETION_SEGMENTS = 2
 #: Sets whose signatures give the costs; a signature that this many of them share is dear.
 SAMPLE_SETS, DEAR, DEAR_MOST = 20_000, 4, 200_000
 #: Sub-groups that the members of a dear signature are dealt over.
 SALTS = 16
+#: Members of a group that meet the others as one block.
+CHUNK = 512
 #: Blocks of signatures that are dealt over each shuffle partition.
 BLOCKS_PER_PARTITION = 4
 
@@ -99,7 +102,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that are small enough to be hashed as one buffer."""
-    lengths = np.array([len(x) for x in batch.column(column).cast(pa.large_binary()).fill_null(b"").to_pylist()], "i8")
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
     at = 0
     while at < batch.num_rows:
         size = max(1, min(SLICE, int(np.searchsorted(np.cumsum(lengths[at : at + SLICE]), SLICE_BYTES, "right"))))
@@ -206,19 +209,57 @@ def signatures(sets: list[np.ndarray], dear: np.ndarray | None = None) -> Signat
     return Signatures(np.concatenate(values), np.concatenate(owners), np.concatenate(probes), short)
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Parities of how many shingles fall in each of 2 ** k buckets, two or more to a shingle.
+
+    Each shingle that two sets do not share turns one bit, so sketches differ in no more bits than sets in shingles.
+    """
+    bits = 64
+    while bits < 2 * len(shingles):
+        bits *= 2
+    return np.packbits(np.bincount((shingles & U(bits - 1)).astype("i8"), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch over fewer buckets: halves are added until `size` bytes are left."""
+    out = np.frombuffer(sketch, "u8")
+    while len(out) * 8 > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def may_link(na: np.ndarray, a: list[bytes], nb: np.ndarray, b: list[bytes]) -> np.ndarray:
+    """For all of a against all of b: whether sizes and sketches leave room for a link."""
+    room = (np.minimum(na[:, None], nb[None]) * 100 >= PERCENT * np.maximum(na[:, None], nb[None]))
+    most = (na[:, None] + nb[None]) * (100 - PERCENT) // (100 + PERCENT)
+    for size in {len(x) for x in a}:
+        i = np.array([k for k, x in enumerate(a) if len(x) == size])
+        for other in {len(x) for x in b}:
+            j = np.array([k for k, x in enumerate(b) if len(x) == other])
+            if not room[np.ix_(i, j)].any():
+                continue
+            least = min(size, other)
+            x, y = (np.stack([folded(side[k], least) for k in at]) for side, at in ((a, i), (b, j)))
+            for at in range(0, len(i), max(1, 4_000_000 // (least * len(j)))):
+                rows = slice(at, at + max(1, 4_000_000 // (least * len(j))))
+                bits = np.bitwise_count(x[rows, None] ^ y[None]).sum(2, dtype="i8")
+                room[np.ix_(i[rows], j)] &= bits <= most[np.ix_(i[rows], j)]
+    return room
+
+
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
 
 
 def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row its id, n_shingles and class, the id of its set; the class is null for an empty set."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())])
+    """For each row its id, n_shingles, class (the id of its set) and sketch; an empty set has class null."""
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 sets = shingle_sets(part.column("_text"))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary())], names=schema.names)
 
     return _read(docs, id_col, text_col).mapInArrow(run, schema)
 
@@ -242,7 +283,8 @@ def _dear_signatures(docs: DataFrame, rows: int, id_col: str, text_col: str) ->
 def candidate_groups(docs: DataFrame, dear: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of classes that share a signature and of which at least one probes.
 
-    Rows: gid, members, probes (places in members). Signatures travel as blocks of numbers, 5 bytes of each besides
+    Rows: gid, members, probes (places in members); or, without gid, a set that needs another way: its class and some of
+    its shingles as members. Signatures travel as blocks of numbers, 5 bytes of each besides
     what the block tells; a set that is there many times in a task travels once. Members of a dear signature are dealt
     over SALTS rows with the same gid. Equal groups of a task are given once.
     """
@@ -284,7 +326,12 @@ def candidate_groups(docs: DataFrame, dear: np.ndarray, id_col: str = "doc_id",
                 found = signatures(list(sets.values()), costs)
                 held.append((found.value, np.array(list(sets), "i8")[found.owner], found.probe))
                 rows += len(found.value)
-                if rows > 2_000_000:
+                if len(found.short):
+                    # a set that links with one of n shingles has one of any n / 4 + 1 of them
+                    some = [(c, s[: len(s) // 4 + 1]) for c, s in (list(sets.items())[k] for k in np.unique(found.short).tolist())]
+                    none = pa.array([b""] * len(some), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([-1] * len(some), pa.int32()), none, none, none, pa.array([np.int64(c).tobytes() + s.tobytes() for c, s in some], pa.binary())], names=["block", "high", "low", "flags", "member"])
+                if rows > 1_000_000:
                     yield blocks_of()
                     rows = 0
         if held:
@@ -294,6 +341,9 @@ def candidate_groups(docs: DataFrame, dear: np.ndarray, id_col: str = "doc_id",
         keys, members, flags = [], [], []
         for batch in batches:
             for block, high, low, flag, member in zip(*(batch.column(c).to_pylist() for c in ("block", "high", "low", "flags", "member")), strict=True):
+                if block < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([np.frombuffer(member, "<i8")], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.int32()))], names=["gid", "members", "probes"])
+                    continue
                 fl = np.frombuffer(flag, "u1")
                 keys.append(np.frombuffer(high, "<u4").astype(U) << U(32) | np.frombuffer(low, "u1").astype(U) << U(24) | (fl & 0x7F).astype(U) << U(16) | U(block & 0xFFFF))
                 members.append(np.frombuffer(member, "<i8"))
@@ -336,7 +386,7 @@ def candidate_groups(docs: DataFrame, dear: np.ndarray, id_col: str = "doc_id",
             yield _groups_batch(out, names)
 
     sent = _read(docs, id_col, text_col).mapInArrow(emit, "block int, high binary, low binary, flags binary, member binary")
-    return sent.repartition(parts, "block").mapInArrow(meet, "gid long, members array<long>, probes array<int>")
+    return sent.repartition(blocks, "block").mapInArrow(meet, "gid long, members array<long>, probes array<int>")
 
 
 def _groups_batch(rows: list[tuple[int, np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
@@ -366,6 +416,53 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return roots
 
 
+def _pruned(pairs: DataFrame, rep: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes, each once, that sizes and sketches leave room for."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda v: rep.select(F.col("class").alias(v), F.col("n").alias(f"n{v}"), F.col("sketch").alias(f"s{v}"))
+    near = pairs.join(side("a").drop("sa"), "a").join(side("b").drop("sb"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b")
+    near = near.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            most = (na + nb) * (100 - PERCENT) // (100 + PERCENT)
+            fit = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
+                least = min(len(x), len(y))
+                fit[k] = np.bitwise_count(folded(x, least) ^ folded(y, least)).sum(dtype="i8") <= most[k]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fit))
+
+    return near.mapInArrow(run, "a long, b long")
+
+
+def _cross_pairs(mixed: DataFrame, rep: DataFrame) -> DataFrame:
+    """Pairs of different components in groups of (gid, v, root, probe) that sizes and sketches leave room for.
+
+    A group's members are dealt to chunks of about CHUNK; two chunks meet as blocks of numbers, and only what is left
+    of a block's pairs comes out.
+    """
+    sizes = mixed.groupBy("gid").agg(F.count(F.lit(1)).alias("_g"))
+    full = mixed.join(sizes, "gid").join(rep.select(F.col("class").alias("v"), "n", "sketch"), "v")
+    chunk = F.pmod(F.xxhash64("v"), F.ceil(F.col("_g") / CHUNK))
+    chunks = full.withColumn("c", chunk).groupBy("gid", "c").agg(F.collect_list(F.struct("v", "root", "probe", "n", "sketch")).alias("m"))
+    blocks = chunks.join(chunks.select("gid", F.col("c").alias("c2"), F.col("m").alias("m2")), "gid").where("c <= c2").select("m", "m2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column("m"), batch.column("m2"), strict=True):
+                x, y = left.values, right.values
+                get = lambda t, c: t.field(c).to_numpy(zero_copy_only=False)
+                fit = may_link(get(x, "n"), x.field("sketch").to_pylist(), get(y, "n"), y.field("sketch").to_pylist())
+                fit &= get(x, "root")[:, None] != get(y, "root")[None]
+                fit &= get(x, "probe")[:, None] | get(y, "probe")[None]
+                i, j = np.nonzero(fit)
+                yield pa.RecordBatch.from_arrays([pa.array(get(x, "v")[i]), pa.array(get(y, "v")[j])], names=["a", "b"])
+
+    found = blocks.mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, scratch: Scratch, name: str, id_col: str, text_col: str) -> DataFrame:
     """The pairs of classes whose sets link, by exact counts. Sets are made again from one document of each class."""
     need = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
@@ -394,8 +491,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Components of documents whose sets of 5-word shingles link: id, n_shingles, component_id.
 
     Equal sets are one class. Classes that share a signature are candidates: first each one with one probing class of
-    its group, then, in groups that still hold several components, with more of them, twice as many each round, until
-    every pair of components that share a signature has been compared. Copies are never paired with each other.
+    its group, then, in groups that still hold several components, each one with those of the other components.
+    Sketches rule most of them out before sets are fetched. Copies are never paired with each other.
 
     Null texts and texts without words have no shingles and link with nothing: component_id is their own id, as for
     any document without links. Ids that repeat are rows of their own; component_id is the least id of the component,
@@ -403,43 +500,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     own = scratch.write("own", document_sets(docs, id_col, text_col).withColumnRenamed(id_col, "_doc"))
-    rep = scratch.write("rep", own.where("class is not null").groupBy("class").agg(F.min("_doc").alias("doc"), F.max("n_shingles").alias("n")))
+    rep = scratch.write("rep", own.where("class is not null").groupBy("class").agg(F.min("_doc").alias("doc"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")))
     dear = _dear_signatures(docs, own.count(), id_col, text_col)
-    groups = scratch.write("groups", candidate_groups(docs, dear, id_col, text_col))
-    extra = _short_pairs(docs, scratch, id_col, text_col)
-
-    n = rep.select(F.col("class"), "n")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Each pair once, the lesser class first, if its sizes allow a link."""
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(n.withColumnsRenamed({"class": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"class": "b", "n": "nb"}), "b")
-        return pairs.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b")
+    found = scratch.write("groups", candidate_groups(docs, dear, id_col, text_col))
+    groups = found.where("gid is not null")
+    extra = _short_pairs(docs, found.where("gid is null"), id_col, text_col)
 
     pivot = F.when(F.size("probes") > 0, F.get("members", F.get("probes", F.lit(0)))).otherwise(F.get("members", F.lit(0)))
     stars = groups.select("gid", pivot.alias("a"), "members")
     heads = stars.groupBy("gid").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").join(stars.select("gid", "a"), "gid").select("a", "b")
-    pairs = scratch.write("pairs0", sized(stars.select("a", F.explode("members").alias("b")).union(heads).union(extra)))
-    links = _verified(pairs, docs, rep, scratch, "round0", id_col, text_col)
-    roots = components(links, scratch, "round0")
-    members = groups.select("gid", F.posexplode("members").alias("_i", "v"), "probes").select("gid", "v", F.array_contains("probes", F.col("_i")).alias("probe"))
+    pairs = scratch.write("pairs", _pruned(stars.select("a", F.explode("members").alias("b")).union(heads).union(extra), rep))
+    links = _verified(pairs, docs, rep, scratch, "first", id_col, text_col)
+    roots = components(links, scratch, "first")
 
-    done, size, k = pairs, 1, 1
-    while True:
-        rooted = members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        mixed = rooted.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.sum(F.col("probe").cast("int")).alias("_p")).where((F.col("_lo") < F.col("_hi")) & (F.col("_p") > size)).select("gid", "_p")
-        mixed = scratch.write(f"mixed{k}", rooted.join(mixed, "gid").select("gid", "v", "root", "probe"))
-        if not mixed.limit(1).count():
-            break
-        numbered = mixed.where("probe").withColumn("_k", F.row_number().over(Window.partitionBy("gid").orderBy("v")))
-        chosen = numbered.where(F.col("_k").between(size + 1, 2 * size + 1)).select("gid", F.col("v").alias("a"), F.col("root").alias("_ra"))
-        more = sized(chosen.join(mixed.select("gid", F.col("v").alias("b"), F.col("root").alias("_rb")), "gid").where("_ra <> _rb").select("a", "b"))
-        more = scratch.write(f"pairs{k}", more.join(done, ["a", "b"], "left_anti"))
-        found = _verified(more, docs, rep, scratch, f"round{k}", id_col, text_col)
-        if found.limit(1).count():
-            links = links.union(found)
-            roots = components(links, scratch, f"round{k}")
-        done, size, k = done.union(more), 2 * size + 1, k + 1
+    members = groups.select("gid", F.posexplode("members").alias("_i", "v"), "probes").select("gid", "v", F.array_contains("probes", F.col("_i")).alias("probe"))
+    rooted = members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    # a group of two has been compared
+    several = rooted.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo < _hi and _n > 2").select("gid")
+    mixed = scratch.write("mixed", rooted.join(several, "gid").select("gid", "v", "root", "probe"))
+    more = scratch.write("more", _cross_pairs(mixed, rep).join(pairs, ["a", "b"], "left_anti"))
+    links = links.union(_verified(more, docs, rep, scratch, "second", id_col, text_col))
+    roots = components(links, scratch, "second")
 
     least = rep.join(roots.withColumnRenamed("v", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "doc")
     ids = least.groupBy("root").agg(F.min("doc").alias("component_id"))
@@ -448,26 +529,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_doc").alias(id_col), "n_shingles", F.when(F.col("class").isNull(), F.col("_doc")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _short_pairs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """Candidates of the sets that fill too few segments, another exact way: pairs (a, b) of classes.
-
-    A set that links with one of n shingles has three quarters of them, so it has one of any n/4 + 1. Those of the
-    short sets are looked up in all sets.
-    """
+def _short_pairs(docs: DataFrame, short: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Candidates of the sets that fill too few segments, another exact way: some of their shingles are looked up in
+    all sets. Pairs (a, b) of classes."""
     spark = docs.sparkSession
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                sets = shingle_sets(part.column("_text"))
-                rows = [(class_of(sets[k]), sets[k][: len(sets[k]) // 4 + 1].view("i8")) for k in np.unique(signatures(sets).short).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], names=["a", "s"])
-
-    short = scratch.write("short", _read(docs, id_col, text_col).mapInArrow(find, "a long, s array<long>").dropDuplicates(["a"]).select("a", F.explode("s").alias("x")))
+    short = short.select(F.get("members", F.lit(0)).alias("a"), F.explode(F.slice("members", 2, 2**30)).alias("x")).distinct()
     count = short.count()
     if not count:
         return spark.createDataFrame([], "a long, b long")
-
     wanted = None
     if count * 16 <= BROADCAST_BYTES:
         wanted = spark.sparkContext.broadcast(np.sort(np.array([r["x"] for r in short.select("x").distinct().collect()], "i8").view(U)))
