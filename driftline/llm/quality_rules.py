@@ -100,6 +100,21 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return step.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("lost_words") <= MAX_LOST_PERCENT * F.col("n_words")))
 
 
+def drop_bad(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with their own columns, that `quality_rules` keeps.
+
+    A row number stands between the verdict and the filter: without it the optimizer would put the filter below the
+    projections and write the verdict's expressions out again for each use.
+    """
+    judged = quality_rules(docs.select("*", docs[text_col].alias("_judged")), "_judged")
+    clash = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "clean_text", "base_failed", "kept"} & {c.lower() for c in docs.columns}
+    if clash:
+        packed = docs.select(F.struct("*").alias("_row"), docs[text_col].alias("_judged"))
+        judged = quality_rules(packed, "_judged").select("_row", "kept")
+        return judged.withColumn("_at", F.monotonically_increasing_id()).where("kept and _at >= 0").select("_row.*")
+    return judged.select(*docs.columns, "kept").withColumn("_at", F.monotonically_increasing_id()).where("kept and _at >= 0").select(*docs.columns)
+
+
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
