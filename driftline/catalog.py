@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import genetics
-from driftline.functions.rng import uniform, uniform_sql
-from driftline.operators import ld, stats
+from driftline.functions.rng import exponential, normal, sign, uniform, uniform_sql
+from driftline.operators import ld, spatial, stats
 from driftline.registry import register
 from driftline.sources import views
 
@@ -237,3 +237,136 @@ e AS (SELECT (syy * (x - mx) ** 2 - 2 * sxy * (x - mx) * (y - my) + sxx * (y - m
   (syy * (ox - mx) ** 2 - 2 * sxy * (ox - mx) * (oy - my) + sxx * (oy - my) ** 2) / (sxx * syy - sxy * sxy) AS o FROM pts, m, o)
 SELECT {_r('sqrt(max(o))')} AS distance, {_r('(1 + count(*) FILTER (WHERE d >= o))::DOUBLE / (1 + count(*))')} AS p FROM e""",
 )
+
+# --- space, fitness and parents ----------------------------------------------------------------------------------
+
+GRID = 5
+
+
+def _nations(s: SparkSession, d: str) -> DataFrame:
+    """The nations as demes of a 5 x 5 grid, numbered from 1."""
+    return views.table(s, d, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("deme"))
+
+
+_NEAR = f"""near AS (SELECT a.deme, b.deme AS neighbour, 1 - 0.05 * count(*) OVER (PARTITION BY a.deme) AS prob_stay
+FROM (SELECT n_nationkey + 1 AS deme FROM nation) a JOIN (SELECT n_nationkey + 1 AS deme FROM nation) b
+ON abs((a.deme - 1) % {GRID} - (b.deme - 1) % {GRID}) + abs((a.deme - 1) // {GRID} - (b.deme - 1) // {GRID}) = 1)"""
+register(
+    "grid_neighbours",
+    lambda s, d: _rounded(spatial.grid_neighbours(_nations(s, d), GRID, 0.05), "prob_stay"),
+    f"WITH {_NEAR} SELECT deme::BIGINT AS deme, neighbour::BIGINT AS neighbour, {_r('prob_stay')} AS prob_stay FROM near",
+)
+register(
+    "cline",
+    lambda s, d: _rounded(_nations(s, d).select("deme", spatial.cline_offset(F.col("deme"), GRID, 2.0, 1.5).alias("theta")), "theta"),
+    f"SELECT (n_nationkey + 1)::BIGINT AS deme, {_r(f'2.0 * 1.5 * (n_nationkey // {GRID} - 2) / 2.0')} AS theta FROM nation",
+)
+
+
+def _fitness(s: SparkSession, d: str) -> DataFrame:
+    hap, variants = _genotypes(s, d)
+    return stats.breeding_values(hap, variants).withColumn("w", genetics.gaussian_fitness(F.col("a"), 0.1 * F.col("deme"), F.lit(0.5)))
+
+
+_W = "fit AS (SELECT ind_id, deme, a, exp(-((a - 0.1 * deme) ** 2) / (2 * 0.5)) AS w FROM bv)"
+register("fitness", lambda s, d: _rounded(_fitness(s, d), "a", "w"), f"WITH {V}, {_W} SELECT ind_id, deme, {_r('a')} AS a, {_r('w')} AS w FROM fit")
+register(
+    "cumulative_fitness",
+    lambda s, d: _rounded(spatial.cumulative(_fitness(s, d)), "cum").select("deme", "ind_id", "cum"),
+    f"WITH {V}, {_W} SELECT deme, ind_id, {_r('sum(w) OVER (PARTITION BY deme ORDER BY ind_id)')} AS cum FROM fit",
+)
+
+
+def weighted_parent(s: SparkSession, d: str) -> DataFrame:
+    fit = _fitness(s, d)
+    draws = fit.select("deme", F.col("ind_id").alias("draw"), uniform(1, "parent", F.col("ind_id")).alias("u"))
+    return spatial.weighted_parent(draws, fit)
+
+
+register(
+    "weighted_parent",
+    weighted_parent,
+    f"""WITH {V}, {_W}, c AS (SELECT deme, ind_id, sum(w) OVER (PARTITION BY deme ORDER BY ind_id) AS cum, sum(w) OVER (PARTITION BY deme) AS total FROM fit),
+dr AS (SELECT deme, ind_id AS draw, {uniform_sql("'1'", "'parent'", 'ind_id')} AS u FROM fit)
+SELECT dr.deme, draw, min(c.ind_id) AS parent FROM dr JOIN c ON c.deme = dr.deme AND c.cum >= dr.u * c.total GROUP BY dr.deme, draw""",
+)
+
+
+def source_deme(s: SparkSession, d: str) -> DataFrame:
+    draws = views.table(s, d, "customer").select((F.col("c_nationkey") + 1).cast("long").alias("deme"), F.col("c_custkey").alias("draw"))
+    near = spatial.grid_neighbours(_nations(s, d), GRID, 0.05)
+    return spatial.source_deme(draws, near, uniform(1, "stay", F.col("draw")), uniform(1, "pick", F.col("draw"))).select("draw", "deme", "source")
+
+
+register(
+    "source_deme",
+    source_deme,
+    f"""WITH {_NEAR}, l AS (SELECT deme, list(neighbour ORDER BY neighbour) AS near, max(prob_stay) AS stay FROM near GROUP BY deme),
+u AS (SELECT c_custkey AS draw, c_nationkey + 1 AS deme, {uniform_sql("'1'", "'stay'", 'c_custkey')} AS us, {uniform_sql("'1'", "'pick'", 'c_custkey')} AS up FROM customer)
+SELECT draw, u.deme::BIGINT AS deme, (CASE WHEN us < stay THEN u.deme ELSE near[1 + floor(up * len(near))::INTEGER] END)::BIGINT AS source FROM u JOIN l ON l.deme = u.deme""",
+)
+register(
+    "phenotype_variance",
+    lambda s, d: _rounded(
+        stats.mean_and_variance(
+            stats.breeding_values(*_genotypes(s, d)).withColumn("z", F.col("a") + normal(uniform(1, "e1", F.col("ind_id")), uniform(1, "e2", F.col("ind_id")), 0.3)), ["deme"], "z"
+        ), "mean", "variance",
+    ),
+    f"""WITH {V}, z AS (SELECT deme, a + sqrt(-2 * ln({uniform_sql("'1'", "'e1'", 'ind_id')})) * cos(2 * pi() * {uniform_sql("'1'", "'e2'", 'ind_id')}) * 0.3 AS z FROM bv)
+SELECT deme, count(*) AS n, {_r('avg(z)')} AS mean, {_r('coalesce(var_samp(z), 0)')} AS variance FROM z GROUP BY deme""",
+)
+
+# --- initial state -----------------------------------------------------------------------------------------------
+
+register(
+    "rng_uniform",
+    lambda s, d: _rounded(views.table(s, d, "orders").select("o_orderkey", uniform(7, "o", F.col("o_orderkey")).alias("u")), "u"),
+    f"SELECT o_orderkey, {_r(uniform_sql(chr(39) + '7' + chr(39), chr(39) + 'o' + chr(39), 'o_orderkey'))} AS u FROM orders",
+)
+register(
+    "effects",
+    lambda s, d: _rounded(
+        views.table(s, d, "part").select(F.col("p_partkey").alias("slot"), (sign(1, "s", F.col("p_partkey")) * exponential(uniform(1, "a", F.col("p_partkey")), 0.03)).alias("alpha")), "alpha"
+    ),
+    f"""SELECT p_partkey AS slot, {_r(f"(CASE WHEN {uniform_sql(chr(39) + '1' + chr(39), chr(39) + 's' + chr(39), 'p_partkey')} < 0.5 THEN 1 ELSE -1 END) * (-ln({uniform_sql(chr(39) + '1' + chr(39), chr(39) + 'a' + chr(39), 'p_partkey')}) * 0.03)")} AS alpha FROM part""",
+)
+register(
+    "watterson_freq",
+    lambda s, d: _rounded(
+        views.table(s, d, "part").crossJoin(F.broadcast(views.table(s, d, "customer").agg((2.0 * F.count(F.lit(1))).alias("copies")))).select(F.col("p_partkey").alias("slot"), genetics.watterson_frequency(uniform(1, "w", F.col("p_partkey")), F.col("copies")).alias("p")), "p"
+    ),
+    f"""WITH c AS (SELECT 2.0 * count(*) AS copies FROM customer) SELECT p_partkey AS slot, {_r(f"exp(-ln(copies) + {uniform_sql(chr(39) + '1' + chr(39), chr(39) + 'w' + chr(39), 'p_partkey')} * ln(copies - 1))")} AS p FROM part, c""",
+)
+register(
+    "harmonic_watterson",
+    lambda s, d: _rounded(views.table(s, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).select("c_nationkey", "n", (4 * F.col("n") * 0.01 * genetics.harmonic_column(2 * F.col("n") - 1)).alias("segregating")), "segregating"),
+    f"WITH c AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) SELECT c_nationkey, n, {_r('4 * n * 0.01 * (SELECT sum(1.0::DOUBLE / k) FROM range(1, 2 * n) t(k))')} AS segregating FROM c",
+)
+
+
+def founders(s: SparkSession, d: str) -> DataFrame:
+    """Founder haplotypes drawn from the sites' frequencies: how many copies each site gets."""
+    hap, variants = _genotypes(s, d)
+    p = F.broadcast(stats.allele_frequency(hap, variants))
+    drawn = hap.select("hap_id", "slot").join(p, "slot").where(uniform(3, F.col("hap_id"), F.col("slot")) < F.col("p"))
+    return drawn.groupBy("slot").agg(F.count(F.lit(1)).alias("copies"))
+
+
+register("founders", founders, f"WITH {V} SELECT slot::INTEGER AS slot, count(*) AS copies FROM hap JOIN freq USING (slot) WHERE {uniform_sql(chr(39) + '3' + chr(39), 'hap_id', 'slot')} < p GROUP BY slot")
+
+
+def site_positions(s: SparkSession, d: str) -> DataFrame:
+    """Parts placed on chromosomes by hash; those that share a position keep the lowest id; slots in order of position."""
+    placed = views.table(s, d, "part").select(F.col("p_partkey").alias("site"), (1 + F.floor(uniform(1, "c", F.col("p_partkey")) * 4)).cast("int").alias("chr"), (1 + F.floor(uniform(1, "b", F.col("p_partkey")) * 20000)).cast("int").alias("bp"))
+    kept = placed.groupBy("chr", "bp").agg(F.min("site").alias("site"))
+    from pyspark.sql import Window
+
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("chr").orderBy("bp")).cast("long"))
+
+
+register(
+    "site_positions",
+    site_positions,
+    f"""WITH p AS (SELECT p_partkey AS site, (1 + floor({uniform_sql("'1'", "'c'", 'p_partkey')} * 4))::INTEGER AS chr, (1 + floor({uniform_sql("'1'", "'b'", 'p_partkey')} * 20000))::INTEGER AS bp FROM part),
+k AS (SELECT chr, bp, min(site) AS site FROM p GROUP BY ALL) SELECT chr, bp, site, row_number() OVER (PARTITION BY chr ORDER BY bp) AS rank FROM k""",
+)
