@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import genetics
-from driftline.functions.rng import exponential, normal, sign, uniform, uniform_sql
-from driftline.operators import ld, spatial, stats
+from driftline.functions.rng import exponential, normal, poisson, sign, uniform, uniform_sql
+from driftline.operators import ancestry, ld, reproduction, spatial, stats
 from driftline.registry import register
-from driftline.sources import views
+from driftline.sources import plink, views
 
 V = views.SQL
 
@@ -370,3 +370,232 @@ register(
     f"""WITH p AS (SELECT p_partkey AS site, (1 + floor({uniform_sql("'1'", "'c'", 'p_partkey')} * 4))::INTEGER AS chr, (1 + floor({uniform_sql("'1'", "'b'", 'p_partkey')} * 20000))::INTEGER AS bp FROM part),
 k AS (SELECT chr, bp, min(site) AS site FROM p GROUP BY ALL) SELECT chr, bp, site, row_number() OVER (PARTITION BY chr ORDER BY bp) AS rank FROM k""",
 )
+
+# --- meiosis and mutation ----------------------------------------------------------------------------------------
+
+
+def _q(*key: str) -> str:
+    """DuckDB text of a draw whose leading parts are literals written as =text."""
+    return uniform_sql(*(f"'{k[1:]}'" if k.startswith("=") else k for k in key))
+
+
+
+def _poisson_sql(u: str, mean: float, most: int = 64) -> str:
+    """DuckDB text of `poisson`: the count of cumulated chances below u."""
+    import math
+
+    chance, total, steps = math.exp(-mean), 0.0, []
+    for k in range(most):
+        total += chance
+        steps.append(repr(total))
+        chance *= mean / (k + 1)
+    return f"len(list_filter([{', '.join(s + '::DOUBLE' for s in steps)}], lambda s: {u} > s))"
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    people = views.haplotypes(s, d).select(F.col("ind_id").alias("gamete")).distinct()
+    return reproduction.breakpoints(people, views.variants(s, d).select("chr").distinct(), 1.0, views.CHR_LEN, 5)
+
+
+_POINTS = f"""gc AS (SELECT DISTINCT h.ind_id AS gamete, v.chr FROM (SELECT DISTINCT ind_id FROM hap) h, (SELECT DISTINCT chr FROM variants) v),
+gk AS (SELECT gamete, chr, {_poisson_sql('u', 1.0)} AS k FROM (SELECT gamete, chr, {_q('=5', '=k', 'gamete', 'chr')} AS u FROM gc)),
+pts AS (SELECT gamete, chr, (1 + floor({_q('=5', '=bp', 'gamete', 'chr', 'i')} * 100000))::INTEGER AS bp FROM (SELECT gamete, chr, unnest(range(1, k + 1)) AS i FROM gk))"""
+register("breakpoints", _points, f"WITH {V}, {_POINTS} SELECT gamete, chr, bp FROM pts")
+register(
+    "breakpoints_asof",
+    lambda s, d: reproduction.to_slots(_points(s, d), views.variants(s, d)),
+    f"WITH {V}, {_POINTS} SELECT gamete, chr, bp, (SELECT arg_min(v.slot, v.bp) FROM variants v WHERE v.chr = pts.chr AND v.bp >= pts.bp)::BIGINT AS slot FROM pts",
+)
+
+
+def gamete(s: SparkSession, d: str) -> DataFrame:
+    """One gamete of each individual: its breeding value and how many derived alleles it carries."""
+    hap, variants = _genotypes(s, d)
+    parents = hap.select(F.col("ind_id").alias("gamete"), "ind_id").distinct()
+    made = reproduction.gametes(parents, hap, variants, _points(s, d), 5)
+    return _rounded(made.join(F.broadcast(variants.select("slot", "alpha")), "slot").groupBy("gamete").agg(F.sum("allele").alias("derived"), F.sum(F.col("allele") * F.col("alpha")).alias("value")), "value")
+
+
+register(
+    "gamete",
+    gamete,
+    f"""WITH {V}, {_POINTS}, st AS (SELECT gamete, chr, slot, alpha,
+  ((floor({_q('=5', '=start', 'gamete', 'chr')} * 2) + (SELECT count(*) FROM pts WHERE pts.gamete = gc.gamete AND pts.chr = gc.chr AND pts.bp <= v.bp)) % 2)::INTEGER AS strand FROM gc JOIN variants v USING (chr))
+SELECT gamete, sum(allele)::BIGINT AS derived, {_r('sum(allele * alpha)')} AS value FROM st JOIN hap ON hap.ind_id = st.gamete AND hap.slot = st.slot AND hap.hap_id % 2 = st.strand GROUP BY gamete""",
+)
+register(
+    "edge_segments",
+    lambda s, d: reproduction.edge_segments(_points(s, d), views.CHR_LEN, 5),
+    f"""WITH {V}, {_POINTS}, e AS (SELECT gamete, chr, bp FROM pts UNION ALL SELECT DISTINCT gamete, chr, 1 FROM pts),
+n AS (SELECT gamete, chr, bp, row_number() OVER w AS i, lead(bp, 1, 100001) OVER w AS nxt FROM e WINDOW w AS (PARTITION BY gamete, chr ORDER BY bp))
+SELECT gamete, chr, bp AS left, nxt AS right, ((floor({_q('=5', '=start', 'gamete', 'chr')} * 2) + i - 1) % 2)::INTEGER AS strand FROM n WHERE bp < nxt""",
+)
+
+
+def xor_mutation(s: SparkSession, d: str) -> DataFrame:
+    """Recurrent mutation over all cells: carriers of each site before and after."""
+    hap = views.haplotypes(s, d)
+    after = reproduction.flip(hap.where("allele = 1"), reproduction.mutated_cells(hap, 0.05, 9))
+    return hap.groupBy("slot").agg(F.sum("allele").alias("before")).join(after.groupBy("slot").agg(F.count(F.lit(1)).alias("after")), "slot")
+
+
+register(
+    "xor_mutation",
+    xor_mutation,
+    f"WITH {V} SELECT slot::INTEGER AS slot, sum(allele)::BIGINT AS before, sum(CASE WHEN {_q('=9', '=mu', 'hap_id', 'slot')} < 0.05 THEN 1 - allele ELSE allele END)::BIGINT AS after FROM hap GROUP BY slot",
+)
+
+
+def _slots(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return views.part_variants(s, d).select("slot", "chr"), views.dosages(s, d)
+
+
+register(
+    "ism_cleanup",
+    lambda s, d: reproduction.cleanup(_slots(s, d)[0], _slots(s, d)[1].select(F.col("ind_id").alias("hap_id"), "slot"), 1500).groupBy("state").agg(F.count(F.lit(1)).alias("slots"), F.sum("carriers").alias("carriers")),
+    f"""WITH {_GENO2}, c AS (SELECT p.slot, count(DISTINCT ind_id) AS n FROM parts p LEFT JOIN geno2 USING (slot) GROUP BY p.slot)
+SELECT CASE WHEN n = 0 THEN 'lost' WHEN n >= 1500 THEN 'fixed' ELSE 'segregating' END AS state, count(*) AS slots, sum(n)::BIGINT AS carriers FROM c GROUP BY 1""",
+)
+
+
+def ism_free_slots(s: SparkSession, d: str) -> DataFrame:
+    """Slots that are free while only customers of segment BUILDING carry anything; 25 new mutations a chromosome."""
+    slots, cells = _slots(s, d)
+    some = views.table(s, d, "customer").where("c_mktsegment = 'BUILDING' and c_custkey % 7 = 0").select(F.col("c_custkey").alias("ind_id"))
+    return reproduction.free_slots(slots, cells.join(some, "ind_id", "left_semi"), slots.select("chr").distinct().withColumn("n", F.lit(25))).withColumn("mutation", F.col("mutation").cast("long"))
+
+
+register(
+    "ism_free_slots",
+    ism_free_slots,
+    f"""WITH {_GENO2}, act AS (SELECT DISTINCT slot FROM geno2 JOIN customer ON c_custkey = ind_id WHERE c_mktsegment = 'BUILDING' AND c_custkey % 7 = 0),
+f AS (SELECT chr, slot, row_number() OVER (PARTITION BY chr ORDER BY slot) AS mutation FROM parts WHERE slot NOT IN (SELECT slot FROM act)) SELECT chr, slot, mutation FROM f WHERE mutation <= 25""",
+)
+
+# --- genealogies -------------------------------------------------------------------------------------------------
+
+_EDGES = "edges AS (SELECT l_linenumber AS gen, (1 + l_suppkey % 4)::INTEGER AS chr, l_orderkey AS parent, l_partkey AS child, l_partkey AS left, l_partkey + l_quantity::BIGINT AS right FROM lineitem)"
+
+
+def _sites(s: SparkSession, d: str) -> DataFrame:
+    """A site for each supplier, on its chromosome."""
+    return views.table(s, d, "supplier").select(F.col("s_suppkey").alias("site"), (1 + F.col("s_suppkey") % 4).cast("int").alias("chr"), (1 + (F.col("s_suppkey") * 37) % 1500).cast("long").alias("bp"))
+
+
+_SITES = "sup AS (SELECT s_suppkey AS site, (1 + s_suppkey % 4)::INTEGER AS chr, (1 + (s_suppkey * 37) % 1500)::BIGINT AS bp FROM supplier)"
+register(
+    "interval_place",
+    lambda s, d: ancestry.covering_edges(_sites(s, d), views.edges(s, d)).groupBy("site").agg(F.count(F.lit(1)).alias("edges"), F.min("parent").alias("first_parent")),
+    f"WITH {_EDGES}, {_SITES} SELECT site, count(*) AS edges, min(parent) AS first_parent FROM sup JOIN edges e ON e.chr = sup.chr AND bp >= e.left AND bp < e.right GROUP BY site",
+)
+
+
+def branch_weight_choice(s: SparkSession, d: str) -> DataFrame:
+    near = ancestry.covering_edges(_sites(s, d), views.edges(s, d))
+    return ancestry.branch_choice(near, uniform(2, "branch", F.col("site")), F.col("gen")).select("site", "gen", "parent", "child")
+
+
+register(
+    "branch_weight_choice",
+    branch_weight_choice,
+    f"""WITH {_EDGES}, {_SITES}, c AS (SELECT site, e.gen, e.parent, e.child FROM sup JOIN edges e ON e.chr = sup.chr AND bp >= e.left AND bp < e.right),
+r AS (SELECT *, sum(gen) OVER (PARTITION BY site ORDER BY gen, parent, child ROWS UNBOUNDED PRECEDING) AS cum, sum(gen) OVER (PARTITION BY site) AS total FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY cum, gen, parent, child) AS k FROM r WHERE cum >= {_q('=2', '=branch', 'site')} * total)
+SELECT site, gen, parent, child FROM k WHERE k = 1""",
+)
+
+
+def simplify_reachability(s: SparkSession, d: str) -> DataFrame:
+    """Edges above a tenth of the parts, generation by generation; counted by generation and chromosome."""
+    made = views.edges(s, d).withColumn("parent", F.col("parent") % 2000)
+    samples = views.table(s, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("node")).crossJoin(made.select("chr").distinct())
+    generations = [r["gen"] for r in made.select("gen").distinct().orderBy(F.desc("gen")).collect()]  # line numbers: at most seven
+    kept = ancestry.simplify(made, samples, generations, lambda _, df: df)
+    return kept.groupBy("gen", "chr").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def _simplify_sql() -> str:
+    steps, alive = [], "SELECT chr, p_partkey AS node FROM part, (SELECT DISTINCT chr FROM e) WHERE p_partkey % 10 = 0"
+    steps.append(f"a8 AS ({alive})")
+    for g in range(7, 0, -1):
+        steps.append(f"k{g} AS (SELECT e.* FROM e WHERE gen = {g} AND EXISTS (SELECT 1 FROM a{g + 1} a WHERE a.chr = e.chr AND a.node = e.child))")
+        steps.append(f"a{g} AS (SELECT * FROM a{g + 1} UNION SELECT chr, parent FROM k{g})")
+    every = " UNION ALL ".join(f"SELECT * FROM k{g}" for g in range(1, 8))
+    return f"WITH {_EDGES}, e AS (SELECT gen, chr, parent % 2000 AS parent, child FROM edges), {', '.join(steps)} SELECT gen, chr, count(*) AS edges FROM ({every}) GROUP BY gen, chr"
+
+
+register("simplify_reachability", simplify_reachability, _simplify_sql())
+
+
+def overlay_propagate(s: SparkSession, d: str) -> DataFrame:
+    """Neutral mutations on all edges, and how many reach a child's child over a covering edge."""
+    e = views.edges(s, d)
+    key = [F.col(c) for c in ("gen", "chr", "parent", "child", "left")]
+    made = ancestry.overlay_mutations(e, poisson(uniform(4, "m", *key), 0.5), F.col("left") + F.floor(uniform(4, "p", *key, F.col("i")) * (F.col("right") - F.col("left"))))
+    nodes = made.select("chr", F.col("child").alias("node"), "bp")
+    moved = ancestry.descend(nodes, e)
+    return nodes.groupBy("chr").agg(F.count(F.lit(1)).alias("mutations")).join(moved.groupBy("chr").agg(F.count(F.lit(1)).alias("moved")), "chr", "left").withColumn("moved", F.coalesce("moved", F.lit(0)))
+
+
+_KEY = ("gen", "chr", "parent", "child", '"left"')
+register(
+    "overlay_propagate",
+    overlay_propagate,
+    f"""WITH {_EDGES}, n AS (SELECT *, {_poisson_sql('u', 0.5)} AS k FROM (SELECT *, {_q('=4', '=m', *_KEY)} AS u FROM edges)),
+x AS (SELECT *, unnest(range(1, k + 1)) AS i FROM n), m AS (SELECT chr, child AS node, "left" + floor({_q('=4', '=p', *_KEY, 'i')} * ("right" - "left"))::BIGINT AS bp FROM x),
+v AS (SELECT m.chr, count(*) AS moved FROM m JOIN edges e ON e.chr = m.chr AND e.parent = m.node AND m.bp >= e.left AND m.bp < e.right GROUP BY m.chr)
+SELECT m.chr, count(*) AS mutations, coalesce(max(v.moved), 0) AS moved FROM m LEFT JOIN v ON v.chr = m.chr GROUP BY m.chr""",
+)
+register(
+    "merged_sites",
+    lambda s, d: _rounded(ancestry.merged_sites(views.part_variants(s, d).where("is_qtl"), views.edges(s, d).select("chr", F.col("left").cast("int").alias("bp"))), "alpha"),
+    f"""WITH {_GENO2}, {_EDGES} SELECT chr, bp, 'chr' || chr || '_' || bp || '_q' AS snp_id, {_r('alpha')} AS alpha FROM parts WHERE is_qtl
+UNION ALL SELECT DISTINCT chr, "left"::INTEGER, 'chr' || chr || '_' || "left" || '_n', 0.0::DOUBLE FROM edges""",
+)
+register(
+    "node_renumber",
+    lambda s, d: ancestry.renumber(views.edges(s, d).select("chr", F.col("child").alias("node")).distinct(), 100),
+    f"""WITH {_EDGES}, n AS (SELECT DISTINCT chr, child AS node FROM edges), b AS (SELECT chr, sum(c) OVER (ORDER BY chr) - c AS base FROM (SELECT chr, count(*) FILTER (WHERE node > 100) AS c FROM n GROUP BY chr))
+SELECT chr, node, (CASE WHEN node <= 100 THEN node ELSE node + base END)::BIGINT AS new_node FROM n JOIN b USING (chr)""",
+)
+register(
+    "tbl_per_bp",
+    lambda s, d: _rounded(ancestry.branch_length_per_bp(views.edges(s, d).withColumn("length", F.col("gen")), views.CHR_LEN), "tbl"),
+    f'WITH {_EDGES} SELECT chr, {_r("""sum(gen * ("right" - "left"))::DOUBLE / 100000""")} AS tbl FROM edges GROUP BY chr',
+)
+
+# --- files and long tables ---------------------------------------------------------------------------------------
+
+register(
+    "plink_codes",
+    lambda s, d: views.dosages(s, d).select(plink.code(F.col("g")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")),
+    f"WITH {_GENO2} SELECT CASE g WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 3 END AS code, count(*) AS n FROM geno2 GROUP BY 1",
+)
+register(
+    "plink_bim",
+    lambda s, d: plink.bim(views.part_variants(s, d), 1e-8),
+    f"WITH {_GENO2} SELECT chr, bp, chr || chr(9) || 'chr' || chr || '_' || bp || chr(9) || printf('%.6f', bp * 1e-8 * 100) || chr(9) || bp || chr(9) || '1' || chr(9) || '2' AS line FROM parts",
+)
+
+
+def fam_deme_parse(s: SparkSession, d: str) -> DataFrame:
+    hap, variants = _genotypes(s, d)
+    return _rounded(plink.parse_fam(plink.fam(stats.breeding_values(hap, variants))), "phenotype")
+
+
+register("fam_deme_parse", fam_deme_parse, f"WITH {V} SELECT 'p' || deme || '_' || ind_id AS iid, deme::INTEGER AS deme, {_r('round(a, 6)')} AS phenotype FROM bv")
+register(
+    "kv_unpivot",
+    lambda s, d: _rounded(stats.bulmer_per_deme(*_genotypes(s, d)).unpivot(["deme"], ["va", "genic", "b"], "key", "value"), "value"),
+    f"{_DEME}, t AS (SELECT deme, va, genic, (va - genic) / genic AS b FROM dv JOIN dg USING (deme)) SELECT deme, 'va' AS key, {_r('va')} AS value FROM t UNION ALL SELECT deme, 'genic', {_r('genic')} FROM t UNION ALL SELECT deme, 'b', {_r('b')} FROM t",
+)
+register(
+    "seed_median_pivot",
+    lambda s, d: _rounded(views.table(s, d, "events").groupBy("user_id").pivot("event_type", ["click", "view", "purchase"]).agg(F.median("value")), "click", "view", "purchase"),
+    f"SELECT user_id, {_r('''median(value) FILTER (WHERE event_type = 'click')''')} AS click, {_r('''median(value) FILTER (WHERE event_type = 'view')''')} AS view, {_r('''median(value) FILTER (WHERE event_type = 'purchase')''')} AS purchase FROM events GROUP BY user_id",
+)
+register(
+    "selection_class",
+    lambda s, d: views.table(s, d, "lineitem").select(ld.selection_class(F.col("l_tax"), F.col("l_discount"), F.col("l_quantity") - 25).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT CASE WHEN l_tax >= 0.05 THEN 'neutral' WHEN l_discount >= 0.05 THEN 'stabilizing' WHEN l_quantity - 25 > 0 THEN 'directional+' ELSE 'directional-' END AS class, count(*) AS n FROM lineitem GROUP BY 1",
+)
