@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from driftline.functions import genetics
 from driftline.functions.rng import exponential, normal, poisson, sign, uniform, uniform_sql
 from driftline.operators import ancestry, ld, reproduction, spatial, stats
+from driftline.plans import generations
 from driftline.registry import register
 from driftline.sources import plink, views
+from driftline.streaming import monitor
 
 V = views.SQL
 
@@ -599,3 +601,21 @@ register(
     lambda s, d: views.table(s, d, "lineitem").select(ld.selection_class(F.col("l_tax"), F.col("l_discount"), F.col("l_quantity") - 25).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n")),
     "SELECT CASE WHEN l_tax >= 0.05 THEN 'neutral' WHEN l_discount >= 0.05 THEN 'stabilizing' WHEN l_quantity - 25 > 0 THEN 'directional+' ELSE 'directional-' END AS class, count(*) AS n FROM lineitem GROUP BY 1",
 )
+
+
+# --- generations and streams -------------------------------------------------------------------------------------
+
+
+def one_generation(s: SparkSession, d: str) -> DataFrame:
+    """One generation from the stored haplotypes: each deme's size, variance and factor after it. No SQL: tests hold it."""
+    hap, variants = _genotypes(s, d)
+    after = generations.next_generation(hap, variants, 1, seed=1, chr_len=views.CHR_LEN, vs=0.5, mutation=1e-3)
+    return _rounded(stats.bulmer_per_deme(after, variants), "va", "genic", "b")
+
+
+register("one_generation", one_generation)
+register(
+    "monitor_windows",
+    lambda s, d: _rounded(monitor.windows(views.table(s, d, "events").select("ts", F.col("event_type").alias("key"), "value")), "mean", "sd"),
+    f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS key, count(*) AS n, {_r('avg(value)')} AS mean, {_r('stddev_samp(value)')} AS sd FROM events GROUP BY ALL",
+)
