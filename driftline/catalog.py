@@ -619,3 +619,78 @@ register(
     lambda s, d: _rounded(monitor.windows(views.table(s, d, "events").select("ts", F.col("event_type").alias("key"), "value")), "mean", "sd"),
     f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS key, count(*) AS n, {_r('avg(value)')} AS mean, {_r('stddev_samp(value)')} AS sd FROM events GROUP BY ALL",
 )
+
+# --- further tests and summaries ---------------------------------------------------------------------------------
+
+
+def mahal_3d(s: SparkSession, d: str) -> DataFrame:
+    """Both scopes' B and the direction against their sign-flip cloud."""
+    geno, sites = _ld(s, d)
+    y = sites.join(ld.permutation_signs(sites, N_PERM), "slot").groupBy("perm").agg(F.sum(F.col("sign") * F.col("alpha") * F.col("p")).alias("y"))
+    points = _null_b(s, d).join(y, "perm").select("genome", "within", "y")
+    observed = ld.scope_b(ld.scope_values(geno, sites)).crossJoin(sites.agg(F.sum(F.col("alpha") * F.col("p")).alias("y")))
+    return _rounded(ld.radial_test(points, observed, ["genome", "within", "y"]), "radius", "p")
+
+
+register(
+    "mahal_3d",
+    mahal_3d,
+    f"""WITH {V}, {_NULL}, {_OBSERVED}, y AS (SELECT perm, sum(sign * alpha * p) AS y FROM qtl JOIN signs USING (slot) GROUP BY perm),
+m AS (SELECT avg(genome) AS m1, stddev_samp(genome) AS s1, avg(within) AS m2, stddev_samp(within) AS s2, avg(y) AS m3, stddev_samp(y) AS s3 FROM nul JOIN y USING (perm)),
+o AS (SELECT (genome - m1) / s1 AS o1, (within - m2) / s2 AS o2, ((SELECT sum(alpha * p) FROM qtl) - m3) / s3 AS o3 FROM obs, m),
+e AS (SELECT o1 * o1 + o2 * o2 + o3 * o3 AS sq, o1 * (genome - m1) / s1 + o2 * (within - m2) / s2 + o3 * (y - m3) / s3 AS along FROM nul JOIN y USING (perm), m, o)
+SELECT {_r('sqrt(max(sq))')} AS radius, {_r('(1 + count(*) FILTER (WHERE along >= sq))::DOUBLE / (1 + count(*))')} AS p FROM e""",
+)
+
+
+def response_summary(s: SparkSession, d: str) -> DataFrame:
+    """Change of trait sites from the first half of the haplotypes to the second, as if one came from the other."""
+    hap, variants = _genotypes(s, d)
+    half = F.pmod(F.floor(F.col("hap_id") / 2), F.lit(2))
+    return _rounded(ld.response(ld.trait_sites(hap.where(half == 0), variants), ld.trait_sites(hap.where(half == 1), variants, 0.0)), "d_mean_a", "d_p", "mean_abs")
+
+
+register(
+    "response_summary",
+    response_summary,
+    f"""WITH {V}, f0 AS (SELECT slot, avg(allele) AS p FROM hap WHERE ind_id % 2 = 0 GROUP BY slot), f1 AS (SELECT slot, avg(allele) AS p FROM hap WHERE ind_id % 2 = 1 GROUP BY slot),
+b AS (SELECT chr, bp, alpha, f0.p, CASE WHEN f1.p > 0 AND f1.p < 1 THEN f1.p ELSE 0 END AS p2 FROM variants JOIN f0 USING (slot) JOIN f1 USING (slot) WHERE is_qtl AND alpha <> 0 AND least(f0.p, 1 - f0.p) >= 0.01),
+x AS (SELECT *, CASE WHEN alpha > 0 THEN p2 - p ELSE p - p2 END AS d FROM b)
+SELECT count(*) AS n_standing, count(*) FILTER (WHERE p2 > 0 AND p2 < 1) AS n_alive, {_r('sum(2 * alpha * (p2 - p))')} AS d_mean_a, {_r('avg(d)')} AS d_p, {_r('avg(abs(d))')} AS mean_abs FROM x""",
+)
+
+
+def haplotype_r2(s: SparkSession, d: str) -> DataFrame:
+    hap, variants = _genotypes(s, d)
+    return _rounded(ld.haplotype_r2(hap, ld.scope_pairs(ld.trait_sites(hap, variants)).where("in_window and j < k")), "r2")
+
+
+register(
+    "haplotype_r2",
+    haplotype_r2,
+    f"""WITH {V}, pairs AS (SELECT a.slot AS j, b.slot AS k FROM qtl a JOIN qtl b ON a.chr = b.chr AND a.slot < b.slot AND abs(a.bp - b.bp) <= 25000),
+m AS (SELECT j, k, avg(x.allele * y.allele) AS pxy, avg(x.allele) AS px, avg(y.allele) AS py FROM pairs JOIN hap x ON x.slot = j JOIN hap y ON y.slot = k AND y.hap_id = x.hap_id GROUP BY ALL)
+SELECT j::INTEGER AS j, k::INTEGER AS k, {_r('CASE WHEN px * (1 - px) * py * (1 - py) > 0 THEN (pxy - px * py) ** 2 / (px * (1 - px) * py * (1 - py)) END')} AS r2 FROM m""",
+)
+
+
+def msd_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Mutation-selection-drift scalars for each deme of the stored haplotypes, with V_S twenty times V_P and h2 a half."""
+    b = stats.bulmer_per_deme(*_genotypes(s, d))
+    vp, ne = 2 * F.col("va"), F.col("n").cast("double")
+    vs, nm = 20 * vp, 4 * ne * 0.05
+    out = b.select("deme", "n", (ne * 10 * nm / (1 + nm)).alias("ne_island"), F.sqrt(vs / (2 * ne)).alias("delta"), genetics.half_life(vs, vp, F.lit(0.5)).alias("half_life"), (F.log(F.lit(2.0)) * vs / F.col("va")).alias("half_life_approx"))
+    return _rounded(out, "ne_island", "delta", "half_life", "half_life_approx")
+
+
+register(
+    "msd_metrics",
+    msd_metrics,
+    f"""{_DEME} SELECT deme, n, {_r('n * 10.0 * (4 * n * 0.05::DOUBLE) / (1 + 4 * n * 0.05::DOUBLE)')} AS ne_island, {_r('sqrt(40 * va / (2 * n))')} AS delta,
+{_r('ln(2.0) * (2 * va + 40 * va) / (0.5 * 2 * va)')} AS half_life, {_r('ln(2.0) * 40 * va / va')} AS half_life_approx FROM dv""",
+)
+register(
+    "constraint_checks",
+    lambda s, d: stats.bulmer_per_deme(*_genotypes(s, d)).select("deme", F.when(F.col("n") < 25, "WARNING").otherwise("OK").alias("size"), F.when(F.abs("b") > 0.5, "CHECK").when(F.abs("b") > 0.2, "WARNING").otherwise("OK").alias("bulmer")),
+    f"{_DEME} SELECT deme, CASE WHEN n < 25 THEN 'WARNING' ELSE 'OK' END AS size, CASE WHEN abs((va - genic) / genic) > 0.5 THEN 'CHECK' WHEN abs((va - genic) / genic) > 0.2 THEN 'WARNING' ELSE 'OK' END AS bulmer FROM dv JOIN dg USING (deme)",
+)

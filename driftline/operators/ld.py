@@ -115,3 +115,38 @@ def selection_class(p_gate: Column, p_plane: Column, direction_sign: Column, lev
     return F.when(p_gate >= level, "neutral").when(p_plane >= level, "stabilizing").when(direction_sign > 0, "directional+").otherwise("directional-")
 
 
+
+
+def radial_test(points: DataFrame, observed: DataFrame, axes: list[str]) -> DataFrame:
+    """radius, p: length of the standardized observation, and how often null points reach it along its direction.
+
+    Axes are standardized by the null's mean and deviation; null when there are under five points or an axis is constant.
+    """
+    moments = points.agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{t}{c}") for c in axes for t, f in (("m", F.avg), ("s", F.stddev_samp))])
+    one = moments.crossJoin(observed.select(*[F.col(c).alias(f"_o{c}") for c in axes])).where(" and ".join(["_n >= 5", *[f"_s{c} > 1e-30" for c in axes]]))  # one row each
+    z = lambda v, c: (v - F.col(f"_m{c}")) / F.col(f"_s{c}")
+    both = points.crossJoin(F.broadcast(one))
+    square = sum(z(F.col(f"_o{c}"), c) * z(F.col(f"_o{c}"), c) for c in axes)
+    along = sum(z(F.col(f"_o{c}"), c) * z(F.col(c), c) for c in axes)
+    return both.select(F.sqrt(square).alias("radius"), along.alias("along"), square.alias("square")).groupBy("radius").agg(((1 + F.count_if(F.col("along") >= F.col("square"))) / (1 + F.count(F.lit(1)))).alias("p"))
+
+
+def response(before: DataFrame, after: DataFrame) -> DataFrame:
+    """n_standing, n_alive, d_mean_a, d_p, mean_abs: change of standing trait sites (chr, bp, alpha, p), matched by place.
+
+    Frequencies are those of the allele that raises the trait; sites that are gone after count as unchanged in identity
+    and frequency 0.
+    """
+    up = lambda p: F.when(F.col("alpha") > 0, p).otherwise(1 - p)
+    now = after.select("chr", "bp", F.col("p").alias("p2"))
+    both = before.join(now, ["chr", "bp"], "left").withColumn("p2", F.coalesce("p2", F.lit(0.0))).withColumn("d", up(F.col("p2")) - up(F.col("p")))
+    return both.agg(F.count(F.lit(1)).alias("n_standing"), F.count_if((F.col("p2") > 0) & (F.col("p2") < 1)).alias("n_alive"), F.sum(2 * F.col("alpha") * (F.col("p2") - F.col("p"))).alias("d_mean_a"), F.avg("d").alias("d_p"), F.avg(F.abs("d")).alias("mean_abs"))
+
+
+def haplotype_r2(hap: DataFrame, pairs: DataFrame) -> DataFrame:
+    """j, k, r2: D**2 / (p1 q1 p2 q2) of two sites over haplotypes; null where one does not vary."""
+    a = hap.select("hap_id", F.col("slot").alias("j"), F.col("allele").alias("x")).join(F.broadcast(pairs.select("j", "k")), "j")
+    both = a.join(hap.select("hap_id", F.col("slot").alias("k"), F.col("allele").alias("y")), ["hap_id", "k"])
+    m = both.groupBy("j", "k").agg(F.avg(F.col("x") * F.col("y")).alias("pxy"), F.avg("x").alias("px"), F.avg("y").alias("py"))
+    room = F.col("px") * (1 - F.col("px")) * F.col("py") * (1 - F.col("py"))
+    return m.select("j", "k", F.when(room > 0, F.pow(F.col("pxy") - F.col("px") * F.col("py"), 2) / room).alias("r2"))
