@@ -283,7 +283,7 @@ def _dear_signatures(docs: DataFrame, rows: int, id_col: str, text_col: str) ->
 def candidate_groups(docs: DataFrame, dear: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of classes that share a signature and of which at least one probes.
 
-    Rows: gid, members, probes (places in members); or, without gid, a set that needs another way: its class and some of
+    Rows: gid (odd for a dear signature), members, probes (places in members); or, without gid, a set that needs another way: its class and some of
     its shingles as members. Signatures travel as blocks of numbers, 5 bytes of each besides
     what the block tells; a set that is there many times in a task travels once. Members of a dear signature are dealt
     over SALTS rows with the same gid. Equal groups of a task are given once.
@@ -331,7 +331,7 @@ def candidate_groups(docs: DataFrame, dear: np.ndarray, id_col: str = "doc_id",
                     some = [(c, s[: len(s) // 4 + 1]) for c, s in (list(sets.items())[k] for k in np.unique(found.short).tolist())]
                     none = pa.array([b""] * len(some), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array([-1] * len(some), pa.int32()), none, none, none, pa.array([np.int64(c).tobytes() + s.tobytes() for c, s in some], pa.binary())], names=["block", "high", "low", "flags", "member"])
-                if rows > 1_000_000:
+                if rows > 300_000:
                     yield blocks_of()
                     rows = 0
         if held:
@@ -365,19 +365,21 @@ def candidate_groups(docs: DataFrame, dear: np.ndarray, id_col: str = "doc_id",
         once = np.concatenate([[True], (key[1:] != key[:-1]) | (member[1:] != member[:-1])]) if len(key) else np.zeros(0, bool)
         key, member, probe = key[once], member[once], probe[once]
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, "i8")
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             hot = int(key[a]) >> 16 & 0xFF
             if (b - a < 2 or not probe[a:b].any()) and not hot:
                 continue
-            if not hot:
-                mark = hashlib.blake2b(member[a:b].tobytes() + probe[a:b].tobytes(), digest_size=16).digest()
-                if mark in seen:
+            if hot:
+                # the salt and the block are no part of a dear signature
+                gid = int(key[a]) >> 24 << 24 | 1
+            else:
+                # equal groups get one gid, whatever they share
+                gid = int.from_bytes(hashlib.blake2b(member[a:b].tobytes() + probe[a:b].tobytes(), digest_size=8).digest(), "little") & ~1
+                if gid in seen:
                     continue
-                seen.add(mark)
-            # the salt and the block are no part of a dear signature
-            gid = int(key[a]) >> 24 << 24 if hot else int(key[a])
+                seen.add(gid)
             out.append((gid - 2**64 if gid >= 2**63 else gid, member[a:b], np.flatnonzero(probe[a:b]).astype("i4")))
             if len(out) >= 5000:
                 yield _groups_batch(out, names)
@@ -503,7 +505,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rep = scratch.write("rep", own.where("class is not null").groupBy("class").agg(F.min("_doc").alias("doc"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")))
     dear = _dear_signatures(docs, own.count(), id_col, text_col)
     found = scratch.write("groups", candidate_groups(docs, dear, id_col, text_col))
-    groups = found.where("gid is not null")
+    groups = scratch.write("distinct", found.where("gid is not null").dropDuplicates(["gid", "members"]))
     extra = _short_pairs(docs, found.where("gid is null"), id_col, text_col)
 
     pivot = F.when(F.size("probes") > 0, F.get("members", F.get("probes", F.lit(0)))).otherwise(F.get("members", F.lit(0)))
@@ -513,10 +515,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(pairs, docs, rep, scratch, "first", id_col, text_col)
     roots = components(links, scratch, "first")
 
-    members = groups.select("gid", F.posexplode("members").alias("_i", "v"), "probes").select("gid", "v", F.array_contains("probes", F.col("_i")).alias("probe"))
+    # what was compared with all its group is done; in a dear group it was compared with its row of the group
+    members = groups.select("gid", pivot.alias("_a"), F.posexplode("members").alias("_i", "v"), "probes")
+    members = members.where("gid & 1 = 1 or v <> _a").select("gid", "v", F.array_contains("probes", F.col("_i")).alias("probe"))
     rooted = members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    # a group of two has been compared
-    several = rooted.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo < _hi and _n > 2").select("gid")
+    several = rooted.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("probe").alias("_p")).where("_lo < _hi and _p").select("gid")
     mixed = scratch.write("mixed", rooted.join(several, "gid").select("gid", "v", "root", "probe"))
     more = scratch.write("more", _cross_pairs(mixed, rep).join(pairs, ["a", "b"], "left_anti"))
     links = links.union(_verified(more, docs, rep, scratch, "second", id_col, text_col))
