@@ -120,3 +120,49 @@ def test_plan_is_as_good_as_exhaustive_search(seed):
     assert hashlib.md5(repr(packing.plan(counts, length)).encode()).digest() == hashlib.md5(repr(packing.plan(counts, length)).encode()).digest()
     for k in range(1, length + 1):
         assert sum(r[2] * r[5] for r in packing.plan(counts, length) if r[0] == k) == counts[k]
+
+
+def least_of(sizes, length):
+    """The fewest bins by trying every place of every piece."""
+    best = len(sizes)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(sizes):
+            best = len(bins)
+            return
+        for i in {b: i for i, b in enumerate(bins)}.values():
+            if bins[i] + sizes[k] <= length:
+                place(k + 1, bins[:i] + [bins[i] + sizes[k]] + bins[i + 1 :])
+        place(k + 1, [*bins, sizes[k]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("n", [2, 1000, 10**6])
+def test_plan_goes_back_on_skewed_lengths(n):
+    """The filling of least waste around the longest piece, {408, 306, 306}, leads to 3.5 n sequences."""
+    counts = np.zeros(1025, "i8")
+    counts[[306, 357, 408]] = 2 * n, 4 * n, 2 * n
+    rows = packing.plan(counts)
+    assert bins_of(counts, 1024) == 3 * n
+    assert {k: sum(r[2] * r[5] for r in rows if r[0] == k) for k in (306, 357, 408)} == {306: 2 * n, 357: 4 * n, 408: 2 * n}
+    assert packing.pack_counts(counts)[1] <= 3 * n
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_search_that_ends_is_exact(seed):
+    draw, length = random.Random(seed), 40
+    sizes = sorted((draw.randrange(7, 21) for _ in range(10)), reverse=True)
+    found, bound = packing.pack_counts(np.bincount(sizes, minlength=length + 1), length)
+    assert sum(times for _, times in found) == bound == least_of(sizes, length)
+    assert packing.least_sequences(np.bincount(sizes, minlength=length + 1), length) <= bound
+
+
+def test_dominated_fillings():
+    assert packing.dominated(1 << 5, [(4, 1)], 1) and not packing.dominated(1 << 6, [(4, 1)], 1)
+    assert packing.dominated(1 << 8, [(4, 2)], 0) and not packing.dominated(1 << 4, [(4, 1)], 0)
+    assert packing.dominated(1 << 1, [], 1) and not packing.dominated(1 << 2, [], 1)
