@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -204,17 +205,19 @@ def _is_furniture(slot: str) -> bool:
     return False
 
 
-def content_slots(found: set[str], chars: dict[str, int]) -> set[str]:
-    """The slots that hold main text: those in an article or main element, less furniture.
+def content_slots(found: set[str]) -> tuple[set[str], bool]:
+    """The slots of a page that hold main text, and whether an article or main element tells so.
 
-    Without such an element: the container with most text over the host's pages, and what stands in it.
+    They are the slots in such an element, less furniture. Without one: all slots that are no furniture, so what stands
+    in the common container of the page's text blocks.
     """
     plain = {s for s in found if not _is_furniture(s)}
     main = {s for s in plain if any(not MAIN.isdisjoint(p.split(".")) for p in s[1:].split(">"))}
-    if main or not plain:
-        return main
-    best = max(plain, key=lambda s: (chars.get(s, 0), s))
-    return {s for s in plain if s == best or s.startswith(best + ">")}
+    return (main, True) if main else (plain, False)
+
+
+def _text_id(slot: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{slot}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _dump(wrapper: list[tuple[Node, bool]]) -> str:
@@ -241,29 +244,43 @@ def expression(wrapper: list[tuple[Node, bool]]) -> str:
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One wrapper per host from all of its pages: host, wrapper, content (the slots of main text).
+    """One wrapper per host from all of its pages: host, wrapper, template (texts by slot that are no content).
 
     Each page's stream is folded; equal streams of a host count once, so a host with a third of all pages has few.
-    Streams are aligned FAN_IN at a time, in rounds, until each host has one expression.
+    Streams are aligned FAN_IN at a time, in rounds, until each host has one expression. Text slots are aligned by
+    where they stand and what they hold: of the pages without article and main, a text that is in a slot on all of the
+    host's different pages that have the slot, two or more, is template.
     """
     scratch = Scratch(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
+            bare: dict[tuple[str, int], tuple[list[int], list[int]]] = {}
             for url, page in zip(batch.column("_url").to_pylist(), batch.column("_html").to_pylist(), strict=True):
                 host, stream = host_of(url), tokens(page or "")
-                seen[host, "stream", _dump([(n, False) for n in fold([label for label, _ in stream])])] += 1
-                for label, text in stream:
-                    if text:
-                        seen[host, "chars", label] += len(text)
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
-            columns = [*zip(*((*key, n) for key, n in seen.items()), strict=True)] or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "kind", "value", "n"])
-
-    found = pages.select(pages[url_col].alias("_url"), pages[html_col].alias("_html")).mapInArrow(run, "host string, kind string, value string, n long")
-    found = scratch.write("found", found.groupBy("host", "kind", "value").agg(F.sum("n").alias("n")))
-    chars = found.where("kind = 'chars'").select("host", F.col("value").alias("slot"), "n")
+                labels = [label for label, _ in stream]
+                seen[host, _dump([(n, False) for n in fold(labels)])] += 1
+                keep, marked = content_slots({x for x in labels if x.startswith("#")})
+                if keep and not marked:
+                    blocks = {(label, text) for label, text in stream if label in keep}
+                    name = _text_id("", json.dumps(stream))
+                    bare[host, name] = [_text_id(*b) for b in sorted(blocks)], [_text_id(label, "") for label, _ in sorted(blocks)]
+            columns = [
+                pa.array([host for host, _ in seen] + [host for host, _ in bare], pa.string()), pa.array([x for _, x in seen] + [None] * len(bare), pa.string()),
+                pa.array([None] * len(seen) + [name for _, name in bare], pa.int64()),
+                *(pa.array([None] * len(seen) + [lists[k] for lists in bare.values()], pa.list_(pa.int64())) for k in (0, 1)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "stream", "page", "texts", "slots"])
+
+    read = pages.select(pages[url_col].alias("_url"), pages[html_col].alias("_html")).mapInArrow(run, "host string, stream string, page long, texts array<long>, slots array<long>")
+    # repeated streams and pages leave here; lists are those of equal pages, so any will do
+    found = scratch.write("found", read.groupBy("host", "stream", "page").agg(F.first("texts").alias("texts"), F.first("slots").alias("slots")))
+    bare = found.where("page is not null")
+    counted = bare.select("host", F.explode(F.arrays_zip("texts", "slots")).alias("x")).groupBy("host", F.col("x.texts").alias("text"), F.col("x.slots").alias("slot")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    with_slot = bare.select("host", F.explode(F.array_distinct("slots")).alias("slot")).groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n"))
+    # a host's template has no more texts than its shortest pages
+    template = counted.join(with_slot, ["host", "slot", "n"]).groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("template"))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         made: list[tuple[Node, bool]] | None = None
@@ -271,7 +288,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
             made = _load(text) if made is None else align(made, _load(text))
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [_dump(made or [])]})
 
-    step, k = found.where("kind = 'stream'").select("host", F.col("value").alias("wrapper")), 0
+    step, k = found.where("stream is not null").select("host", F.col("stream").alias("wrapper")), 0
     while True:
         sizes = step.groupBy("host").agg(F.count(F.lit(1)).alias("_n"))
         if (sizes.agg(F.max("_n")).first()[0] or 0) <= 1:
@@ -279,56 +296,50 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         salted = salted_left_join(step, sizes, ["host"], F.xxhash64("wrapper")).withColumn("_part", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("_n") / FAN_IN)))
         step, k = scratch.write(f"round{k}", salted.select("host", "wrapper", "_part").groupBy("host", "_part").applyInPandas(merge, "host string, wrapper string")), k + 1
 
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        sums = dict(zip(group["slot"].dropna(), group["n"].dropna().astype("int64"), strict=True))
-        wrapper = group["wrapper"].iloc[0]
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [wrapper], "content": [sorted(content_slots(slots(_load(wrapper)), sums))]})
-
-    # one row for each slot of a host's expression
-    return scratch.write("wrappers", step.join(chars, "host", "left").groupBy("host").applyInPandas(decide, "host string, wrapper string, content array<string>"))
+    return scratch.write("wrappers", step.join(template, "host", "left").select("host", "wrapper", F.coalesce("template", F.array().cast("array<long>")).alias("template")))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page through its host's wrapper: id, url, text, n_chars, matched.
 
-    The page's token stream is matched to the wrapper; texts in the wrapper's content slots are its blocks, joined in
-    page order by one space. Character references are decoded and white space in a block becomes one space.
+    The page's token stream is matched to the wrapper; texts in the page's content slots (see `content_slots`) are its
+    blocks, joined in page order by one space. Character references are decoded and white space in a block becomes one
+    space. Without article and main, blocks that are template go, unless the page has no others.
 
-    Null and empty pages have text ''. Pages without a host share the wrapper of ''. A page that the wrapper does not
-    accept, `matched` false, is read by a wrapper of its own. Repeated rows are read alike; an empty table gives an
+    Null and empty pages have text ''. Pages without a host share the wrapper of ''. `matched` is false where the
+    wrapper does not accept a page. Repeated rows are read alike; an empty table gives an
     empty result; other columns are not read.
     """
     wrappers = infer_wrappers(pages, url_col, html_col)
     rows = pages.select(pages[id_col].alias("_id"), pages[url_col].alias("_url"), pages[html_col].alias("_html"))
     host = F.lower(F.regexp_extract(F.coalesce("_url", F.lit("")), _HOST.pattern, 1))
-    size = wrappers.agg(F.sum(F.length("wrapper") * 4 + F.length(F.to_json("content")) * 4 + F.length("host") * 4)).first()[0] or 0
+    size = wrappers.agg(F.sum(F.length("wrapper") * 4 + F.size("template") * 8 + F.length("host") * 4)).first()[0] or 0
     rows = rows.withColumn("host", host)
     joined = rows.join(F.broadcast(wrappers), "host", "left") if size <= BROADCAST_BYTES else salted_left_join(rows, wrappers, ["host"], F.xxhash64("_id", "_url"))
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("matched", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list, set[str], dict]] = {}
+        known: dict[str, tuple[list, set[int], dict]] = {}
         for batch in batches:
             texts, fits = [], []
-            for host, page, wrapper, content in zip(*(batch.column(c).to_pylist() for c in ("host", "_html", "wrapper", "content")), strict=True):
+            for host, page, wrapper, template in zip(*(batch.column(c).to_pylist() for c in ("host", "_html", "wrapper", "template")), strict=True):
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[host] = (_load(wrapper), set(content), {}) if wrapper is not None else ([], set(), {})
-                expected, keep, seen = known[host]
+                    known[host] = (_load(wrapper), set(template), {}) if wrapper is not None else ([], set(), {})
+                expected, fixed, seen = known[host]
                 stream = tokens(page or "")
                 labels = tuple(label for label, _ in stream)
-                if (fit := seen.get(labels)) is None:
+                if (found := seen.get(labels)) is None:
                     if len(seen) > 1000:
                         seen.clear()
-                    fit = seen[labels] = accepts(expected, list(labels))
-                if not fit:
-                    sums: Counter = Counter()
-                    for label, text in stream:
-                        sums[label] += len(text)
-                    keep = content_slots({x for x in labels if x.startswith("#")}, sums)
-                texts.append(" ".join(text for label, text in stream if text and label in keep))
+                    found = seen[labels] = accepts(expected, list(labels)), *content_slots({x for x in labels if x.startswith("#")})
+                fit, keep, marked = found
+                blocks = [(label, text) for label, text in stream if text and label in keep]
+                if fixed and not marked:
+                    blocks = [b for b in blocks if _text_id(*b) not in fixed] or blocks
+                texts.append(" ".join(text for _, text in blocks))
                 fits.append(fit)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(fits, pa.bool_())], names=schema.names)
 
-    return joined.select("_id", "_url", "_html", "host", "wrapper", "content").mapInArrow(run, schema)
+    return joined.select("_id", "_url", "_html", "host", "wrapper", "template").mapInArrow(run, schema)

@@ -78,3 +78,26 @@ def test_rounds_of_alignment_agree(spark, monkeypatch, fan_in):
     got = w.extract_main_text(frame(spark, rows)).collect()
     assert all(r["matched"] for r in got)
     assert {r["page_id"]: r["text"] for r in got} == {k: " ".join(["a"] * (k % 4) + ["b"] * (k % 3)) for k in range(30)}
+
+
+def test_pages_without_the_main_element_of_their_host_keep_their_text(spark):
+    rows = [("http://t.example/a", "<body><article><p>In an article</article></body>"), ("http://t.example/b", "<body><div><p>Other template</div></body>"), (None, "<main>m</main>"), (None, "<div>no address</div>")]
+    got = {r["page_id"]: r for r in w.extract_main_text(frame(spark, rows)).collect()}
+    assert [got[k]["text"] for k in range(4)] == ["In an article", "Other template", "m", "no address"]
+    assert all(r["matched"] for r in got.values())
+
+
+def test_paragraphs_around_a_long_list_stay_and_constant_text_goes(spark):
+    items = "".join(f"<li>a long item of the list {k}" for k in range(20))
+    page = "<body><div><p>Our site since 1999<p>Before {k}<ul>{items}</ul><table><tr><td>cell {k}</table><p>After {k}</div><div class=menu>Menu</div></body>"
+    rows = [(f"http://l.example/{k}", page.format(k=k, items=items.replace("long", f"long {k}"))) for k in (1, 2, 2)]
+    rows += [("http://once.example/", page.format(k=1, items=""))] * 2
+    got = {r["page_id"]: r["text"] for r in w.extract_main_text(frame(spark, rows)).collect()}
+    for at, k in enumerate((1, 2, 2)):
+        assert got[at] == " ".join([f"Before {k}", *(f"a long {k} item of the list {j}" for j in range(20)), f"cell {k}", f"After {k}"])
+    assert got[3] == got[4] == "Our site since 1999 Before 1 cell 1 After 1"
+
+
+def test_a_page_of_template_alone_keeps_its_text(spark):
+    rows = [("http://s.example/1", "<div><p>shared</div>"), ("http://s.example/2", "<div><p>shared<p>own</div>")]
+    assert {r["page_id"]: r["text"] for r in w.extract_main_text(frame(spark, rows)).collect()} == {0: "shared", 1: "own"}
