@@ -18,9 +18,9 @@ from driftline.llm.bpe import encoder, texts_of
 END_ID = 2
 #: Ids of a block: each has its own rules, and a reader needs one block at a time.
 BLOCK_IDS = 500_000
-#: Rounds of replacement, pairs replaced in a round, and how often a pair must be there to earn its rule.
-ROUNDS, PAIRS, LEAST = 3, 1024, 8
-#: Counters that pairs are hashed to before the fullest are counted exactly.
+#: Pairs replaced at once (rounds go on until no frequent pair is left), and how often a pair must be there to earn its rule.
+PAIRS, LEAST = 1024, 8
+#: Counters that pairs are hashed to: those of a counter below LEAST need no exact count.
 COUNTER_BITS = 18
 
 #: A block of the file: where it is, the first nonterminal, rules, expansion lengths, the sequence and its documents.
@@ -39,12 +39,12 @@ class Grammar:
     def __init__(self, terminals: int, left: np.ndarray, right: np.ndarray):
         self.terminals, self.left, self.right = terminals, left, right
         parts: list[np.ndarray] = []
-        whole = lambda s: parts[s - terminals] if s >= terminals else np.array([s], "i8")
+        whole = lambda s: parts[s - terminals] if s >= terminals else np.array([s], "u4")
         for a, b in zip(left.tolist(), right.tolist(), strict=True):
             parts.append(np.concatenate([whole(a), whole(b)]))
         #: How many ids each nonterminal stands for, and all expansions one after the other.
         self.lengths = np.array([len(p) for p in parts], "i8")
-        self.flat = np.concatenate([*parts, np.zeros(0, "i8")]).astype("u4")
+        self.flat = np.concatenate([*parts, np.zeros(0, "u4")])
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def sizes(self, sequence: np.ndarray) -> np.ndarray:
@@ -57,18 +57,13 @@ class Grammar:
     def expand(self, sequence: np.ndarray) -> np.ndarray:
         """The ids that a sequence of symbols stands for."""
         size = self.sizes(sequence)
-        ends = np.cumsum(size)
-        # an id stands for itself, a nonterminal for its part of all expansions: first ids of all, then second ids ...
-        rule = np.flatnonzero(size > 1)
-        single = np.flatnonzero(size == 1)
-        out = np.empty(ends[-1] if len(ends) else 0, "u4")
-        out[ends[single] - 1] = sequence[single]
-        long, begin = size[rule], self.starts[sequence[rule] - self.terminals]
-        into = ends[rule] - long
-        for k in range(int(long.max()) if len(rule) else 0):
-            here = np.flatnonzero(long > k) if k > 1 else slice(None)
-            out[into[here] + k] = self.flat[begin[here] + k]
-        return out
+        # an id stands for itself, a nonterminal for its part of all expansions
+        begin = len(self.flat) + np.arange(len(sequence))
+        rule = np.flatnonzero(sequence >= self.terminals)
+        begin[rule] = self.starts[sequence[rule] - self.terminals]
+        ends = np.cumsum(size, dtype="i8")
+        source = np.concatenate([self.flat, sequence.astype("u4")])
+        return source[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
     def slice(self, sequence: np.ndarray, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of what a sequence stands for; expansion lengths tell which symbols hold them."""
@@ -80,34 +75,33 @@ class Grammar:
 
 
 def _frequent(first: np.ndarray, second: np.ndarray, base: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """The most frequent pairs that cannot overlap (no right symbol of one is the left symbol of another), where they
-    are, and which of them is there. Second symbols of `base` and more belong to no pair."""
+    """Up to PAIRS of the most frequent pairs that cannot overlap (no right symbol of one is the left symbol of another),
+    where they are, and which of them is there. Counts are exact; a pair of equal symbols counts at every other place of
+    a run. Second symbols of `base` and more belong to no pair. Only where no pair has LEAST places there is none."""
+    free = second < base
+    twin = np.flatnonzero((first == second) & free)
+    if len(twin):
+        start = np.maximum.accumulate(np.where(np.diff(twin, prepend=-2) > 1, twin, 0))
+        free[twin[(twin - start) % 2 == 1]] = False
+    at = np.flatnonzero(free)
+    first, second = first[at], second[at]
     slot = (first * np.uint32(0x9E3779B1) + second) * np.uint32(0x85EBCA6B) >> np.uint32(32 - COUNTER_BITS)
-    full = np.bincount(slot, minlength=1 << COUNTER_BITS)
-    floor = max(LEAST, int(np.partition(full, -PAIRS)[-PAIRS]))
-    # a full counter is that of one pair, or nearly: the pair that came last is counted exactly
-    number = np.full(len(full), -1, "i4")
-    number[full >= floor] = np.arange(np.count_nonzero(full >= floor))
-    which = number[slot]
-    at = np.flatnonzero(which >= 0)
-    which, key = which[at], first[at] * np.uint64(base + 1) + second[at]
-    pair = np.zeros(number.max() + 1, "u8")
-    pair[which] = key
-    same = np.flatnonzero(pair[which] == key)
-    at, which = at[same], which[same]
-    count = np.bincount(which, minlength=len(pair))
+    some = np.flatnonzero((np.bincount(slot, minlength=1 << COUNTER_BITS) >= LEAST)[slot])
+    at = at[some]
+    pair, which, count = np.unique(first[some] * np.uint64(base) + second[some], return_inverse=True, return_counts=True)
     lefts: set[int] = set()
     rights: set[int] = set()
     chosen, out = np.full(len(pair), -1, "i8"), []
-    for k in np.lexsort((pair, -count))[: 2 * PAIRS].tolist():
-        if count[k] < LEAST:
-            break
-        a, b = divmod(int(pair[k]), base + 1)
-        if a != b and b < base and a not in rights and b not in lefts:
+    enough = np.flatnonzero(count >= LEAST)
+    for k in enough[np.lexsort((pair[enough], -count[enough]))][: 2 * PAIRS].tolist():
+        a, b = divmod(int(pair[k]), base)
+        if a not in rights and b not in lefts and (a != b or a not in lefts and b not in rights):
             lefts.add(a)
             rights.add(b)
             chosen[k] = len(out)
             out.append((a, b))
+            if len(out) == PAIRS:
+                break
     which = chosen[which]
     hit = np.flatnonzero(which >= 0)
     return out, at[hit], which[hit]
@@ -116,17 +110,15 @@ def _frequent(first: np.ndarray, second: np.ndarray, base: int) -> tuple[list[tu
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over the documents that end at `ends`: left, right, sequence, symbols of each document.
 
-    Every round replaces the most frequent pairs by nonterminals, all at once where pairs cannot overlap. No pair
-    crosses the end of a document, so each document is a run of symbols.
+    Every round replaces the most frequent pairs by nonterminals, all at once where pairs cannot overlap, until no pair
+    is there LEAST times. No pair crosses the end of a document, so each document is a run of symbols.
     """
     sequence = ids.astype("u4")
     last = np.zeros(len(sequence), bool)
     last[ends - 1] = True
     left: list[int] = []
     right: list[int] = []
-    for _ in range(ROUNDS):
-        if len(sequence) < 2:
-            break
+    while len(sequence) > 1:
         base = terminals + len(left)
         # a document's last symbol pairs with none: it counts as a pair with the symbol `base`, which is none
         second = np.where(last[:-1], np.uint32(base), sequence[1:])
@@ -143,6 +135,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndar
     return np.array(left, "i8"), np.array(right, "i8"), sequence, np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
 
 
+def expansion_lengths(terminals: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many ids each nonterminal stands for."""
+    out: list[int] = []
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        out.append((out[a - terminals] if a >= terminals else 1) + (out[b - terminals] if b >= terminals else 1))
+    return np.array(out, "i8")
+
+
 def write_ids(docs: DataFrame, path: str, spec: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Encodes whole texts and writes them as compressed blocks in ascending order of id, nulls first.
 
@@ -169,7 +169,7 @@ def write_ids(docs: DataFrame, path: str, spec: str, id_col: str = "doc_id", tex
             n = np.array([len(h) // 4 for h in held], "i8")
             left, right, sequence, symbols = compress(np.frombuffer(b"".join(held), "<u4"), np.cumsum(n), terminals)
             packed, width = _pack(sequence)
-            row = [shard, block, terminals, left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), Grammar(terminals, left, right).lengths.astype("<u4").tobytes(), width, packed, symbols.astype("<u4").tobytes(), n.astype("<u4").tobytes()]
+            row = [shard, block, terminals, left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), expansion_lengths(terminals, left, right).astype("<u4").tobytes(), width, packed, symbols.astype("<u4").tobytes(), n.astype("<u4").tobytes()]
             ids = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(names))
             names.clear()
             held.clear()

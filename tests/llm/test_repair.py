@@ -64,3 +64,21 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     repair.write_ids(docs, str(tmp_path / "none"), bpe.from_file(P.path("byte_bpe_50k.json")))
     assert repair.read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_goes_on_until_no_pair_is_frequent():
+    """A repeated passage and a run of one id end as a few symbols each, and no pair with LEAST places is left."""
+    draw = np.random.default_rng(1)
+    passage = draw.permutation(1000)
+    parts = [*[np.concatenate([passage, draw.integers(1000, 1400, 3)]) for _ in range(400)], np.full(5000, 7), draw.integers(0, 1400, 20_000)]
+    ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    left, right, sequence, symbols = repair.compress(ids, ends, 1400)
+    grammar = repair.Grammar(1400, left, right)
+    assert np.array_equal(grammar.expand(sequence), ids)
+    assert np.array_equal(grammar.lengths, repair.expansion_lengths(1400, left, right))
+    assert len(sequence) < 400 * 4 + 5000 // 256 + 20_000 and grammar.lengths.max() >= 1000
+    inside = np.ones(len(sequence) - 1, bool)
+    inside[np.cumsum(symbols)[:-1] - 1] = False
+    pairs, counts = np.unique(np.stack([sequence[:-1], sequence[1:]])[:, inside], axis=1, return_counts=True)
+    assert counts[pairs[0] != pairs[1]].max() < repair.LEAST
+    assert counts[pairs[0] == pairs[1]].max(initial=0) < 2 * repair.LEAST
