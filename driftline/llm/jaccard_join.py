@@ -194,7 +194,8 @@ def signatures(sets: list[np.ndarray], dear: np.ndarray | None = None) -> Signat
             rank[order] = np.arange(len(value)) - np.repeat((np.cumsum(filled) - filled), filled)
             cheap = np.bincount(who, weights=~costly, minlength=len(n)).astype("i8")
             lack = np.maximum(0, most - np.minimum(cheap, most))
-            can_delete = (where - base[who] < DELETION_SEGMENTS) & ~costly & (rank < most[who])
+            # a segment of one shingle has no one-deletion neighbourhood: without it nothing is left to share
+            can_delete = (where - base[who] < DELETION_SEGMENTS) & (size > 1) & ~costly & (rank < most[who])
             upto = np.bincount(who, weights=can_delete, minlength=len(n)).astype("i8")
             deletes = np.minimum(lack, upto)
             nth = np.cumsum(can_delete) - can_delete

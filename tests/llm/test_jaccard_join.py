@@ -123,3 +123,24 @@ def test_dear_signatures_and_short_sets_change_nothing(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert j.near_duplicates(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_a_segment_of_one_shingle_allows_no_difference(seed):
+    """10 and 11 shingles, 9 shared: the first cheap segment lacks its only shingle, the other two have one more each."""
+    draw = np.random.default_rng(seed)
+    new = lambda n: draw.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+    m = int(j.segments_of(np.searchsorted(j._BANDS, [10], "right") - 1)[0])
+    segment = lambda t: ((t >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype("i8")
+    while True:
+        x = np.unique(new(10))
+        places, sizes = np.unique(segment(x), return_counts=True)
+        if len(x) == 10 and len(places) >= 6 and places[0] < j.DELETION_SEGMENTS <= places[1] and sizes[0] == 1:
+            break
+    more = [next(t for t in new(1000) if segment(t) == place) for place in places[1:3]]
+    y = np.unique(np.concatenate([x[segment(x) != places[0]], np.array(more, np.uint64)]))
+    assert (len(y), len(np.intersect1d(x, y))) == (11, 9)
+    dear = np.sort(j.signatures([x]).value[3 : len(places)])  # signatures of filled segments come first
+    found = j.signatures([x, y], dear)
+    mine, theirs = found.value[(found.owner == 0) & found.probe], found.value[found.owner == 1]
+    assert 0 in found.short or np.isin(mine, theirs).any()
