@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
+SEPARATORS = "[|»•›·]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A document stays while its failed lines hold at most this share of its words.
@@ -18,34 +18,60 @@ NAV_WORDS_EACH = 2
 MAX_SYMBOLS_PER_WORD = 0.5
 # Phrases of page furniture.
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "lorem ipsum", "click here", "sign up for our newsletter", "skip to content")
+#: One word of each phrase: a text with none of them has no phrase.
+BOILERPLATE_WORDS = ("rights", "policy", "terms", "javascript", "ipsum", "click", "newsletter", "skip")
+#: Bits of a place in the numbers that windows are sorted by.
+PLACE_BITS = 20
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+def _count(text: Column, characters: str) -> Column:
+    """How many characters of a regular expression's class are in a text."""
+    return F.regexp_count(text, F.lit(characters))
 
 
-def _symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+def _words(line: Column) -> Column:
+    """The words of a line whose white space is spaces."""
+    return F.array_remove(F.split(line, " "), "")
 
 
-def base_features(text: Column) -> dict[str, Column]:
-    """Columns that need no line rule. Windows of three words are found equal by their hashes, sorted with their places."""
-    return {
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
-        "n_symbols": _symbols(text).cast("long"),
-    }
+def _spaced(text: Column) -> Column:
+    """The text with spaces for all white space but line feeds: these literal replacements are cheaper than a pattern."""
+    for c in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
-def line_fails(line: Column, words: Column) -> Column:
-    """Whether a line is furniture: navigation, boilerplate, symbol noise, or a short line that no punctuation ends."""
-    trimmed = F.regexp_replace(line, r"[\x20\x09-\x0D]+$", "")
-    separators = F.length(line) - F.length(F.translate(line, "|»•›·", ""))
-    lower = F.lower(line)
-    navigation = (separators >= NAV_SEPARATORS) & (words <= NAV_WORDS_EACH * (separators + 1))
-    boiler = lower.rlike("|".join(BOILERPLATE).replace(" ", r"\s+"))
-    noise = _symbols(line) > words * F.lit(MAX_SYMBOLS_PER_WORD)
-    unended = (words <= 3) & ~trimmed.rlike("[.!?:;,\"')\\]…。！？”»]$")
-    return navigation | boiler | noise | unended
+def line_fails(line: Column, words: Column, phrases: bool = True, marks: bool = True) -> Column:
+    """Whether a line is furniture: navigation, boilerplate, symbol noise, or a short line that no punctuation ends.
+
+    A text without a word of the phrases, or without symbols and enough separators, does not need those rules.
+    """
+    bad = (words <= 3) & ~line.rlike("[.!?:;,\"')\\]…。！？”»][\\x20\\x09-\\x0D]*\\z")
+    if marks:
+        separators = _count(line, SEPARATORS)
+        bad = bad | (_count(line, SYMBOLS) > words * F.lit(MAX_SYMBOLS_PER_WORD)) | ((separators >= NAV_SEPARATORS) & (words <= NAV_WORDS_EACH * (separators + 1)))
+    if phrases:
+        bad = bad | F.lower(line).rlike("|".join(BOILERPLATE).replace(" ", r"\s+"))
+    return (words > 0) & bad
+
+
+def _repeated(step: DataFrame, others: list[str]) -> DataFrame:
+    """`_at` for `_h`, the hashes of a text's windows: the places of those found twice or more, ascending.
+
+    Plain longs sort fastest: PLACE_BITS of place below the rest of the hash. Where two hashes agree in that rest
+    alone, and in texts with more windows than places, whole hashes are sorted with their places instead.
+    """
+    mask = (1 << PLACE_BITS) - 1
+    near = lambda x, y: F.shiftrightunsigned(x.bitwiseXOR(y), PLACE_BITS) == 0
+    place = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
+    step = step.select(*others, "_h", F.sort_array(F.transform("_h", lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long")))).alias("_s"))
+    step = step.select(*others, "_h", F.filter("_s", lambda x, i: near(x, F.get("_s", i + 1)) | near(x, F.get("_s", i - 1))).alias("_c"))
+    whole = F.size(F.array_distinct(F.transform("_c", lambda x: F.get("_h", place(x)))))
+    part = F.size(F.array_distinct(F.transform("_c", lambda x: F.shiftrightunsigned(x, PLACE_BITS))))
+    step = step.select(*others, "_c", F.when((whole != part) | (F.size("_h") > mask), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_e"))
+    same = lambda x, j: x["h"] == F.get("_e", j)["h"]
+    exact = F.transform(F.filter("_e", lambda x, i: same(x, i + 1) | same(x, i - 1)), lambda x: x["i"])
+    return step.select(*others, F.sort_array(F.coalesce(exact, F.transform("_c", place))).alias("_at"))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -61,40 +87,33 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "clean_text", "base_failed", "kept"]
     others = [c for c in docs.columns if c.lower() not in out or c == text_col]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    step = docs.select(*others, text.alias("_t"))
-    step = step.select(*others, "_t", _words(F.col("_t")).alias("_w"), F.split("_t", "\n").alias("_l"))
-    base = base_features(F.col("_t"))
-    n = F.size("_w")
-    grams = F.when(
-        n >= 3,
-        F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(F.element_at("_w", i), F.element_at("_w", i + 1), F.element_at("_w", i + 2)).alias("h"), i.alias("i"))),
-    )
+    step = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    step = step.select(*others, "_t", F.split("_t", "\n").alias("_l"), F.transform(F.split(_spaced(F.col("_t")), "\n"), _words).alias("_lw"))
+    step = step.select(*others, "_t", "_l", "_lw", F.flatten("_lw").alias("_w"))
+    symbols, separators, lower = _count(F.col("_t"), SYMBOLS), _count(F.col("_t"), SEPARATORS), F.lower("_t")
+    boiler = F.lit(False)
+    for word in BOILERPLATE_WORDS:
+        boiler = boiler | lower.contains(word)
     step = step.select(
-        *others, "_t", n.cast("long").alias("n_words"), *[c.alias(k) for k, c in base.items()],
-        F.filter("_l", lambda x: F.rtrim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "").alias("_full"),
-        F.array_sort(grams).alias("_g"),
-        F.transform("_l", lambda x: F.struct(x.alias("line"), F.size(_words(x)).alias("n"))).alias("_l"),
+        *others, "_l", "_lw", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        symbols.cast("long").alias("n_symbols"), ((separators >= NAV_SEPARATORS) | (symbols > 0)).alias("_marked"), boiler.alias("_boiler"),
+        F.transform("_w", lambda x: F.xxhash64(x)).alias("_wh"),
     )
-    same = lambda i, j: F.element_at("_g", i)["h"] == F.element_at("_g", j)["h"]
-    m = F.size("_g")
-    twice = F.filter(
-        F.sequence(F.lit(1), m),
-        lambda i: F.when(i > 1, same(i, F.greatest(i - 1, F.lit(1)))).otherwise(False) | F.when(i < m, same(i, F.least(i + 1, m))).otherwise(False),
+    done = [*others, "n_words", "word_chars", "n_symbols", "_marked", "_boiler"]
+    windows = F.transform(F.slice("_wh", 1, F.greatest(F.size("_wh") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("_wh", i + 1), F.get("_wh", i + 2)))
+    step = _repeated(step.select(*done, "_l", "_lw", windows.alias("_h")), [*done, "_l", "_lw"])
+    # each window covers three words, less those that the one before it covers
+    covered = F.aggregate(
+        "_at", F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"]
     )
-    step = step.withColumn("_at", F.when(m >= 2, F.array_sort(F.transform(twice, lambda i: F.element_at("_g", i)["i"]))).otherwise(F.array().cast("array<int>")))
-    k = F.size("_at")
-    overlap = F.when(k >= 2, F.aggregate(F.sequence(F.lit(2), k), F.lit(0), lambda a, i: a + F.greatest(F.lit(0), 3 - (F.element_at("_at", i) - F.element_at("_at", i - 1))))).otherwise(F.lit(0))
-    step = step.select(
-        *others, "_t", "n_words", "word_chars", "n_symbols",
-        (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
-        (3 * k - overlap).cast("long").alias("n_repeat_words"),
-        F.transform("_l", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), ((x["n"] > 0) & line_fails(x["line"], x["n"])).alias("bad"))).alias("_l"),
-    )
-    lost = F.aggregate("_l", F.lit(0), lambda a, x: a + F.when(x["bad"], x["n"]).otherwise(0)).cast("long")
+    judged = lambda **rules: F.zip_with("_l", "_lw", lambda x, ws: F.struct(x.alias("line"), F.size(ws).alias("n"), line_fails(x, F.size(ws), **rules).alias("bad")))
+    lines = F.when(F.col("_boiler"), judged()).when(F.col("_marked"), judged(phrases=False)).otherwise(judged(phrases=False, marks=False))
+    full = F.filter("_l", lambda x, i: F.size(F.get("_lw", i)) > 0)
+    step = step.select(*done, covered.alias("n_repeat_words"), full.alias("_full"), lines.alias("_j"))
+    lost = F.aggregate("_j", F.lit(0), lambda a, x: a + F.when(x["bad"], x["n"]).otherwise(0)).cast("long")
     step = step.select(
-        *others, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", lost.alias("lost_words"),
-        F.array_join(F.transform(F.filter("_l", lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("clean_text"),
+        *others, "n_words", "word_chars", "n_symbols", (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"), "n_repeat_words", lost.alias("lost_words"),
+        F.array_join(F.transform(F.filter("_j", lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return step.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("lost_words") <= MAX_LOST_PERCENT * F.col("n_words")))
