@@ -33,8 +33,12 @@ DELETION_SEGMENTS = 2
 SAMPLE_SETS, DEAR, DEAR_MOST = 20_000, 4, 200_000
 #: Sub-groups that the members of a dear signature are dealt over.
 SALTS = 16
-#: Members of a group that meet the others as one block.
-CHUNK = 512
+#: Members of a group that meet the others as one block, and about how many bytes their sketches may have.
+CHUNK, CHUNK_BYTES = 512, 4 << 20
+#: Nearest members of a block that each member of a mixed group is compared with first; four times as many in each round.
+NEAREST = 4
+#: More than any distance of sketches.
+FAR = np.iinfo("i8").max
 #: Blocks of signatures that are dealt over each shuffle partition.
 BLOCKS_PER_PARTITION = 4
 
@@ -229,10 +233,11 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
     return out
 
 
-def may_link(na: np.ndarray, a: list[bytes], nb: np.ndarray, b: list[bytes]) -> np.ndarray:
-    """For all of a against all of b: whether sizes and sketches leave room for a link."""
-    room = (np.minimum(na[:, None], nb[None]) * 100 >= PERCENT * np.maximum(na[:, None], nb[None]))
+def distances(na: np.ndarray, a: list[bytes], nb: np.ndarray, b: list[bytes]) -> np.ndarray:
+    """For all of a against all of b: how many bits of the sketches differ, FAR where sizes or sketches rule a link out."""
+    room = np.minimum(na[:, None], nb[None]) * 100 >= PERCENT * np.maximum(na[:, None], nb[None])
     most = (na[:, None] + nb[None]) * (100 - PERCENT) // (100 + PERCENT)
+    out = np.full(room.shape, FAR, "i8")
     for size in {len(x) for x in a}:
         i = np.array([k for k, x in enumerate(a) if len(x) == size])
         for other in {len(x) for x in b}:
@@ -241,11 +246,21 @@ def may_link(na: np.ndarray, a: list[bytes], nb: np.ndarray, b: list[bytes]) ->
                 continue
             least = min(size, other)
             x, y = (np.stack([folded(side[k], least) for k in at]) for side, at in ((a, i), (b, j)))
-            for at in range(0, len(i), max(1, 4_000_000 // (least * len(j)))):
-                rows = slice(at, at + max(1, 4_000_000 // (least * len(j))))
-                bits = np.bitwise_count(x[rows, None] ^ y[None]).sum(2, dtype="i8")
-                room[np.ix_(i[rows], j)] &= bits <= most[np.ix_(i[rows], j)]
-    return room
+            step = max(1, 4_000_000 // (least * len(j)))
+            for at in range(0, len(i), step):
+                rows = i[at : at + step]
+                bits = np.bitwise_count(x[at : at + step, None] ^ y[None]).sum(2, dtype="i8")
+                out[np.ix_(rows, j)] = np.where(room[np.ix_(rows, j)] & (bits <= most[np.ix_(rows, j)]), bits, FAR)
+    return out
+
+
+def nearest(bits: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the k smallest entries that are not FAR, as a mask; ties go to the first columns."""
+    if bits.shape[1] <= k:
+        return bits < FAR
+    out = np.zeros(bits.shape, bool)
+    np.put_along_axis(out, np.argsort(bits, 1, kind="stable")[:, :k], True, 1)
+    return out & (bits < FAR)
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -419,6 +434,15 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return roots
 
 
+def merged(roots: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Roots (v, root) after more links (a, b): the components of their roots, and of vertices that had no link before."""
+    of = lambda v: roots.select(F.col("v").alias(v), F.col("root").alias(f"r{v}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = components(between.where("a <> b"), scratch, name)
+    after = roots.join(moved.select(F.col("v").alias("root"), F.col("root").alias("_to")), "root", "left").select("v", F.coalesce("_to", "root").alias("root"))
+    return scratch.write(f"{name}_merged", after.union(moved.join(roots, "v", "left_anti").select("v", "root")))
+
+
 def _pruned(pairs: DataFrame, rep: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes, each once, that sizes and sketches leave room for."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -439,31 +463,44 @@ def _pruned(pairs: DataFrame, rep: DataFrame) -> DataFrame:
     return near.mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(mixed: DataFrame, rep: DataFrame) -> DataFrame:
-    """Pairs of different components in groups of (gid, v, root, probe) that sizes and sketches leave room for.
+def _cross_pairs(mixed: DataFrame, rep: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of different components in groups of (gid, v, root, probe) that sizes and sketches leave room for.
 
-    A group's members are dealt to chunks of about CHUNK; two chunks meet as blocks of numbers, and only what is left
-    of a block's pairs comes out.
+    The members outside a group's largest component meet all members, as blocks of numbers; of a block with
+    more than k pairs to a member, each one takes its k nearest by their sketches. A row without a pair says that some had more. Members are dealt to
+    chunks of about CHUNK, fewer where sketches are large, and the chunks of a large group over SALTS tasks.
     """
-    sizes = mixed.groupBy("gid").agg(F.count(F.lit(1)).alias("_g"))
-    full = mixed.join(sizes, "gid").join(rep.select(F.col("class").alias("v"), "n", "sketch"), "v")
-    chunk = F.pmod(F.xxhash64("v"), F.ceil(F.col("_g") / CHUNK))
-    chunks = full.withColumn("c", chunk).groupBy("gid", "c").agg(F.collect_list(F.struct("v", "root", "probe", "n", "sketch")).alias("m"))
-    blocks = chunks.join(chunks.select("gid", F.col("c").alias("c2"), F.col("m").alias("m2")), "gid").where("c <= c2").select("m", "m2")
+    counts = mixed.groupBy("gid", "root").agg(F.count(F.lit(1)).alias("_c"))
+    largest = counts.groupBy("gid").agg(F.max_by("root", F.struct("_c", "root")).alias("_largest"))
+    full = mixed.join(largest, "gid").withColumn("outer", F.col("root") != F.col("_largest")).drop("_largest")
+    full = full.join(rep.select(F.col("class").alias("v"), "n", "sketch"), "v")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum(F.octet_length("sketch")) / CHUNK_BYTES))
+    sizes = full.groupBy("gid", "outer").agg(parts.alias("_k"))
+    chunks = full.join(sizes, ["gid", "outer"]).withColumn("c", F.pmod(F.xxhash64("v"), F.col("_k"))).groupBy("gid", "outer", "c").agg(F.collect_list(F.struct("v", "root", "probe", "n", "sketch")).alias("m"))
+    salts = sizes.where("outer").select("gid", F.least(F.lit(SALTS), F.col("_k")).cast("int").alias("_s"))
+    left = chunks.where("outer").join(salts, "gid").select("gid", F.pmod("c", "_s").cast("int").alias("_salt"), "c", "m")
+    right = chunks.join(salts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_salt"), "outer", F.col("c").alias("c2"), F.col("m").alias("m2"))
+    blocks = left.join(right, ["gid", "_salt"]).where("not outer or c <= c2").select("m", "m2", "outer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column("m"), batch.column("m2"), strict=True):
-                x, y = left.values, right.values
+            for one, other, outer in zip(batch.column("m"), batch.column("m2"), batch.column("outer").to_pylist(), strict=True):
+                x, y = one.values, other.values
                 get = lambda t, c: t.field(c).to_numpy(zero_copy_only=False)
-                fit = may_link(get(x, "n"), x.field("sketch").to_pylist(), get(y, "n"), y.field("sketch").to_pylist())
-                fit &= get(x, "root")[:, None] != get(y, "root")[None]
-                fit &= get(x, "probe")[:, None] | get(y, "probe")[None]
-                i, j = np.nonzero(fit)
-                yield pa.RecordBatch.from_arrays([pa.array(get(x, "v")[i]), pa.array(get(y, "v")[j])], names=["a", "b"])
-
-    found = blocks.mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                bits = distances(get(x, "n"), x.field("sketch").to_pylist(), get(y, "n"), y.field("sketch").to_pylist())
+                bits[(get(x, "root")[:, None] == get(y, "root")[None]) | ~(get(x, "probe")[:, None] | get(y, "probe")[None])] = FAR
+                near = bits < FAR
+                if near.sum() > k * sum(bits.shape):
+                    near = nearest(bits, k)
+                    if outer:
+                        near |= nearest(bits.T, k).T
+                i, j = np.nonzero(near)
+                a, b = get(x, "v")[i], get(y, "v")[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                if near.sum() < (bits < FAR).sum():
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, scratch: Scratch, name: str, id_col: str, text_col: str) -> DataFrame:
@@ -494,8 +531,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Components of documents whose sets of 5-word shingles link: id, n_shingles, component_id.
 
     Equal sets are one class. Classes that share a signature are candidates: first each one with one probing class of
-    its group, then, in groups that still hold several components, each one with those of the other components.
-    Sketches rule most of them out before sets are fetched. Copies are never paired with each other.
+    its group, then, in rounds, members of groups that still hold several components with their nearest members of other
+    components, until none has more of them. Sketches rule most pairs out before sets are fetched. Copies are never
+    paired with each other, nor are members of one component.
 
     Null texts and texts without words have no shingles and link with nothing: component_id is their own id, as for
     any document without links. Ids that repeat are rows of their own; component_id is the least id of the component,
@@ -519,12 +557,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what was compared with all its group is done; in a dear group it was compared with its row of the group
     members = groups.select("gid", pivot.alias("_a"), F.posexplode("members").alias("_i", "v"), "probes")
     members = members.where("gid & 1 = 1 or v <> _a").select("gid", "v", F.array_contains("probes", F.col("_i")).alias("probe"))
-    rooted = members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    several = rooted.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("probe").alias("_p")).where("_lo < _hi and _p").select("gid")
-    mixed = scratch.write("mixed", rooted.join(several, "gid").select("gid", "v", "root", "probe"))
-    more = scratch.write("more", _cross_pairs(mixed, rep).join(pairs, ["a", "b"], "left_anti"))
-    links = links.union(_verified(more, docs, rep, scratch, "second", id_col, text_col))
-    roots = components(links, scratch, "second")
+    tried, k = pairs, NEAREST
+    while True:
+        rooted = members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+        several = rooted.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("probe").alias("_p")).where("_lo < _hi and _p").select("gid")
+        mixed = scratch.write(f"mixed{k}", rooted.join(several, "gid").select("gid", "v", "root", "probe"))
+        found = scratch.write(f"near{k}", _cross_pairs(mixed, rep, k))
+        fresh = scratch.write(f"fresh{k}", found.where("a is not null").join(tried, ["a", "b"], "left_anti"))
+        roots = merged(roots, _verified(fresh, docs, rep, scratch, f"more{k}", id_col, text_col), scratch, f"more{k}")
+        if not found.where("a is null").limit(1).count():
+            break  # no pair of different components is left
+        tried, k = tried.union(fresh), 4 * k
 
     least = rep.join(roots.withColumnRenamed("v", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "doc")
     ids = least.groupBy("root").agg(F.min("doc").alias("component_id"))
