@@ -20,9 +20,11 @@ END_ID = 2
 BLOCK_IDS = 500_000
 #: Pairs replaced at once (rounds go on until no frequent pair is left), and how often a pair must be there to earn its rule.
 PAIRS, LEAST = 1024, 8
-#: Counters that pairs are hashed to: those of a counter below LEAST need no exact count.
+#: Slots that pairs are hashed to: those of a slot below LEAST need no exact count.
 COUNTER_BITS = 18
 
+U = np.uint64
+
 #: A block of the file: where it is, the first nonterminal, rules, expansion lengths, the sequence and its documents.
 BLOCK = "shard int, block int, terminals int, left binary, right binary, expands binary, width int, sequence binary, symbols binary, tokens binary"
 
@@ -74,65 +76,102 @@ class Grammar:
         return self.expand(sequence[a:b])[start - skipped : stop - skipped]
 
 
-def _frequent(first: np.ndarray, second: np.ndarray, base: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Up to PAIRS of the most frequent pairs that cannot overlap (no right symbol of one is the left symbol of another),
-    where they are, and which of them is there. Counts are exact; a pair of equal symbols counts at every other place of
-    a run. Second symbols of `base` and more belong to no pair. Only where no pair has LEAST places there is none."""
-    free = second < base
-    twin = np.flatnonzero((first == second) & free)
-    if len(twin):
-        start = np.maximum.accumulate(np.where(np.diff(twin, prepend=-2) > 1, twin, 0))
-        free[twin[(twin - start) % 2 == 1]] = False
-    at = np.flatnonzero(free)
-    first, second = first[at], second[at]
-    slot = (first * np.uint32(0x9E3779B1) + second) * np.uint32(0x85EBCA6B) >> np.uint32(32 - COUNTER_BITS)
-    some = np.flatnonzero((np.bincount(slot, minlength=1 << COUNTER_BITS) >= LEAST)[slot])
-    at = at[some]
-    pair, which, count = np.unique(first[some] * np.uint64(base) + second[some], return_inverse=True, return_counts=True)
+def _by_pair(first: np.ndarray, second: np.ndarray, at: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs as numbers, first * base + second, sorted, and the place of each one, ascending within a pair."""
+    pair, bits = first.astype("u8") * U(base) + second, int(at.max() if len(at) else 0).bit_length()
+    if (base * base).bit_length() + bits > 64:
+        order = np.lexsort((at, pair))
+        return pair[order], at[order]
+    key = np.sort(pair << U(bits) | at.astype("u8"))
+    return key >> U(bits), (key & U((1 << bits) - 1)).astype("i8")
+
+
+def _choose(pairs: np.ndarray, counts: np.ndarray, base: int) -> list[int]:
+    """Up to PAIRS of the most frequent pairs that cannot overlap: no right symbol of one is the left symbol of another."""
     lefts: set[int] = set()
     rights: set[int] = set()
-    chosen, out = np.full(len(pair), -1, "i8"), []
-    enough = np.flatnonzero(count >= LEAST)
-    for k in enough[np.lexsort((pair[enough], -count[enough]))][: 2 * PAIRS].tolist():
-        a, b = divmod(int(pair[k]), base)
+    chosen = []
+    order = np.lexsort((pairs, -counts))[: 2 * PAIRS]
+    for k, a, b in zip(order.tolist(), (pairs[order] // U(base)).tolist(), (pairs[order] % U(base)).tolist(), strict=True):
         if a not in rights and b not in lefts and (a != b or a not in lefts and b not in rights):
             lefts.add(a)
             rights.add(b)
-            chosen[k] = len(out)
-            out.append((a, b))
-            if len(out) == PAIRS:
+            chosen.append(k)
+            if len(chosen) == PAIRS:
                 break
-    which = chosen[which]
-    hit = np.flatnonzero(which >= 0)
-    return out, at[hit], which[hit]
+    return chosen
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over the documents that end at `ends`: left, right, sequence, symbols of each document.
 
     Every round replaces the most frequent pairs by nonterminals, all at once where pairs cannot overlap, until no pair
-    is there LEAST times. No pair crosses the end of a document, so each document is a run of symbols.
+    is there LEAST times; counts are exact, and a pair of equal symbols counts at every other place of a run. A count
+    never grows once all its symbols are there, so a round looks only at the places whose pair was frequent in the last
+    one or has a new symbol. No pair crosses the end of a document, so each document is a run of symbols.
     """
-    sequence = ids.astype("u4")
-    last = np.zeros(len(sequence), bool)
-    last[ends - 1] = True
+    n = len(ids)
+    sequence = np.append(ids, 0).astype("u4")
+    # places of the next and the last living symbol of a document; n stands for none
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[ends - 1] = n
+    before[0] = n
+    before[ends[:-1]] = n
+    alive, marked = np.ones(n, bool), np.zeros(n + 1, bool)
+    at = np.flatnonzero(after[:n] < n)
     left: list[int] = []
     right: list[int] = []
-    while len(sequence) > 1:
+    while len(at):
         base = terminals + len(left)
-        # a document's last symbol pairs with none: it counts as a pair with the symbol `base`, which is none
-        second = np.where(last[:-1], np.uint32(base), sequence[1:])
-        pairs, at, which = _frequent(sequence[:-1], second, base)
-        if not pairs:
+        first, second = sequence[at], sequence[after[at]]
+        if len(at) > 1 << COUNTER_BITS:
+            slot = (first * np.uint32(0x9E3779B1) + second) * np.uint32(0x85EBCA6B) >> np.uint32(32 - COUNTER_BITS)
+            some = (np.bincount(slot, minlength=1 << COUNTER_BITS) >= LEAST)[slot]
+            at, first, second = at[some], first[some], second[some]
+        pair, place = _by_pair(first, second, at, base)
+        new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        whole = np.diff(np.append(new, len(pair)))
+        frequent = whole >= LEAST
+        place = place[np.repeat(frequent, whole)]
+        names, whole = pair[new[frequent]], whole[frequent]
+        if not len(names):
+            break
+        starts = np.cumsum(whole) - whole
+        counts, skipped = whole.copy(), np.zeros(len(place), bool)
+        twins = np.flatnonzero(names // U(base) == names % U(base))
+        if len(twins):
+            spot = np.concatenate([np.arange(starts[k], starts[k] + whole[k]) for k in twins.tolist()])
+            begins = np.concatenate([[True], after[place[spot[:-1]]] != place[spot[1:]]])
+            begins[np.cumsum(whole[twins])[:-1]] = True
+            nth = np.arange(len(spot)) - np.maximum.accumulate(np.where(begins, np.arange(len(spot)), 0))
+            skipped[spot[nth % 2 == 1]] = True
+            counts[twins] -= np.add.reduceat(skipped[spot], np.cumsum(whole[twins]) - whole[twins], dtype="i8")
+        enough = np.flatnonzero(counts >= LEAST)
+        picked = enough[_choose(names[enough], counts[enough], base)]
+        if not len(picked):
             break
-        sequence[at] = base + which
-        last[at] |= last[at + 1]
-        keep = np.ones(len(sequence), bool)
-        keep[at + 1] = False
-        sequence, last = sequence[keep], last[keep]
-        left += [a for a, _ in pairs]
-        right += [b for _, b in pairs]
-    return np.array(left, "i8"), np.array(right, "i8"), sequence, np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
+        symbol = np.zeros(len(names), "u4")
+        symbol[picked] = base + np.arange(len(picked))
+        of = np.repeat(symbol, whole)
+        of[skipped] = 0
+        marked[place] = True
+        hit = np.flatnonzero(of)
+        p = place[hit]
+        gone = after[p]
+        sequence[p] = of[hit]
+        alive[gone] = False
+        far = after[gone]
+        after[p] = far
+        before[far] = p
+        marked[before[p]] = True
+        marked[n] = False
+        at = np.flatnonzero(marked)
+        marked[at] = False
+        at = at[alive[at] & (after[at] < n)]
+        left += (names[picked] // U(base)).tolist()
+        right += (names[picked] % U(base)).tolist()
+    living = np.flatnonzero(alive)
+    return np.array(left, "i8"), np.array(right, "i8"), sequence[living], np.diff(np.concatenate([[0], np.flatnonzero(after[living] == n) + 1]))
 
 
 def expansion_lengths(terminals: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
