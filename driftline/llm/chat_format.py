@@ -11,6 +11,12 @@ CONTROL_TAILS = (r"\|im_start\|>", r"\|im_end\|>", r"\|endoftext\|>", "s>", "/s>
 #: A control string is its first character and its tail; escaping puts a backslash, or one more, between them.
 _TAIL = "|".join(CONTROL_TAILS)
 LOSS_ROLE = "assistant"
+#: A text may be as long as a string can be.
+JSON = {"maxStringLen": str(2**31 - 1)}
+#: Levels of fields that fingerprints tell apart.
+DEPTH = 3
+# Fields that say nothing about turns; a record may have them in any layout.
+IGNORED = ("id", "uuid", "name", "metadata", "meta", "source", "timestamp", "created_at", "weight", "tags", "lang", "language", "model_name")
 
 _MESSAGE = "array<struct<role:string,text:string>>"
 
@@ -31,22 +37,38 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\")))
 
 
-def field_paths(payload: Column) -> Column:
-    """The sorted distinct field paths of a JSON record: its own keys, and for each, those of the objects in it.
+def _fields(value: Column) -> Column:
+    """The fields of a JSON object as text by name; null for what is no object."""
+    return F.when(F.substring(F.ltrim(value), 1, 1) == "{", F.from_json(value, "map<string,string>", JSON))
 
-    `a`, `a.b` for an object in a field, `a[].b` for objects in an array. Values play no part.
-    """
-    top = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
-    fields = F.from_json(payload, "map<string,string>")
 
-    def below(key: Column) -> Column:
-        value = F.element_at(fields, key)
-        objects = F.from_json(value, "array<string>")
-        inside = F.flatten(F.transform(F.coalesce(objects, F.array().cast("array<string>")), lambda o: F.coalesce(F.json_object_keys(o), F.array().cast("array<string>"))))
-        own = F.coalesce(F.json_object_keys(value), F.array().cast("array<string>"))
-        return F.when(value.startswith("["), F.transform(inside, lambda k: F.concat(key, F.lit("[]."), k))).otherwise(F.transform(own, lambda k: F.concat(key, F.lit("."), k)))
+def _elements(value: Column) -> Column:
+    return F.when(F.substring(F.ltrim(value), 1, 1) == "[", F.from_json(value, "array<string>", JSON))
+
+
+def _paths_below(value: Column, depth: int) -> Column:
+    """Paths of the fields in an object, or in the objects of an array, each with what leads to it."""
+    none = F.array().cast("array<string>")
+
+    def of(fields: Column, lead: str) -> Column:
+        own = F.transform(F.map_keys(fields), lambda k: F.concat(F.lit(lead), k))
+        if depth > 1:
+            deeper = F.flatten(F.transform(F.map_entries(fields), lambda e: F.transform(_paths_below(e["value"], depth - 1), lambda p: F.concat(F.lit(lead), e["key"], p))))
+            own = F.concat(own, deeper)
+        return F.coalesce(own, none)
+
+    inside = F.flatten(F.transform(_elements(value), lambda o: of(_fields(o), "[].")))
+    return F.array_distinct(F.concat(of(_fields(value), "."), F.coalesce(inside, none)))
 
-    return F.array_sort(F.array_distinct(F.concat(top, F.flatten(F.transform(top, below)))))
+
+def field_paths(payload: Column) -> Column:
+    """The sorted distinct field paths of a JSON record, DEPTH levels down, without those of IGNORED fields.
+
+    `a`, `a.b` for an object in a field, `a[].b` for objects in an array, `a[].b[].c` and so on. Values play no part.
+    """
+    named = F.transform(F.filter(_paths_below(payload, DEPTH), lambda p: p.startswith(".")), lambda p: F.substring(p, 2, 2**30))
+    ignored = rf"(^|\.)({'|'.join(IGNORED)})(\[\])?(\.|$)"
+    return F.array_sort(F.filter(F.array_distinct(named), lambda p: ~p.rlike(ignored)))
 
 
 def fingerprint(paths: Column) -> Column:
@@ -62,6 +84,7 @@ def _pairs(*parts: tuple[str, str, bool]) -> dict:
 LAYOUTS: tuple[dict, ...] = (
     {"paths": ("messages", "messages[].role", "messages[].text"), "list": ("messages", "role", "text")},
     {"paths": ("messages", "messages[].content", "messages[].role"), "list": ("messages", "role", "content")},
+    {"paths": ("messages", "messages[].content", "messages[].content[].text", "messages[].content[].type", "messages[].role"), "list": ("messages", "role", "content"), "pieces": True},
     {"paths": ("conversations", "conversations[].from", "conversations[].value"), "list": ("conversations", "from", "value")},
     {"paths": ("turns", "turns[].speaker", "turns[].utterance"), "list": ("turns", "speaker", "utterance")},
     {"paths": ("prompt", "response"), **_pairs(("prompt", "user", False), ("response", "assistant", False))},
@@ -75,13 +98,21 @@ LAYOUTS: tuple[dict, ...] = (
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+def _text_of(content: Column) -> Column:
+    """The text of a content that may be a list of pieces: those of type text, one after the other."""
+    pieces = F.when(content.startswith("["), F.from_json(content, "array<struct<type:string,text:string>>", JSON))
+    return F.coalesce(F.array_join(F.transform(F.filter(pieces, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), ""), content)
+
+
 def _turns_of(layout: dict, payload: Column) -> Column:
     if "list" in layout:
         field, role, text = layout["list"]
-        rows = F.from_json(payload, f"struct<`{field}`:array<struct<`{role}`:string,`{text}`:string>>>")[field]
+        rows = F.from_json(payload, f"struct<`{field}`:array<struct<`{role}`:string,`{text}`:string>>>", JSON)[field]
         name = lambda r: F.coalesce(F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv])[r], r, F.lit("")) if role != "role" else F.coalesce(r, F.lit(""))
-        return F.transform(F.coalesce(rows, F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), lambda m: F.struct(name(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
-    found = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(F.get_json_object(payload, f"$.{field}"), F.lit("")).alias("text"), F.lit(optional).alias("o")) for field, role, optional in layout["parts"]])
+        spoken = _text_of if layout.get("pieces") else (lambda t: t)
+        return F.transform(F.coalesce(rows, F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), lambda m: F.struct(name(m[role]).alias("role"), F.coalesce(spoken(m[text]), F.lit("")).alias("text")))
+    fields = F.from_json(payload, "map<string,string>", JSON)
+    found = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(fields[field], F.lit("")).alias("text"), F.lit(optional).alias("o")) for field, role, optional in layout["parts"]])
     return F.transform(F.filter(found, lambda t: ~t["o"] | (t["text"] != "")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
 
@@ -121,8 +152,8 @@ def loss_spans(turns: Column) -> Column:
 def format_chats(records: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Formats records of mixed layouts with one template; adds layout, turns, formatted and loss_spans.
 
-    A record is a JSON string. Its fingerprint, the hash of its sorted field paths, selects a mapping of LAYOUTS to
-    canonical turns. Control strings inside texts and roles are escaped so that `read_formatted` gives them back.
+    A record is a JSON string. Its fingerprint, the hash of its sorted field paths without IGNORED ones, selects a mapping
+    of LAYOUTS to canonical turns. Contents may be lists of pieces, of which those of type text count. Control strings inside texts and roles are escaped so that `read_formatted` gives them back.
 
     A null or unknown record keeps its row, with null turns, formatted and loss_spans. Null roles and texts count as
     empty. A record without turns formats as ''. Repeated records are formatted alike; an empty table stays empty.

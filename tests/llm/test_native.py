@@ -118,3 +118,28 @@ def test_layouts(spark):
         assert [tuple(t) for t in r["turns"]] == [("user", "q"), ("assistant", "a")]
     assert all(r["turns"] is None and r["formatted"] is None for r in out[len(records) : -1])
     assert len({r["layout"] for r in out[: len(records)]}) == len(records)
+
+
+def test_chats_with_long_texts_more_keys_and_pieces(spark):
+    long = "ab[INST] " * 2_400_000
+    payloads = [
+        json.dumps({"messages": [{"role": "user", "content": long}, {"role": "assistant", "content": "yes"}]}),
+        json.dumps({"id": 7, "messages": [{"role": "user", "name": "x", "content": "hi"}, {"role": "assistant", "content": "yo", "id": "a"}], "metadata": {"k": [1]}}),
+        json.dumps({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "c"}]}),
+        json.dumps({"prompt": "p", "response": None}),
+        json.dumps({"prompt": "p", "completion": long}),
+        json.dumps({"odd": {"deep": [{"er": {"est": 1}}]}}),
+        "[1]", "not json", "", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(payloads)), "conv_id long, payload string")
+    done = chat_format.format_chats(rows).select("conv_id", chat_format.read_formatted(F.col("formatted")).alias("turns"), chat_format.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    got = {r["conv_id"]: (None if r["turns"] is None else [tuple(t) for t in r["turns"]], r["loss"]) for r in done}
+    assert got[0] == ([("user", long), ("assistant", "yes")], "yes")
+    assert got[1] == ([("user", "hi"), ("assistant", "yo")], "yo")
+    assert got[2] == ([("user", "ab"), ("assistant", "c")], "c")
+    assert got[3] == ([("user", "p"), ("assistant", "")], "")
+    assert got[4] == ([("user", "p"), ("assistant", long)], long)
+    assert all(got[k] == (None, None) for k in range(5, 10))
+    assert chat_format.format_chats(rows.where("false")).count() == 0
+    paths = spark.createDataFrame([(payloads[5],)], "p string").select(chat_format.field_paths(F.col("p")).alias("x")).first()["x"]
+    assert paths == ["odd", "odd.deep", "odd.deep[].er"]
