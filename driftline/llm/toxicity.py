@@ -7,7 +7,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,121 +15,166 @@ from pyspark.sql import types as T
 
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their id.
 MAX_EXAMPLES = 20_000
-#: Terms of the model, at most.
-MAX_TERMS = 4_096
-#: A term is a word, or a beginning of a longer word with so many letters, spelled with a star.
+#: Of these, the rows that are indexed, half of them toxic if there are as many, and those that votes are calibrated on.
+INDEXED, CALIBRATED = 2_048, 4_096
+#: Beginnings of longer words that are terms too, by letters, spelled with a star.
 PREFIXES = (4, 5, 6, 7)
-#: A term is in at least so many toxic examples, and is so much likelier there (log odds).
+#: A term leans toxic if it is in at least so many toxic examples and so much likelier there (log odds).
 MIN_TOXIC, MIN_LOG_ODDS = 3, 2.0
-#: Candidates whose clean counts are taken, at most: those in most toxic examples.
-MAX_CANDIDATES = 50_000
+#: Relevance of a word that does not lean; that of a term that leans is 1.
+FLOOR = 0.15
 NEIGHBOURS = 15
-#: Weight of the rest of a text, as one more term, for the square root of its characters.
-BACKGROUND = 0.4
-BLOCK = 32
+#: Examples of a block, blocks that are summed up first, terms that are columns of the matrix, examples that are compared
+#: beside the nearest by exact sums, texts that are scored at once, and stretches of text whose terms a task remembers.
+BLOCK, FIRST, COLUMNS, SPARE, SLICE, REMEMBER = 32, 4, 512, 5, 256, 1_000_000
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(text: str) -> set[str]:
-    """The terms of a text: its words in lower case and their beginnings."""
-    words = set(_WORD.findall(text.lower()))
-    return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}
+def beginnings(word: str) -> list[str]:
+    return [word[:k] + "*" for k in PREFIXES if len(word) > k]
 
 
-class Matcher:
-    """Counts of the model's terms in a text, found in one pass by an automaton over their letters."""
+class Terms:
+    """The model's vocabulary: words, and beginnings of words that lean toxic, each with a number."""
 
     def __init__(self, terms: list[str]):
-        by_letters: dict[str, list[tuple[int, bool]]] = {}
-        for i, term in enumerate(terms):
-            by_letters.setdefault(term.removesuffix("*"), []).append((i, term.endswith("*")))
-        self.automaton = ahocorasick.Automaton()
-        for letters, ways in by_letters.items():
-            self.automaton.add_word(letters, (len(letters), ways))
-        self.empty = not by_letters
-        if not self.empty:
-            self.automaton.make_automaton()
-
-    def counts(self, text: str) -> tuple[Counter, int]:
-        """How often each term is there, and how many characters no term, with the one before it, covers."""
-        found: Counter = Counter()
-        if self.empty:
-            return found, len(text)
-        text, covered, stop = text.lower(), 0, 0
-        for end, (n, ways) in self.automaton.iter(text):
-            if end >= n and _WORD.match(text[end - n]):
-                continue
-            longer = end + 1 < len(text) and _WORD.match(text[end + 1]) is not None
-            for i, prefix in ways:
-                if prefix == longer:
-                    found[i] += 1
-                    covered += end + 1 - max(stop, end - n)  # with the space before it
-                    stop = end + 1
-        return found, max(0, len(text) - covered)
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.heads = {t[: min(PREFIXES)] for t in terms if t.endswith("*")}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _of(self, chunk: str) -> tuple[int, ...]:
+        """The numbers of the terms in a stretch without white space."""
+        found: list[int] = []
+        for word in _WORD.findall(chunk):
+            terms = [word, *beginnings(word)] if word[: min(PREFIXES)] in self.heads else [word]
+            found += [i for t in terms if (i := self.number.get(t)) is not None]
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        self.known[chunk] = out = tuple(found)
+        return out
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of a text's terms, ascending, and how often each is there."""
+        found: dict[int, int] = {}
+        known = self.known.get
+        for chunk, n in Counter(text.lower().split()).items():
+            if (terms := known(chunk)) is None:
+                terms = self._of(chunk)
+            for i in terms:
+                found[i] = found.get(i, 0) + n
+        t = np.fromiter(found.keys(), "i8", len(found))
+        order = np.argsort(t)
+        return t[order], np.fromiter(found.values(), "i8", len(found))[order]
+
+
+def _ranges(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from starts[i] to starts[i + 1] for each i of `which`, and how many each has."""
+    size = starts[which + 1] - starts[which]
+    ends = np.cumsum(size)
+    return np.repeat(starts[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0), size
 
 
 @dataclass
 class Index:
-    """Examples with a weight in some term, as postings by term, and the largest weight of each block of examples."""
+    """Examples as vectors of unit length, in blocks. The terms that most examples have are columns of a matrix; each
+    other term has postings, the examples that have it, and the largest weight of each block of them."""
 
     terms: list[str]
-    idf: np.ndarray
-    ids: np.ndarray
-    labels: np.ndarray
-    docs: list[np.ndarray] = field(default_factory=list)  # by term: places of examples, ascending
-    weights: list[np.ndarray] = field(default_factory=list)
-    tops: np.ndarray | None = None  # term x block
+    weight: np.ndarray  # by term: its inverse document frequency times its relevance
+    ids: list = field(default_factory=list)
+    labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, "i8"))  # of each example in the two next
+    example_terms: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))
+    example_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    column: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))  # by term: its column, or -1
+    matrix: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), "f4"))  # example x column
+    posting_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, "i8"))  # of each term in the two next
+    posting_rows: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))
+    posting_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    top_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, "i8"))  # of each term in the two next
+    top_blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))
+    top_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     knots: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
     alone: float = 0.0
 
-    def vector(self, counts: dict[int, int], length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of unit length. The last term stands for the rest of the text."""
-        t = np.array([*sorted(counts), len(self.terms)], "i8")
-        w = np.append((1 + np.log(np.array([counts[i] for i in t[:-1].tolist()], "f8"))) * self.idf[t[:-1]], BACKGROUND * np.sqrt(max(length, 1)))
-        return t, w / np.sqrt((w * w).sum())
-
-    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        rows = np.concatenate([np.full(len(t), k) for k, (t, _) in enumerate(vectors)] or [np.zeros(0)]).astype("i8")
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype("i8")
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        order = np.lexsort((rows, term))
-        rows, term, weight = rows[order], term[order], weight[order]
-        cuts = np.searchsorted(term, np.arange(len(self.terms) + 2))
-        self.docs = [rows[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.weights = [weight[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.tops = np.zeros((len(self.terms) + 1, len(vectors) // BLOCK + 1), "f4")
-        np.maximum.at(self.tops, (term, rows // BLOCK), weight.astype("f4"))
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, ties by place: places and cosines.
-
-        Blocks are taken in order of an upper bound, the sum over terms of the block's largest weight, until no block
-        left can hold a better example than the k-th so far.
+    def vector(self, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Weights of unit length for terms and their counts."""
+        w = n * self.weight[t]
+        return w / np.sqrt((w * w).sum())
+
+    def build(self, examples: list[tuple[object, int, np.ndarray, np.ndarray]]) -> None:
+        """Indexes (id, label, terms, weights); examples of one strongest term lie together, so blocks differ."""
+        examples = sorted(examples, key=lambda e: (int(e[2][np.argmax(e[3])]), len(e[2]), str(e[0])))
+        self.ids, self.labels = [e[0] for e in examples], np.array([e[1] for e in examples], "f8")
+        sizes = np.array([len(e[2]) for e in examples], "i8")
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.example_terms = np.concatenate([e[2] for e in examples] or [np.zeros(0)]).astype("i8")
+        self.example_weights = np.concatenate([e[3] for e in examples] or [np.zeros(0)])
+        rows = np.repeat(np.arange(len(examples)), sizes)
+        common = np.argsort(-np.bincount(self.example_terms, minlength=len(self.terms)), kind="stable")[:COLUMNS]
+        self.column = np.full(len(self.terms), -1, "i8")
+        self.column[common] = np.arange(len(common))
+        own = self.column[self.example_terms]
+        self.matrix = np.zeros((len(examples), len(common)), "f4")
+        self.matrix[rows[own >= 0], own[own >= 0]] = self.example_weights[own >= 0]
+        order = np.flatnonzero(own < 0)
+        order = order[np.argsort(self.example_terms[order], kind="stable")]
+        term, self.posting_rows, self.posting_weights = self.example_terms[order], rows[order], self.example_weights[order]
+        self.posting_starts = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        block = self.posting_rows // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, "i8")
+        self.top_blocks, self.top_weights = block[first], np.maximum.reduceat(self.posting_weights, first) if len(first) else np.zeros(0)
+        self.top_starts = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[frozenset] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the k examples of largest cosine above 0, ties by place: places and cosines.
+
+        Products with the matrix are the common terms' part of all cosines. For the rest, a block's bound is its largest
+        such part and, over the other terms, the sum of the largest weights times the query's. The blocks of largest
+        bounds are summed up first; then those whose bounds reach the k-th best example so far. `but` names places that
+        a query may not have.
         """
-        bound = w @ self.tops[t] * (1 + 1e-6)
-        blocks = np.flatnonzero(bound > 0)
-        blocks = blocks[np.argsort(-bound[blocks], kind="stable")]
-        place, score, at, step = np.zeros(0, "i8"), np.zeros(0), 0, 4
-        while at < len(blocks) and (len(place) < k or bound[blocks[at]] >= score[k - 1]):
-            part = np.sort(blocks[at : at + step])
-            sums = np.zeros(len(part) * BLOCK)
-            for i, q in zip(t.tolist(), w.tolist(), strict=True):
-                docs = self.docs[i]
-                spot = np.minimum(np.searchsorted(part, docs // BLOCK), len(part) - 1)
-                here = part[spot] == docs // BLOCK
-                sums[spot[here] * BLOCK + docs[here] % BLOCK] += q * self.weights[i][here]
-            new = np.flatnonzero(sums > 0)
-            place = np.concatenate([place, part[new // BLOCK] * BLOCK + new % BLOCK])
-            score = np.concatenate([score, sums[new]])
-            if but >= 0:
-                place, score = place[place != but], score[place != but]
-            best = np.lexsort((place, -score))[:k]
-            place, score = place[best], score[best]
-            at, step = at + step, step * 2
-        return place, score
+        side = np.zeros((len(vectors), self.matrix.shape[1]), "f4")
+        for row, (t, w) in enumerate(vectors):
+            own = self.column[t]
+            side[row, own[own >= 0]] = w[own >= 0]
+        common = (side @ self.matrix.T).astype("f8")
+        exact, n = np.zeros(len(self.terms)), len(self.ids)
+        begins = np.arange(0, n, BLOCK)
+        for row, (t, w) in enumerate(vectors):
+            score = common[row]
+            if but and but[row]:
+                score[list(but[row])] = -np.inf
+            rare = self.column[t] < 0
+            at, size = _ranges(self.top_starts, t[rare])
+            bound = np.maximum.reduceat(score, begins) + np.bincount(self.top_blocks[at], np.repeat(w[rare], size) * self.top_weights[at], minlength=len(begins))
+            bound = bound * (1 + 1e-5) + 1e-6  # the matrix is rounded
+            at, size = _ranges(self.posting_starts, t[rare])
+            rows, more = self.posting_rows[at], np.repeat(w[rare], size) * self.posting_weights[at]
+            first = np.zeros(len(begins), bool)
+            first[np.argpartition(-bound, min(FIRST, len(begins) - 1))[:FIRST]] = True
+            some = first[rows // BLOCK]
+            score += np.bincount(rows[some], more[some], minlength=n)
+            done = np.repeat(first, BLOCK)[:n]
+            best = np.sort(score[done])[::-1]
+            later = ~first & (bound >= (best[k - 1] if len(best) >= k else -np.inf))
+            if later.any():
+                some = later[rows // BLOCK]
+                score += np.bincount(rows[some], more[some], minlength=n)
+                done |= np.repeat(later, BLOCK)[:n]
+            # some more than k, since these sums are rounded
+            place = np.flatnonzero(done & (score > -np.inf))
+            place = place[np.argsort(-score[place], kind="stable")[: k + SPARE]]
+            exact[t] = w
+            at, size = _ranges(self.starts, place)
+            whole = np.add.reduceat(exact[self.example_terms[at]] * self.example_weights[at], np.cumsum(size) - size) if len(place) else np.zeros(0)
+            exact[t] = 0
+            best = np.lexsort((place, -whole))[:k]
+            best = best[whole[best] > 0]
+            yield place[best], whole[best]
 
     def vote(self, place: np.ndarray, score: np.ndarray) -> float:
         """The share of toxic examples among neighbours, each one weighted by its closeness; without neighbours 0."""
@@ -151,16 +195,17 @@ class Index:
                 groups[-1] = [a + b for a, b in zip(groups[-1], last, strict=True)]
         self.knots = (np.array([g[2] / g[1] for g in groups]), np.array([min(0.999, max(0.001, g[0] / g[1])) for g in groups]))
 
-    def score(self, counts: dict[int, int], length: int) -> tuple[float, list[tuple[int, float]]]:
-        """The chance that a text is toxic, and its nearest examples with their cosines.
+    def score(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[object, float]]]]:
+        """For texts' terms and counts: the chance that each is toxic, and its nearest examples with their cosines.
 
-        A text without terms is as near to all examples without terms, and they to it: their share is its chance.
+        Texts without a term of the examples are as near to all of them: such fitted rows' share is their chance.
         """
-        if counts and len(self.ids):
-            place, near = self.nearest(*self.vector(counts, length))
-            chance = float(np.interp(self.vote(place, near), *self.knots))
-            return chance, [(int(self.ids[p]), float(s)) for p, s in zip(place, near, strict=True)]
-        return self.alone, []
+        out: list[tuple[float, list[tuple[object, float]]]] = [(self.alone, [])] * len(counts)
+        some = [k for k, (t, _) in enumerate(counts) if len(t) and self.ids]
+        for k, (place, near) in zip(some, self.nearest([(counts[k][0], self.vector(*counts[k])) for k in some]) if some else (), strict=True):
+            if len(place):
+                out[k] = float(np.interp(self.vote(place, near), *self.knots)), [(self.ids[p], float(s)) for p, s in zip(place, near, strict=True)]
+        return out
 
 
 def is_held_out(id_col: str) -> Column:
@@ -168,16 +213,8 @@ def is_held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
-    """Fits the model on at most MAX_EXAMPLES labelled rows outside the held-out third; term counts are over all documents.
-
-    Labels with a null id or value are left out; of several labels of an id the largest holds.
-    """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(MAX_EXAMPLES)
-    rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
-    examples = rows.join(F.broadcast(known), "_id")
+def _leaning(examples: DataFrame) -> dict[str, float]:
+    """Terms that lean toxic with their log odds, from (label, text) rows: how many rows of each label have a term."""
 
     def terms(wanted: set[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 for at in range(0, batch.num_rows, 256):
                     seen: Counter = Counter()
                     for text in batch.column("_text").slice(at, 256).to_pylist():
-                        found = terms_of(text)
+                        words = set(_WORD.findall(text.lower()))
+                        found = words.union(*map(beginnings, words))
                         seen.update(found if wanted is None else found & wanted)
                     yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
 
@@ -193,68 +231,125 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     totals = {r["_label"]: r["n"] for r in examples.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    counted = examples.where("_label = 1").select("_text").mapInArrow(terms(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    in_toxic = {r["term"]: r["n"] for r in counted.where(F.col("n") >= min(MIN_TOXIC, max(1, toxic // 3))).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
-    in_clean = {r["term"]: r["n"] for r in examples.where("_label = 0").select("_text").mapInArrow(terms(set(in_toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    odds = {t: np.log((n + 0.5) / (toxic + 1)) - np.log((in_clean.get(t, 0) + 0.5) / (clean + 1)) for t, n in in_toxic.items()}
-    chosen = sorted((t for t in odds if odds[t] >= MIN_LOG_ODDS), key=lambda t: (-odds[t] * in_toxic[t], t))[:MAX_TERMS]
+    counted = lambda label, wanted: examples.where(F.col("_label") == label).select("_text").mapInArrow(terms(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    # bounded by the fitted rows
+    in_toxic = {r["term"]: r["n"] for r in counted(1, None).where(F.col("n") >= min(MIN_TOXIC, max(1, toxic // 3))).collect()}
+    in_clean = {r["term"]: r["n"] for r in counted(0, set(in_toxic)).collect()} if in_toxic else {}
+    odds = {t: float(np.log((n + 0.5) / (toxic + 1)) - np.log((in_clean.get(t, 0) + 0.5) / (clean + 1))) for t, n in in_toxic.items()}
+    return {t: o for t, o in odds.items() if o >= MIN_LOG_ODDS}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(chosen)
+
+def relevance(term: str, leaning: dict[str, float]) -> float:
+    """How much a term's weight counts: 1 for one that leans toxic, FLOOR for other words."""
+    return 1.0 if term in leaning else FLOOR
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
+    """Fits the model on at most MAX_EXAMPLES labelled rows outside the held-out third.
+
+    INDEXED of these rows are the examples: vectors over all their words and the beginnings that lean toxic, weighted by
+    term frequency, inverse document frequency over all of `docs`, and relevance, which the fitted rows' labels give.
+    CALIBRATED rows, as they come, are left out in turn for the calibration of votes. Labels with a null id or value are
+    left out; of several labels of an id the largest holds.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(id_col))
+    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+    order = [F.xxhash64("_id"), F.col("_id")]
+    known = known.orderBy(*order).limit(MAX_EXAMPLES)
+    rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
+    examples = rows.join(F.broadcast(known), "_id")
+    leaning = _leaning(examples)
+
+    # at most INDEXED and CALIBRATED ids
+    some_toxic = known.where("_label = 1").orderBy(*order).limit(INDEXED // 2)
+    some_clean = known.where("_label = 0").orderBy(*order).limit(INDEXED - some_toxic.count())
+    indexed = rows.join(F.broadcast(some_toxic.union(some_clean)), "_id")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
+            lists: tuple[list, list] = ([], [])
             for text in batch.column("_text").to_pylist():
-                seen.update(matcher.counts(text)[0].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int32()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
+                found = Counter(_WORD.findall(text.lower()))
+                for word, n in list(found.items()):
+                    for term in beginnings(word):
+                        if term in leaning:
+                            found[term] += n
+                lists[0].append(list(found.keys()))
+                lists[1].append(list(found.values()))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array(lists[0], pa.list_(pa.string())), pa.array(lists[1], pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(chosen)
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = indexed.mapInArrow(words, f"id {kind}, label int, terms array<string>, counts array<int>").collect()
+    made.sort(key=lambda r: (str(r["id"]), r["label"], r["terms"]))
+    chosen = sorted({t for r in made for t in r["terms"]})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, total = Terms(chosen), np.zeros(len(chosen), "i8")
         for batch in batches:
-            found = [matcher.counts(text) for text in batch.column("_text").to_pylist()]
-            lists = [pa.array([list(part) for part in parts], pa.list_(pa.int32())) for parts in ([c for c, _ in found], [c.values() for c, _ in found])]
-            length = pa.array([rest for _, rest in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), *lists, length], names=["id", "label", "terms", "counts", "length"])
-
-    n = docs.count()
-    df = np.zeros(len(chosen))
-    for r in rows.select("_text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            for text in batch.column("_text").to_pylist():
+                total[terms.counts(text)[0]] += 1
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
+
+    n, df = docs.count(), np.zeros(len(chosen))
+    for r in rows.select("_text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r["term"]] = r["n"]
-    kind = docs.schema[id_col].dataType.simpleString()
-    made = sorted(examples.mapInArrow(vectors, f"id {kind}, label int, terms array<int>, counts array<int>, length long").collect(), key=lambda r: (r["id"], r["label"], r["terms"]))
-    # examples without terms have one vector: of equals only the first NEIGHBOURS can be among the nearest
-    plain = [r for r in made if not r["terms"]]
-    with_terms = [r for r in made if r["terms"]] + plain[:NEIGHBOURS]
-    index = Index(chosen, np.log((n + 1) / (df + 1)) + 1, np.array([r["id"] for r in with_terms], "i8"), np.array([r["label"] for r in with_terms], "f8"))
-    units = [index.vector(dict(zip(r["terms"], r["counts"], strict=True)), r["length"]) for r in with_terms]
-    index.build(units)
-    votes = np.zeros(len(made) - len(plain))
-    for k, (t, w) in enumerate(units[: len(votes)]):
-        place, near = index.nearest(t, w, but=k)
-        votes[k] = index.vote(place, near)
-    index.calibrate(votes, index.labels[: len(votes)], len(plain), sum(r["label"] for r in plain))
+    index = Index(chosen, (np.log((n + 1) / (df + 1)) + 1) * np.array([relevance(t, leaning) for t in chosen]))
+    number = {t: i for i, t in enumerate(chosen)}
+    vectors = []
+    for r in made:
+        if r["terms"]:
+            t = np.array([number[x] for x in r["terms"]], "i8")
+            up = np.argsort(t)
+            vectors.append((r["id"], r["label"], t[up], index.vector(t[up], np.array(r["counts"], "i8")[up])))
+    index.build(vectors)
+
+    places: dict[object, set[int]] = {}
+    for p, i in enumerate(index.ids):
+        places.setdefault(i, set()).add(p)
+    shared = docs.sparkSession.sparkContext.broadcast((index, places))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, own = shared.value
+        terms = Terms(model.terms)
+        for batch in batches:
+            ids, counts = batch.column("_id").to_pylist(), [terms.counts(t) for t in batch.column("_text").to_pylist()]
+            out: list[float | None] = [None] * len(ids)
+            some = [k for k, (t, _) in enumerate(counts) if len(t) and model.ids]
+            for at in range(0, len(some), SLICE):
+                part = some[at : at + SLICE]
+                for k, (place, near) in zip(part, model.nearest([(counts[k][0], model.vector(*counts[k])) for k in part], but=[frozenset(own.get(ids[k], ())) for k in part]), strict=True):
+                    out[k] = model.vote(place, near) if len(place) else None
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column("_label")], names=["vote", "label"])
+
+    left_out = rows.join(F.broadcast(known.orderBy(*order).limit(CALIBRATED)), "_id").mapInArrow(votes, "vote double, label int").collect()
+    near = sorted((r["vote"], r["label"]) for r in left_out if r["vote"] is not None)
+    plain = [r["label"] for r in left_out if r["vote"] is None]
+    index.calibrate(np.array([v for v, _ in near]), np.array([y for _, y in near]), len(plain), sum(plain))
     return index
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds score, predicted and evidence (example ids and cosines, nearest first) to every row of `docs`.
 
-    Null texts count as empty; texts without neighbours get the share of toxic examples among such texts. Rows are
-    scored one by one, so ties and repeated rows get equal scores; an empty table stays empty. Input columns named
-    like an output are replaced.
+    Null texts count as empty; texts without a term of the examples get the share of toxic ones among such fitted rows.
+    Rows are scored one by one, so ties and repeated rows get equal scores; an empty table stays empty. Input columns
+    named like an output are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_EXAMPLES and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_EXAMPLES and their texts
+    kind = docs.schema[id_col].dataType
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ("score", "predicted", "evidence")])
-    pair = T.StructType([T.StructField("example", T.LongType()), T.StructField("cosine", T.DoubleType())])
+    pair = T.StructType([T.StructField("example", kind), T.StructField("cosine", T.DoubleType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(pair))])
-    arrow_pair = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        matcher = Matcher(model.terms)
+        terms = Terms(model.terms)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [model.score(*matcher.counts(t or "")) for t in part.column(text_col).to_pylist()]
+            arrow_pair = pa.list_(pa.struct([("example", batch.column(id_col).type), ("cosine", pa.float64())]))
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = model.score([terms.counts(t or "") for t in part.column(text_col).to_pylist()])
                 scores = np.array([s for s, _ in found])
                 evidence = pa.array([[{"example": i, "cosine": c} for i, c in e] for _, e in found], arrow_pair)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype("i4")), evidence], names=schema.names)

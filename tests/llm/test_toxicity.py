@@ -8,29 +8,54 @@ from driftline.llm import toxicity as x
 DOCS = "doc_id long, text string, lang string, label string, score string, evidence string"
 
 
-def test_index_finds_the_nearest_of_brute_force():
+def dense(index):
+    out = np.zeros((len(index.ids), len(index.terms)))
+    for p in range(len(index.ids)):
+        part = slice(index.starts[p], index.starts[p + 1])
+        out[p, index.example_terms[part]] = index.example_weights[part]
+    return out
+
+
+@pytest.mark.parametrize("columns", [0, 8, 512])
+def test_index_finds_the_nearest_of_brute_force(monkeypatch, columns):
+    """Whole vectors, all terms: places and cosines are those of a full product."""
+    monkeypatch.setattr(x, "COLUMNS", columns)
     draw = np.random.default_rng(1)
-    index = x.Index([f"t{k}" for k in range(40)], draw.uniform(1, 6, 40), np.arange(500), draw.integers(0, 2, 500).astype("f8"))
-    vectors = [index.vector({int(t): int(draw.integers(1, 9)) for t in draw.choice(40, draw.integers(0, 6), replace=False)}, int(draw.integers(0, 3000))) for _ in range(500)]
-    index.build(vectors)
-    dense = np.zeros((500, 41))
-    for k, (t, w) in enumerate(vectors):
-        dense[k, t] = w
-    for k, (t, w) in enumerate(vectors[:120]):
-        place, near = index.nearest(t, w)
-        cosine = dense @ dense[k]
-        best = np.lexsort((np.arange(500), -np.round(cosine, 12)))[: x.NEIGHBOURS]
-        assert np.allclose(near, cosine[best])
-        assert set(place[near > near[-1] + 1e-9]) == set(best[cosine[best] > near[-1] + 1e-9])
+    index = x.Index([f"t{k}" for k in range(400)], draw.uniform(1, 6, 400))
+    vectors = []
+    for k in range(500):
+        t = np.sort(draw.choice(400, draw.integers(1, 30), replace=False))
+        vectors.append((k, int(draw.integers(0, 2)), t, index.vector(t, draw.integers(1, 9, len(t)))))
+    index.build(vectors + vectors[:3])
+    full = dense(index)
+    for but in (None, [frozenset((5, 77))] * 120):
+        found = index.nearest([(t, w) for _, _, t, w in vectors[:120]], but=but)
+        for (_, _, t, w), (place, near) in zip(vectors, found, strict=False):
+            cosine = full[:, t] @ w
+            if but:
+                cosine[list(but[0])] = 0
+            best = np.lexsort((np.arange(len(cosine)), -cosine))[: x.NEIGHBOURS]
+            assert np.allclose(near, cosine[best][: len(near)]) and np.all(cosine[best][len(near) :] <= 0)
+            assert set(place[near > near[-1] + 1e-9]) == set(best[cosine[best] > near[-1] + 1e-9])
+
 
+def test_terms_are_words_and_chosen_beginnings():
+    terms = ["ab", "idio*", "idiot", "lowei*", "scum", "été"]
+    t, n = x.Terms(terms).counts("Idiot, idiots! lowei loweiß LOWEIS xidiot idio-idiot été_ab ÉTÉ scum scum")
+    assert {terms[i]: k for i, k in zip(t.tolist(), n.tolist(), strict=True)} == {"ab": 1, "idio*": 3, "idiot": 2, "lowei*": 2, "scum": 2, "été": 2}
+    assert len(x.Terms([]).counts("idiot")[0]) == 0
 
-def test_matcher_agrees_with_terms():
-    terms = ["idiot", "idio*", "lowei*", "été", "ab", "scum"]
-    text = "Idiot, idiots! lowei loweiß LOWEIS xidiot idio été_ab ÉTÉ scum"
-    got = {terms[i] for i in x.Matcher(terms).counts(text)[0]}
-    assert got == x.terms_of(text) & set(terms)
-    assert x.Matcher([]).counts("idiot") == ({}, 5)
-    assert x.Matcher(terms).counts("scum scum ab c")[1] == 2
+
+def test_every_text_with_known_words_has_evidence(spark):
+    path = "/root/testdata/sf0.001/"
+    docs, labels = spark.read.parquet(path + "documents.parquet"), spark.read.parquet(path + "labels.parquet")
+    index = x.fit(docs, labels)
+    full, terms = dense(index), x.Terms(index.terms)
+    for r in x.score(docs, index).collect():
+        t, n = terms.counts(r["text"] or "")
+        cosine = np.sort(full[:, t] @ index.vector(t, n) if len(t) else np.zeros(0))[::-1][: x.NEIGHBOURS]
+        assert np.allclose([e["cosine"] for e in r["evidence"]], cosine[cosine > 0])
+        assert len(t) == 0 or r["evidence"]
 
 
 def test_held_out_accuracy(spark):
