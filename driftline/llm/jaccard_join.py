@@ -576,6 +576,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_doc").alias(id_col), "n_shingles", F.when(F.col("class").isNull(), F.col("_doc")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that `near_duplicates` finds no links of, and of each component the row of least id.
+
+    Rows with one id and different texts are told apart by their texts' hashes, the smaller one first; a null id is
+    smaller than any other. Rows that repeat id and text are one document: they stay or go together.
+    """
+    keyed = docs.withColumn("_near_row", F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash")))
+    found = near_duplicates(keyed, "_near_row", text_col)
+    lost = found.where("component_id <> _near_row").select(F.col("_near_row").alias("_near_lost")).distinct()
+    return keyed.join(lost, keyed["_near_row"].eqNullSafe(F.col("_near_lost")), "left_anti").drop("_near_row")
+
+
 def _short_pairs(docs: DataFrame, short: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Candidates of the sets that fill too few segments, another exact way: some of their shingles are looked up in
     all sets. Pairs (a, b) of classes."""

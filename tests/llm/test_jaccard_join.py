@@ -144,3 +144,30 @@ def test_a_segment_of_one_shingle_allows_no_difference(seed):
     found = j.signatures([x, y], dear)
     mine, theirs = found.value[(found.owner == 0) & found.probe], found.value[found.owner == 1]
     assert 0 in found.short or np.isin(mine, theirs).any()
+
+
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text with more and more changes: many pairs link, many nearly do, and blocks are small."""
+    monkeypatch.setattr(j, "CHUNK", 64)
+    monkeypatch.setattr(j, "NEAREST", 1)
+    draw = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for _ in range(draw.randrange(9)):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    made = []
+    pairs = j._cross_pairs
+    monkeypatch.setattr(j, "_cross_pairs", lambda *a: (made.append(pairs(*a).count()), pairs(*a))[1])
+    assert got(j.near_duplicates(frame(spark, rows)).select("doc_id", "n_shingles", "component_id")) == brute(rows)
+    assert made and max(made) < 700 * 20
+
+
+def test_rows_not_ids_go(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    near, far = text.replace("w30", "z"), " ".join(f"q{k}" for k in range(60))
+    rows = [(3, text), (5, near), (5, far), (7, None), (7, None), (None, far.replace("q1 ", "r "))]
+    left = j.drop_near_duplicates(frame(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(((r[0] or 0, r[1] or "") for r in left)) == sorted([(3, text), (7, ""), (7, ""), (0, rows[5][1])])
