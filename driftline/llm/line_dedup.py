@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from driftline.llm._tables import BROADCAST_BYTES, Scratch, salted_left_join
 
-#: A run has at least 2 ** FIRST lines.
-FIRST = 1
-MIN_LINES = 1 << FIRST
+#: A run has two lines or more, or is one line of more words than this, or a document's only line.
+LONG_WORDS = 50
 _BLANK = r"^[\x20\x09-\x0D]*$"
 
 
 def _sequence(text: Column) -> Column:
-    """The IDs (hashes) of a text's lines with a word, in order."""
-    return F.transform(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(_BLANK)), lambda x: F.xxhash64(x))
+    """A text's lines with a word, in order: two independent hashes that stand for the line, and whether it is long."""
+    # so many words need more characters than twice as many
+    long = lambda x: (F.length(x) > 2 * LONG_WORDS) & (F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) > LONG_WORDS)
+    return F.transform(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(_BLANK)), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b"), long(x).alias("long")))
 
 
 def _intervals(suffixes: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -47,39 +48,40 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("h"), _sequence(text).alias("s"))
-    windows = F.when(F.size("s") >= MIN_LINES, F.transform(F.sequence(F.lit(0), F.size("s") - MIN_LINES), lambda i: F.xxhash64(*[F.get("s", i + d) for d in range(MIN_LINES)])))
-    seeds = scratch.write("seeds", rows.select("id", "h", F.size("s").alias("n"), F.posexplode(windows).alias("pos", "name")))
-    shared = scratch.write("level0", _intervals(seeds, ["name"], scratch, "ranged0"))
-    level = _members(seeds, shared, ["name"], scratch, "ranks0")
+    seeds = rows.select("id", "h", F.size("s").alias("n"), F.posexplode("s").alias("pos", "line"))
+    seeds = scratch.write("seeds", seeds.select("id", "h", "n", "pos", F.col("line.a").alias("a"), F.col("line.b").alias("b"), (F.col("line.long") | (F.col("n") == 1)).alias("whole")))
+    shared = scratch.write("level0", _intervals(seeds, ["a", "b"], scratch, "ranged0"))
+    level = _members(seeds, shared, ["a", "b"], scratch, "ranks0")
     scratch.drop("seeds", "ranged0", "level0")
-    copies, k = None, FIRST
+    copies, k = None, 0
     while True:
-        later = level.where(F.col("first") < F.struct("id", "h", "pos")).select("id", "h", "pos", F.lit(1 << k).alias("length"), F.col("first.id").alias("source_id"), F.col("first.pos").alias("source_pos"))
+        later = level.where((F.col("first") < F.struct("id", "h", "pos")) & (F.lit(k > 0) | F.col("whole"))).select("id", "h", "pos", F.lit(1 << k).alias("length"), F.col("first.id").alias("source_id"), F.col("first.pos").alias("source_pos"))
         copies = later if copies is None else copies.unionByName(later)
         # suffixes with fewer lines left than the next level compares are compared in full by now
         far = level.select(F.col("id").alias("id2"), F.col("h").alias("h2"), (F.col("pos") - (1 << k)).alias("pos2"), F.col("rank").alias("rank2")).distinct()
         same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")) & (F.col("pos") == F.col("pos2"))
         near = level.where(F.col("pos") + (2 << k) <= F.col("n")).drop("first")
-        pairs = scratch.write(f"pairs{k}", near.join(far, same).select("id", "h", "n", "pos", "rank", "rank2"))
+        pairs = scratch.write(f"pairs{k + 1}", near.join(far, same).select("id", "h", "n", "pos", "whole", "rank", "rank2"))
         if not pairs.limit(1).count():
             return copies
+        k += 1
         groups = scratch.write(f"level{k}", _intervals(pairs, ["rank", "rank2"], scratch, f"ranged{k}"))
         level = _members(pairs, groups, ["rank", "rank2"], scratch, f"ranks{k}")
         scratch.drop(f"pairs{k}", f"ranged{k}", f"level{k}")
-        k += 1
 
 
 def _members(suffixes: DataFrame, intervals: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
     """Suffixes with their interval as rank, without those that are alone in theirs."""
     found = salted_left_join(suffixes, intervals, keys, F.xxhash64("id", "h", "pos")).where("first is not null")
-    return scratch.write(name, found.select("id", "h", "n", "pos", F.col("interval").alias("rank"), "first"))
+    return scratch.write(name, found.select("id", "h", "n", "pos", "whole", F.col("interval").alias("rank"), "first"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deletes lines of later copies of repeated runs: adds n_lines, removed_lines, longest_run and clean_text.
 
-    A run is MIN_LINES or more neighbouring lines, those without a word left out, that is also found earlier: in a
-    document of smaller id, or further up in the same one, overlaps included. Every line of such a later copy goes, and
+    A run is two or more neighbouring lines, those without a word left out, or one line of over LONG_WORDS words, or a
+    document's only line, that is also found earlier: in a document of smaller id, or further up in the same one,
+    overlaps included. Every line of such a later copy goes, and
     lines without a word stay. longest_run is the length of the longest stretch of neighbouring lines that go.
 
     Null and empty texts have no lines and clean_text ''. A null id is smaller than any other. Of documents with one id
@@ -122,14 +124,18 @@ WITH lines AS (
   SELECT doc_id, i, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
 full_lines AS (
-  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos
+  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n
   FROM lines WHERE NOT regexp_full_match(line, '[\x20\x09-\x0D]*')),
 pairs AS (
   SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM full_lines),
 later AS (
   SELECT doc_id, pos FROM (
     SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) AS nth FROM pairs WHERE next IS NOT NULL) WHERE nth > 1),
-gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM later UNION ALL SELECT doc_id, pos + 1 FROM later)),
+alone AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, line, n, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM full_lines)
+  WHERE nth > 1 AND (n = 1 OR len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50)),
+gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM later UNION ALL SELECT doc_id, pos + 1 FROM later UNION ALL SELECT doc_id, pos FROM alone)),
 runs AS (
   SELECT doc_id, max(n) AS longest FROM (
     SELECT doc_id, count(*) AS n FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM gone) GROUP BY doc_id, g)
