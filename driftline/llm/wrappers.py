@@ -20,6 +20,8 @@ from driftline.llm._tables import BROADCAST_BYTES, Scratch, salted_left_join
 
 #: Expressions that one task aligns; a host with more is aligned in rounds.
 FAN_IN = 64
+#: Different pages of a host on which a text must stand to be template, and so many if an article or main element holds it.
+SUPPORT, SUPPORT_MARKED = 2, 8
 #: Longest group of nodes that is looked for as a repetition.
 LONGEST_GROUP = 12
 
@@ -248,36 +250,38 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
     Each page's stream is folded; equal streams of a host count once, so a host with a third of all pages has few.
     Streams are aligned FAN_IN at a time, in rounds, until each host has one expression. Text slots are aligned by
-    where they stand and what they hold: of the pages without article and main, a text that is in a slot on all of the
-    host's different pages that have the slot, two or more, is template.
+    where they stand and what they hold: a text that is in a slot on all of the host's different pages that have the slot,
+    SUPPORT or more, is template; within an article or main element it takes SUPPORT_MARKED pages.
     """
     scratch = Scratch(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            bare: dict[tuple[str, int], tuple[list[int], list[int]]] = {}
+            bare: dict[tuple[str, int], tuple[list[int], list[int], bool]] = {}
             for url, page in zip(batch.column("_url").to_pylist(), batch.column("_html").to_pylist(), strict=True):
                 host, stream = host_of(url), tokens(page or "")
                 labels = [label for label, _ in stream]
                 seen[host, _dump([(n, False) for n in fold(labels)])] += 1
                 keep, marked = content_slots({x for x in labels if x.startswith("#")})
-                if keep and not marked:
+                if keep:
                     blocks = {(label, text) for label, text in stream if label in keep}
                     name = _text_id("", json.dumps(stream))
-                    bare[host, name] = [_text_id(*b) for b in sorted(blocks)], [_text_id(label, "") for label, _ in sorted(blocks)]
+                    bare[host, name] = [_text_id(*b) for b in sorted(blocks)], [_text_id(label, "") for label, _ in sorted(blocks)], marked
             columns = [
                 pa.array([host for host, _ in seen] + [host for host, _ in bare], pa.string()), pa.array([x for _, x in seen] + [None] * len(bare), pa.string()),
                 pa.array([None] * len(seen) + [name for _, name in bare], pa.int64()),
                 *(pa.array([None] * len(seen) + [lists[k] for lists in bare.values()], pa.list_(pa.int64())) for k in (0, 1)),
+                pa.array([None] * len(seen) + [marked for _, _, marked in bare.values()], pa.bool_()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "stream", "page", "texts", "slots"])
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "stream", "page", "texts", "slots", "marked"])
 
-    read = pages.select(pages[url_col].alias("_url"), pages[html_col].alias("_html")).mapInArrow(run, "host string, stream string, page long, texts array<long>, slots array<long>")
+    read = pages.select(pages[url_col].alias("_url"), pages[html_col].alias("_html")).mapInArrow(run, "host string, stream string, page long, texts array<long>, slots array<long>, marked boolean")
     # repeated streams and pages leave here; lists are those of equal pages, so any will do
-    found = scratch.write("found", read.groupBy("host", "stream", "page").agg(F.first("texts").alias("texts"), F.first("slots").alias("slots")))
+    found = scratch.write("found", read.groupBy("host", "stream", "page").agg(F.first("texts").alias("texts"), F.first("slots").alias("slots"), F.first("marked").alias("marked")))
     bare = found.where("page is not null")
-    counted = bare.select("host", F.explode(F.arrays_zip("texts", "slots")).alias("x")).groupBy("host", F.col("x.texts").alias("text"), F.col("x.slots").alias("slot")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = bare.select("host", "marked", F.explode(F.arrays_zip("texts", "slots")).alias("x")).groupBy("host", F.col("x.texts").alias("text"), F.col("x.slots").alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.max("marked").alias("marked"))
+    counted = counted.where(F.col("n") >= F.when(F.col("marked"), SUPPORT_MARKED).otherwise(SUPPORT))
     with_slot = bare.select("host", F.explode(F.array_distinct("slots")).alias("slot")).groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n"))
     # a host's template has no more texts than its shortest pages
     template = counted.join(with_slot, ["host", "slot", "n"]).groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("template"))
@@ -304,7 +308,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     The page's token stream is matched to the wrapper; texts in the page's content slots (see `content_slots`) are its
     blocks, joined in page order by one space. Character references are decoded and white space in a block becomes one
-    space. Without article and main, blocks that are template go, unless the page has no others.
+    space. Blocks that are template go, unless the page has no others.
 
     Null and empty pages have text ''. Pages without a host share the wrapper of ''. `matched` is false where the
     wrapper does not accept a page. Repeated rows are read alike; an empty table gives an
@@ -334,9 +338,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                     if len(seen) > 1000:
                         seen.clear()
                     found = seen[labels] = accepts(expected, list(labels)), *content_slots({x for x in labels if x.startswith("#")})
-                fit, keep, marked = found
+                fit, keep, _ = found
                 blocks = [(label, text) for label, text in stream if text and label in keep]
-                if fixed and not marked:
+                if fixed:
                     blocks = [b for b in blocks if _text_id(*b) not in fixed] or blocks
                 texts.append(" ".join(text for _, text in blocks))
                 fits.append(fit)
