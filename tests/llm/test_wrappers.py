@@ -107,6 +107,6 @@ def test_alignment_tells_constant_text_in_an_article_from_content(spark):
     """The same tags and classes hold content and boilerplate: only what the other pages of the host have tells them apart."""
     page = lambda k, host: (k, f"http://{host}/{k}", f"<html><body><article><p>Story {k} begins.</p><p>Read it in our app today.</p><p>Story {k} ends.</p></article></body></html>")
     rows = [page(k, "many.example") for k in range(9)] + [page(20 + k, "few.example") for k in range(3)]
-    got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {r["page_id"]: r["text"] for r in w.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[k] == f"Story {k} begins. Story {k} ends." for k in range(9))
     assert all(got[20 + k] == f"Story {20 + k} begins. Read it in our app today. Story {20 + k} ends." for k in range(3))
