@@ -10,7 +10,7 @@ from driftline.functions.rng import exponential, normal, poisson, sign, uniform,
 from driftline.operators import ancestry, ld, reproduction, spatial, stats
 from driftline.plans import generations
 from driftline.registry import register
-from driftline.sources import plink, views
+from driftline.sources import plink, state, views
 from driftline.streaming import monitor
 
 V = views.SQL
@@ -83,9 +83,10 @@ register(
     lambda s, d: _rounded(stats.fst(views.haplotypes(s, d)), "fst"),
     f"WITH {V}, dp AS (SELECT deme, slot, avg(allele) AS p FROM hap GROUP BY ALL), site AS (SELECT slot, var_pop(p) AS v, avg(p) AS m FROM dp GROUP BY slot) SELECT {_r('sum(v) / sum(m * (1 - m))')} AS fst FROM site",
 )
-_GENO2 = """geno2 AS (SELECT o_custkey AS ind_id, c_nationkey AS deme, l_partkey AS slot, least(count(*), 2)::INTEGER AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
-parts AS (SELECT p_partkey AS slot, (1 + floor((p_partkey - 1) / ceil((SELECT max(p_partkey) FROM part) / 4.0)))::INTEGER AS chr, (1 + (p_partkey * 7919) % 100000)::INTEGER AS bp,
-  (CASE WHEN (p_partkey * 104729) % 2001 = 1000 THEN 0.0001 ELSE ((p_partkey * 104729) % 2001 - 1000) / 10000.0::DOUBLE END)::DOUBLE AS alpha, p_partkey % 8 <> 0 AS is_qtl FROM part)"""
+_GENO2 = """geno2 AS (SELECT o_custkey AS ind_id, c_nationkey AS deme, l_partkey + 1 AS slot, least(count(*), 2)::INTEGER AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+keys AS (SELECT p_partkey + 1 AS slot FROM part),
+parts AS (SELECT slot, (1 + floor((slot - 1) / ceil((SELECT max(slot) FROM keys) / 4.0)))::INTEGER AS chr, (1 + (slot * 7919) % 100000)::INTEGER AS bp,
+  (CASE WHEN (slot * 104729) % 2001 = 1000 THEN 0.0001 ELSE ((slot * 104729) % 2001 - 1000) / 10000.0::DOUBLE END)::DOUBLE AS alpha, slot % 8 <> 0 AS is_qtl FROM keys)"""
 
 
 def sparse_breeding_value(s: SparkSession, d: str) -> DataFrame:
@@ -250,7 +251,7 @@ def _nations(s: SparkSession, d: str) -> DataFrame:
     return views.table(s, d, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("deme"))
 
 
-_NEAR = f"""near AS (SELECT a.deme, b.deme AS neighbour, 1 - 0.05 * count(*) OVER (PARTITION BY a.deme) AS prob_stay
+_NEAR = f"""near AS (SELECT a.deme, b.deme AS neighbour, 1 - 0.05::DOUBLE * count(*) OVER (PARTITION BY a.deme) AS prob_stay
 FROM (SELECT n_nationkey + 1 AS deme FROM nation) a JOIN (SELECT n_nationkey + 1 AS deme FROM nation) b
 ON abs((a.deme - 1) % {GRID} - (b.deme - 1) % {GRID}) + abs((a.deme - 1) // {GRID} - (b.deme - 1) // {GRID}) = 1)"""
 register(
@@ -425,12 +426,20 @@ register(
   ((floor({_q('=5', '=start', 'gamete', 'chr')} * 2) + (SELECT count(*) FROM pts WHERE pts.gamete = gc.gamete AND pts.chr = gc.chr AND pts.bp <= v.bp)) % 2)::INTEGER AS strand FROM gc JOIN variants v USING (chr))
 SELECT gamete, sum(allele)::BIGINT AS derived, {_r('sum(allele * alpha)')} AS value FROM st JOIN hap ON hap.ind_id = st.gamete AND hap.slot = st.slot AND hap.hap_id % 2 = st.strand GROUP BY gamete""",
 )
+def edge_segments(s: SparkSession, d: str) -> DataFrame:
+    """The stretches of each individual's gamete, with the parent haplotype that each comes from."""
+    people = views.haplotypes(s, d).select(F.col("ind_id").alias("gamete")).distinct()
+    cut = reproduction.edge_segments(people, views.variants(s, d).select("chr").distinct(), _points(s, d), views.CHR_LEN, 5)
+    return cut.withColumn("parent", 2 * F.col("gamete") + F.col("strand"))
+
+
 register(
     "edge_segments",
-    lambda s, d: reproduction.edge_segments(_points(s, d), views.CHR_LEN, 5),
-    f"""WITH {V}, {_POINTS}, e AS (SELECT gamete, chr, bp FROM pts UNION ALL SELECT DISTINCT gamete, chr, 1 FROM pts),
-n AS (SELECT gamete, chr, bp, row_number() OVER w AS i, lead(bp, 1, 100001) OVER w AS nxt FROM e WINDOW w AS (PARTITION BY gamete, chr ORDER BY bp))
-SELECT gamete, chr, bp AS left, nxt AS right, ((floor({_q('=5', '=start', 'gamete', 'chr')} * 2) + i - 1) % 2)::INTEGER AS strand FROM n WHERE bp < nxt""",
+    edge_segments,
+    f"""WITH {V}, {_POINTS}, e AS (SELECT gamete, chr, bp FROM pts UNION ALL SELECT gamete, chr, 1 FROM gc),
+n AS (SELECT gamete, chr, bp, row_number() OVER w AS i, lead(bp, 1, 100001) OVER w AS nxt FROM e WINDOW w AS (PARTITION BY gamete, chr ORDER BY bp)),
+st AS (SELECT gamete, chr, bp AS left, nxt AS right, ((floor({_q('=5', '=start', 'gamete', 'chr')} * 2) + i - 1) % 2)::INTEGER AS strand FROM n WHERE bp < nxt)
+SELECT *, (2 * gamete + strand)::BIGINT AS parent FROM st""",
 )
 
 
@@ -461,16 +470,16 @@ SELECT CASE WHEN n = 0 THEN 'lost' WHEN n >= 1500 THEN 'fixed' ELSE 'segregating
 
 
 def ism_free_slots(s: SparkSession, d: str) -> DataFrame:
-    """Slots that are free while only customers of segment BUILDING carry anything; 25 new mutations a chromosome."""
+    """Slots that are free while only customers of segment BUILDING in debt carry anything; 25 new mutations a chromosome."""
     slots, cells = _slots(s, d)
-    some = views.table(s, d, "customer").where("c_mktsegment = 'BUILDING' and c_custkey % 7 = 0").select(F.col("c_custkey").alias("ind_id"))
+    some = views.table(s, d, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal < 0").select(F.col("c_custkey").alias("ind_id"))
     return reproduction.free_slots(slots, cells.join(some, "ind_id", "left_semi"), slots.select("chr").distinct().withColumn("n", F.lit(25))).withColumn("mutation", F.col("mutation").cast("long"))
 
 
 register(
     "ism_free_slots",
     ism_free_slots,
-    f"""WITH {_GENO2}, act AS (SELECT DISTINCT slot FROM geno2 JOIN customer ON c_custkey = ind_id WHERE c_mktsegment = 'BUILDING' AND c_custkey % 7 = 0),
+    f"""WITH {_GENO2}, act AS (SELECT DISTINCT slot FROM geno2 JOIN customer ON c_custkey = ind_id WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0),
 f AS (SELECT chr, slot, row_number() OVER (PARTITION BY chr ORDER BY slot) AS mutation FROM parts WHERE slot NOT IN (SELECT slot FROM act)) SELECT chr, slot, mutation FROM f WHERE mutation <= 25""",
 )
 
@@ -508,22 +517,21 @@ SELECT site, gen, parent, child FROM k WHERE k = 1""",
 
 
 def simplify_reachability(s: SparkSession, d: str) -> DataFrame:
-    """Edges above a tenth of the parts, generation by generation; counted by generation and chromosome."""
-    made = views.edges(s, d).withColumn("parent", F.col("parent") % 2000)
-    samples = views.table(s, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("node")).crossJoin(made.select("chr").distinct())
+    """Edges above the small parts, generation by generation; counted by generation and chromosome."""
+    made = views.edges(s, d)
+    samples = views.table(s, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("node")).crossJoin(F.broadcast(made.select("chr").distinct()))  # a row a chromosome
     generations = [r["gen"] for r in made.select("gen").distinct().orderBy(F.desc("gen")).collect()]  # line numbers: at most seven
-    kept = ancestry.simplify(made, samples, generations, lambda _, df: df)
+    kept = ancestry.simplify(made, samples, generations, state.written)
     return kept.groupBy("gen", "chr").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def _simplify_sql() -> str:
-    steps, alive = [], "SELECT chr, p_partkey AS node FROM part, (SELECT DISTINCT chr FROM e) WHERE p_partkey % 10 = 0"
-    steps.append(f"a8 AS ({alive})")
+    steps = ["a8 AS (SELECT chr, p_partkey AS node FROM part, (SELECT DISTINCT chr FROM edges) WHERE p_size <= 10)"]
     for g in range(7, 0, -1):
-        steps.append(f"k{g} AS (SELECT e.* FROM e WHERE gen = {g} AND EXISTS (SELECT 1 FROM a{g + 1} a WHERE a.chr = e.chr AND a.node = e.child))")
+        steps.append(f"k{g} AS (SELECT e.* FROM edges e WHERE gen = {g} AND EXISTS (SELECT 1 FROM a{g + 1} a WHERE a.chr = e.chr AND a.node = e.child))")
         steps.append(f"a{g} AS (SELECT * FROM a{g + 1} UNION SELECT chr, parent FROM k{g})")
     every = " UNION ALL ".join(f"SELECT * FROM k{g}" for g in range(1, 8))
-    return f"WITH {_EDGES}, e AS (SELECT gen, chr, parent % 2000 AS parent, child FROM edges), {', '.join(steps)} SELECT gen, chr, count(*) AS edges FROM ({every}) GROUP BY gen, chr"
+    return f"WITH {_EDGES}, {', '.join(steps)} SELECT gen, chr, count(*) AS edges FROM ({every}) GROUP BY gen, chr"
 
 
 register("simplify_reachability", simplify_reachability, _simplify_sql())
@@ -576,7 +584,7 @@ register(
 register(
     "plink_bim",
     lambda s, d: plink.bim(views.part_variants(s, d), 1e-8),
-    f"WITH {_GENO2} SELECT chr, bp, chr || chr(9) || 'chr' || chr || '_' || bp || chr(9) || printf('%.6f', bp * 1e-8 * 100) || chr(9) || bp || chr(9) || '1' || chr(9) || '2' AS line FROM parts",
+    f"WITH {_GENO2} SELECT chr, bp, chr || chr(9) || 'chr' || chr || '_' || bp || chr(9) || printf('%.6f', bp * 1e-8 * 100) || chr(9) || bp || chr(9) || '1' || chr(9) || '0' AS line FROM parts",
 )
 
 

@@ -21,14 +21,14 @@ def covering_edges(sites: DataFrame, edges: DataFrame, width: int = 512) -> Data
 def simplify(edges: DataFrame, samples: DataFrame, generations: list[int], write) -> DataFrame:
     """Edges above the samples: from the newest generation back, an edge stays if its child is alive; then its parent is.
 
-    `generations` is the distinct generations, newest first. `write(name, df)` cuts lineage: state is one set of nodes.
+    `generations` is the distinct generations, newest first. `write(df, name)` cuts lineage: state is one set of nodes.
     """
     alive, kept = samples.select("chr", "node").distinct(), None
     for g in generations:
         here = edges.where(F.col("gen") == g)
         stays = here.join(alive.withColumnRenamed("node", "child"), ["chr", "child"], "left_semi")
         kept = stays if kept is None else kept.unionByName(stays)
-        alive = write(f"alive{g}", alive.union(stays.select("chr", F.col("parent").alias("node"))).distinct())
+        alive = write(alive.union(stays.select("chr", F.col("parent").alias("node"))).distinct(), f"alive{g}")
     return kept
 
 
@@ -46,10 +46,10 @@ def overlay_mutations(edges: DataFrame, count: Column, position: Column) -> Data
     return drawn.select("chr", "gen", "parent", "child", position.alias("bp"))
 
 
-def descend(mutations: DataFrame, edges: DataFrame, width: int = 512) -> DataFrame:
-    """One step towards the samples: mutations (chr, node, bp) pass to children over edges that cover them."""
-    step = covering_edges(mutations.withColumn("site", F.lit(0)), edges.withColumnRenamed("parent", "node_"), width)
-    return step.where("node = node_").select("chr", F.col("child").alias("node"), "bp")
+def descend(mutations: DataFrame, edges: DataFrame) -> DataFrame:
+    """One step towards the samples: mutations (chr, node, bp) pass to children over edges of their node that cover them."""
+    down = edges.select("chr", F.col("parent").alias("node"), "child", "left", "right")
+    return mutations.join(down, ["chr", "node"]).where("bp >= left and bp < right").select("chr", F.col("child").alias("node"), "bp")
 
 
 def merged_sites(trait: DataFrame, neutral: DataFrame) -> DataFrame:

@@ -24,8 +24,9 @@ def to_slots(points: DataFrame, variants: DataFrame) -> DataFrame:
     """
     a = variants.select("chr", "bp", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("gamete"), F.col("slot").cast("long").alias("_slot"))
     b = points.select("chr", "bp", F.lit(0).alias("_kind"), F.col("gamete").cast("long"), F.lit(None).cast("long").alias("_slot"))
-    w = Window.partitionBy("chr").orderBy("bp", "_kind", "_slot").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return a.union(b).withColumn("slot", F.first("_slot", ignorenulls=True).over(w)).where("_kind = 0").select("gamete", "chr", "bp", "slot")
+    # from the far end, so that each row adds to what is known of those before it
+    w = Window.partitionBy("chr").orderBy(F.desc("bp"), F.desc("_kind"), F.desc("_slot")).rowsBetween(Window.unboundedPreceding, 0)
+    return a.union(b).withColumn("slot", F.last("_slot", ignorenulls=True).over(w)).where("_kind = 0").select("gamete", "chr", "bp", "slot")
 
 
 def gametes(parents: DataFrame, hap: DataFrame, variants: DataFrame, points: DataFrame, seed: int) -> DataFrame:
@@ -44,10 +45,14 @@ def gametes(parents: DataFrame, hap: DataFrame, variants: DataFrame, points: Dat
     return strands.join(own, ["ind_id", "slot", "strand"]).select("gamete", "slot", "allele")
 
 
-def edge_segments(points: DataFrame, chr_len: int, seed: int) -> DataFrame:
-    """gamete, chr, left, right, strand: half-open stretches between crossovers; empty ones change the strand unseen."""
+def edge_segments(gametes: DataFrame, chromosomes: DataFrame, points: DataFrame, chr_len: int, seed: int) -> DataFrame:
+    """gamete, chr, left, right, strand: half-open stretches between crossovers, the whole chromosome where there is none.
+
+    Crossovers at one place leave an empty stretch out and change the strand unseen.
+    """
     w = Window.partitionBy("gamete", "chr").orderBy("bp", "_i")
-    ends = points.select("gamete", "chr", "bp").union(points.select("gamete", "chr", F.lit(1)).distinct())
+    every = gametes.select("gamete").crossJoin(F.broadcast(chromosomes.select("chr")))  # a row a chromosome
+    ends = points.select("gamete", "chr", "bp").union(every.select("gamete", "chr", F.lit(1)))
     ends = ends.withColumn("_i", F.row_number().over(Window.partitionBy("gamete", "chr").orderBy("bp")))
     cut = ends.withColumn("right", F.lead("bp", 1, chr_len + 1).over(w))
     start = F.floor(uniform(seed, "start", F.col("gamete"), F.col("chr")) * 2)
@@ -66,10 +71,16 @@ def mutated_cells(hap: DataFrame, rate: float, seed: int) -> DataFrame:
 
 
 def free_slots(slots: DataFrame, active: DataFrame, need: DataFrame) -> DataFrame:
-    """chr, slot, mutation: the lowest free slots of each chromosome for as many new mutations as `need` (chr, n) says."""
+    """chr, slot, mutation: the lowest free slots of each chromosome for as many new mutations as `need` (chr, n) says.
+
+    A chromosome with fewer free slots is an error.
+    """
     open_ = slots.join(active.select("slot").distinct(), "slot", "left_anti")
+    free = open_.groupBy("chr").agg(F.count(F.lit(1)).alias("_free"))
+    lack = F.raise_error(F.concat(F.lit("no free slots left on chromosome "), F.col("chr").cast("string")))
+    wanted = need.join(free, "chr", "left").select("chr", F.when(F.coalesce("_free", F.lit(0)) < F.col("n"), lack.cast("long")).otherwise(F.col("n")).alias("n"))  # a row a chromosome
     numbered = open_.withColumn("mutation", F.row_number().over(Window.partitionBy("chr").orderBy("slot")))
-    return numbered.join(F.broadcast(need), "chr").where("mutation <= n").select("chr", "slot", "mutation")
+    return numbered.join(F.broadcast(wanted), "chr").where("mutation <= n").select("chr", "slot", "mutation")
 
 
 def cleanup(slots: DataFrame, carriers: DataFrame, n_hap: int) -> DataFrame:

@@ -46,6 +46,7 @@ def weighted_parent(draws: DataFrame, weights: DataFrame, u: str = "u", by: str
     total = weights.groupBy(by).agg(F.sum("w").alias("_total"))
     points = cumulative(weights, by).select(by, F.col("cum").alias("_at"), F.lit(1).alias("_kind"), F.col("ind_id").alias("_ind"), F.lit(None).cast("long").alias("draw"))
     asked = draws.join(F.broadcast(total), by).select(by, (F.col(u) * F.col("_total")).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_ind"), F.col("draw").cast("long"))
-    w = Window.partitionBy(by).orderBy("_at", "_kind", "_ind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = points.union(asked).withColumn("parent", F.first("_ind", ignorenulls=True).over(w))
+    # from the far end, so that each row adds to what is known of those before it
+    w = Window.partitionBy(by).orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_ind")).rowsBetween(Window.unboundedPreceding, 0)
+    both = points.union(asked).withColumn("parent", F.last("_ind", ignorenulls=True).over(w))
     return both.where("_kind = 0").select(by, "draw", "parent")

@@ -30,10 +30,10 @@ def dosage_of(bits: Column) -> Column:
 
 
 def bim(variants: DataFrame, recombination: float) -> DataFrame:
-    """One tab-separated line for each variant: chr, name, cM, bp, alleles."""
+    """One tab-separated line for each variant: chr, name, cM, bp, the derived allele and the other."""
     name = F.concat(F.lit("chr"), F.col("chr"), F.lit("_"), F.col("bp"))
     cm = F.format_string("%.6f", F.col("bp") * recombination * 100)
-    return variants.select("chr", "bp", F.concat_ws("\t", "chr", name, cm, "bp", F.lit("1"), F.lit("2")).alias("line"))
+    return variants.select("chr", "bp", F.concat_ws("\t", "chr", name, cm, "bp", F.lit("1"), F.lit("0")).alias("line"))
 
 
 def fam(people: DataFrame, phenotype: str = "a") -> DataFrame:

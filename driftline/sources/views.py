@@ -2,7 +2,7 @@
 
 `embeddings` are read as phased haplotypes: a row is one haplotype, a dimension one locus, a positive number the derived
 allele; two neighbouring rows are an individual. `orders` with `lineitem` are read as sparse dosages: a customer is an
-individual, a part a locus, its nation a deme.
+individual, a part a locus, its nation a deme. Loci are numbered from 1, parts from 0.
 """
 
 from __future__ import annotations
@@ -46,13 +46,13 @@ def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ind_id, deme, slot, g: non-zero dosages of customers at parts, at most 2."""
     cells = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    counted = cells.groupBy(F.col("o_custkey").alias("ind_id"), F.col("l_partkey").alias("slot")).agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("g"))
+    counted = cells.groupBy(F.col("o_custkey").alias("ind_id"), (F.col("l_partkey") + 1).alias("slot")).agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("g"))
     return counted.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ind_id"), F.col("c_nationkey").alias("deme")), "ind_id")
 
 
 def part_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """slot, chr, bp, alpha, is_qtl: one row for each part."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slot"))
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("slot"))
     return parts.crossJoin(F.broadcast(parts.agg(F.max("slot").alias("loci")))).select("slot", *_site(F.col("slot"), F.col("loci")))
 
 

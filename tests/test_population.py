@@ -51,13 +51,22 @@ def test_recombination_follows_haldane(spark):
     hap = people.crossJoin(spark.createDataFrame([(h, s) for h in (0, 1) for s in (1, 2)], "h int, slot int")).select((F.col("ind_id") * 2 + F.col("h")).alias("hap_id"), "ind_id", "slot", F.col("h").alias("allele"))
     for m in (0.1, 1.0):
         parents = people.select(F.col("ind_id").alias("gamete"), "ind_id")
-        points = reproduction.breakpoints(parents, spark.createDataFrame([(1,)], "chr int"), m, 1000, 11)
+        one = spark.createDataFrame([(1,)], "chr int")
+        points = reproduction.breakpoints(parents, one, m, 1000, 11)
         made = reproduction.gametes(parents, hap, variants, points, 11).groupBy("gamete").agg(F.count("*").alias("n"), F.count_if(F.col("allele") == 1).alias("ones"))
         got = made.agg(F.avg((F.col("ones") == 1).cast("double")), F.avg(F.col("ones") / 2)).first()
         assert got[0] == pytest.approx((1 - math.exp(-2 * m)) / 2, abs=0.03)
         assert got[1] == pytest.approx(0.5, abs=0.03)
-        segments = reproduction.edge_segments(points, 1000, 11).groupBy("gamete", "chr").agg(F.min("left").alias("a"), F.max("right").alias("b"), F.sum(F.col("right") - F.col("left")).alias("n"))
-        assert segments.where("a <> 1 or b <> 1001 or n <> 1000").count() == 0
+        segments = reproduction.edge_segments(parents, one, points, 1000, 11).groupBy("gamete", "chr").agg(F.min("left").alias("a"), F.max("right").alias("b"), F.sum(F.col("right") - F.col("left")).alias("n"))
+        assert segments.where("a <> 1 or b <> 1001 or n <> 1000").count() == 0 and segments.count() == 4000
+
+
+def test_free_slots_run_out(spark):
+    slots = spark.createDataFrame([(k, 1 + k % 2) for k in range(10)], "slot long, chr int")
+    need = spark.createDataFrame([(1, 3), (2, 3)], "chr int, n int")
+    assert reproduction.free_slots(slots, slots.where("slot < 2"), need).count() == 6
+    with pytest.raises(Exception, match="no free slots left"):
+        reproduction.free_slots(slots, slots.where("slot < 6"), need).collect()
 
 
 def test_mutation_twice_is_none(spark):
