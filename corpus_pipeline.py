@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from driftline.llm import bpe, exact_dedup, jaccard_join, packing, quality_rules, toxicity
 from driftline.llm._tables import Scratch, ship, table
@@ -33,10 +32,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the least id stays."""
+    """Of each component of linked documents the row with the least id stays; rows go, not ids."""
     ship(spark)
-    lost = jaccard_join.near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_lost")), "left_anti").select(*COLUMNS)
+    return jaccard_join.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -542,7 +542,7 @@ def overlay_propagate(s: SparkSession, d: str) -> DataFrame:
     e = views.edges(s, d)
     key = [F.col(c) for c in ("gen", "chr", "parent", "child", "left")]
     made = ancestry.overlay_mutations(e, poisson(uniform(4, "m", *key), 0.5), F.col("left") + F.floor(uniform(4, "p", *key, F.col("i")) * (F.col("right") - F.col("left"))))
-    nodes = made.select("chr", F.col("child").alias("node"), "bp")
+    nodes = state.written(made.select("chr", F.col("child").alias("node"), "bp"), "mutations")
     moved = ancestry.descend(nodes, e)
     return nodes.groupBy("chr").agg(F.count(F.lit(1)).alias("mutations")).join(moved.groupBy("chr").agg(F.count(F.lit(1)).alias("moved")), "chr", "left").withColumn("moved", F.coalesce("moved", F.lit(0)))
 

@@ -30,13 +30,18 @@ def normal(u1: Column, u2: Column, sd: float = 1.0) -> Column:
 
 
 def poisson(u: Column, mean: float, most: int = 64) -> Column:
-    """Poisson counts by inversion, for means of a few units: how many cumulated chances lie below u."""
+    """Poisson counts by inversion, for means of a few units: how many cumulated chances lie below u.
+
+    Chances that no draw of `uniform` exceeds are left out, and u is computed once, not for each chance.
+    """
     chance, total, steps = math.exp(-mean), 0.0, []
     for k in range(most):
         total += chance
-        steps.append(total)
+        if total < 1 - 2**-33:
+            steps.append(total)
         chance *= mean / (k + 1)
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda a, s: a + F.when(u > s, 1).otherwise(0))
+    start = F.struct(u.alias("u"), F.lit(0).alias("n"))
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), start, lambda a, s: F.struct(a["u"].alias("u"), (a["n"] + F.when(a["u"] > s, 1).otherwise(0)).alias("n")), lambda a: a["n"])
 
 
 #: DuckDB text of `uniform` for a key given as SQL expressions.
