@@ -36,7 +36,7 @@ SALTS = 16
 #: Members of a group that meet the others as one block, and about how many bytes their sketches may have.
 CHUNK, CHUNK_BYTES = 512, 4 << 20
 #: Nearest members of a block that each member of a mixed group is compared with first; four times as many in each round.
-NEAREST = 4
+NEAREST = 1
 #: More than any distance of sketches.
 FAR = np.iinfo("i8").max
 #: Blocks of signatures that are dealt over each shuffle partition.
@@ -467,7 +467,7 @@ def _cross_pairs(mixed: DataFrame, rep: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) of different components in groups of (gid, v, root, probe) that sizes and sketches leave room for.
 
     The members outside a group's largest component meet all members, as blocks of numbers; of a block with
-    more than k pairs to a member, each one takes its k nearest by their sketches. A row without a pair says that some had more. Members are dealt to
+    more than k pairs to a member, each one takes its k nearest by their sketches. A row (null, gid) says that some had more. Members are dealt to
     chunks of about CHUNK, fewer where sketches are large, and the chunks of a large group over SALTS tasks.
     """
     counts = mixed.groupBy("gid", "root").agg(F.count(F.lit(1)).alias("_c"))
@@ -480,11 +480,11 @@ def _cross_pairs(mixed: DataFrame, rep: DataFrame, k: int) -> DataFrame:
     salts = sizes.where("outer").select("gid", F.least(F.lit(SALTS), F.col("_k")).cast("int").alias("_s"))
     left = chunks.where("outer").join(salts, "gid").select("gid", F.pmod("c", "_s").cast("int").alias("_salt"), "c", "m")
     right = chunks.join(salts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_salt"), "outer", F.col("c").alias("c2"), F.col("m").alias("m2"))
-    blocks = left.join(right, ["gid", "_salt"]).where("not outer or c <= c2").select("m", "m2", "outer")
+    blocks = left.join(right, ["gid", "_salt"]).where("not outer or c <= c2").select("gid", "m", "m2", "outer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, other, outer in zip(batch.column("m"), batch.column("m2"), batch.column("outer").to_pylist(), strict=True):
+            for gid, one, other, outer in zip(batch.column("gid").to_pylist(), batch.column("m"), batch.column("m2"), batch.column("outer").to_pylist(), strict=True):
                 x, y = one.values, other.values
                 get = lambda t, c: t.field(c).to_numpy(zero_copy_only=False)
                 bits = distances(get(x, "n"), x.field("sketch").to_pylist(), get(y, "n"), y.field("sketch").to_pylist())
@@ -498,9 +498,9 @@ def _cross_pairs(mixed: DataFrame, rep: DataFrame, k: int) -> DataFrame:
                 a, b = get(x, "v")[i], get(y, "v")[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
                 if near.sum() < (bits < FAR).sum():
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([gid], pa.int64())], names=["a", "b"])
 
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, scratch: Scratch, name: str, id_col: str, text_col: str) -> DataFrame:
@@ -563,11 +563,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         several = rooted.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("probe").alias("_p")).where("_lo < _hi and _p").select("gid")
         mixed = scratch.write(f"mixed{k}", rooted.join(several, "gid").select("gid", "v", "root", "probe"))
         found = scratch.write(f"near{k}", _cross_pairs(mixed, rep, k))
-        fresh = scratch.write(f"fresh{k}", found.where("a is not null").join(tried, ["a", "b"], "left_anti"))
+        fresh = scratch.write(f"fresh{k}", found.where("a is not null").distinct().join(tried, ["a", "b"], "left_anti"))
         roots = merged(roots, _verified(fresh, docs, rep, scratch, f"more{k}", id_col, text_col), scratch, f"more{k}")
-        if not found.where("a is null").limit(1).count():
-            break  # no pair of different components is left
-        tried, k = tried.union(fresh), 4 * k
+        # groups without such a row have no other pair of different components
+        left = scratch.write(f"left{k}", found.where("a is null").select(F.col("b").alias("gid")).distinct())
+        if not left.limit(1).count():
+            break
+        members, tried, k = members.join(left, "gid", "left_semi"), tried.union(fresh), 4 * k
 
     least = rep.join(roots.withColumnRenamed("v", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "doc")
     ids = least.groupBy("root").agg(F.min("doc").alias("component_id"))
