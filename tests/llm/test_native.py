@@ -143,3 +143,11 @@ def test_chats_with_long_texts_more_keys_and_pieces(spark):
     assert chat_format.format_chats(rows.where("false")).count() == 0
     paths = spark.createDataFrame([(payloads[5],)], "p string").select(chat_format.field_paths(F.col("p")).alias("x")).first()["x"]
     assert paths == ["odd", "odd.deep", "odd.deep[].er"]
+
+
+def test_line_dedup_takes_one_long_line_and_whole_documents(spark):
+    long, short = " ".join(f"w{k}" for k in range(51)), " ".join(f"w{k}" for k in range(50))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, f"e\n{short}\nf"), (4, f"g\n{short}\nh"), (5, "only"), (6, "only"), (6, "only"), (7, "x\nonly\ny"), (8, None)]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    clean = sorted((r["doc_id"], r["clean_text"]) for r in out)
+    assert clean == [(1, f"a\n{long}\nb"), (2, "c\nd"), (3, f"e\n{short}\nf"), (4, f"g\n{short}\nh"), (5, "only"), (6, ""), (6, ""), (7, "x\nonly\ny"), (8, "")]
