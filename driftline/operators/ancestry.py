@@ -52,6 +52,23 @@ def descend(mutations: DataFrame, edges: DataFrame) -> DataFrame:
     return mutations.join(down, ["chr", "node"]).where("bp >= left and bp < right").select("chr", F.col("child").alias("node"), "bp")
 
 
+def carry_down(begun: DataFrame, edges: DataFrame, keys: list[str], generations: list[int], write) -> DataFrame:
+    """chr, node and `keys` (bp among them), each once: what begins at nodes, and all that covering edges pass on to children.
+
+    `begun` has gen as well: the generation in which a row is there first. In a generation's turn, oldest first, children
+    get what their parents had before it, where the edge covers bp. `write(df, name)` cuts lineage after each one.
+    """
+    held = None
+    for g in generations:
+        here = begun.where(F.col("gen") == g).select(*keys, "chr", "node")
+        if held is not None:
+            down = edges.where(F.col("gen") == g).select("chr", F.col("parent").alias("node"), "child", "left", "right")
+            passed = held.join(down, ["chr", "node"]).where("bp >= left and bp < right").select(*keys, "chr", F.col("child").alias("node"))
+            here = held.unionByName(here).unionByName(passed)
+        held = write(here.distinct(), f"held{g}")
+    return held if held is not None else begun.select(*keys, "chr", "node").distinct()
+
+
 def merged_sites(trait: DataFrame, neutral: DataFrame) -> DataFrame:
     """chr, bp, snp_id, alpha of both panels in one: distinct neutral positions, trait sites with their effects."""
     name = lambda tag: F.concat_ws("_", F.concat(F.lit("chr"), F.col("chr")), F.col("bp"), F.lit(tag))
