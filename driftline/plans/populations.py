@@ -9,7 +9,7 @@ from driftline import catalog as c
 from driftline.functions.rng import poisson, uniform, uniform_sql
 from driftline.operators import ancestry, initial, selection
 from driftline.registry import register
-from driftline.sources import state, views
+from driftline.sources import bundle, state, views
 
 WINDOWS = (50.0, 5.0)
 
@@ -180,3 +180,40 @@ rn AS (SELECT *, sum(gen) OVER (PARTITION BY site ORDER BY gen, parent, child RO
 kk AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY cum, gen, parent, child) AS k FROM rn WHERE cum >= {_q('=2', '=branch', 'site')} * total),
 m AS (SELECT gen, site, chr, child AS node, bp FROM kk WHERE k = 1), {_descent_sql('m', 'site, ')} SELECT site, chr, node FROM h7""",
 )
+
+# --- bundles of files --------------------------------------------------------------------------------------------
+
+
+def _bundle(s: SparkSession, d: str) -> tuple[str, int]:
+    """Customers and parts written as a bundle: its path, and how many individuals it has."""
+    people = c.sparse_breeding_value(s, d)
+    path = state.new_folder(s, "bundle").removeprefix("file:")
+    bundle.write_bundle(path, views.dosages(s, d), views.part_variants(s, d), people, 1e-8, state.written)
+    return path, views.table(s, d, "customer").count()
+
+
+def plink_bundle(s: SparkSession, d: str) -> DataFrame:
+    """The sites of a bundle as read back: names and effects, copies and heterozygotes, and copies by phase drawn anew."""
+    path, n = _bundle(s, d)
+    cells = bundle.read_genotypes(s, path, n)
+    counts = cells.groupBy("row").agg(F.sum("g").alias("copies"), F.count_if(F.col("g") == 1).alias("hets"))
+    first = bundle.phased(cells, uniform(11, F.col("row"), F.col("col"))).groupBy("row").agg(F.count_if(F.col("copy") == 0).alias("first"))
+    sites = bundle.read_effects(s, path).withColumnRenamed("place", "row").join(counts, "row", "left").join(first, "row", "left")
+    return c._rounded(sites.select("row", "snp_id", "chr", "bp", "is_qtl", "alpha", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("copies", "hets", "first")]), "alpha")
+
+
+register(
+    "plink_bundle",
+    plink_bundle,
+    f"""WITH {c._GENO2}, pl AS (SELECT *, row_number() OVER (ORDER BY chr, bp, slot) - 1 AS row FROM parts),
+pe AS (SELECT c_custkey AS ind_id, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS col FROM customer),
+ce AS (SELECT row, col, g FROM geno2 JOIN pl USING (slot) JOIN pe USING (ind_id)),
+ct AS (SELECT row, sum(g)::BIGINT AS copies, count(*) FILTER (WHERE g = 1) AS hets, count(*) FILTER (WHERE g = 2 OR {_q('=11', 'row', 'col')} < 0.5) AS first FROM ce GROUP BY row)
+SELECT row, 'chr' || chr || '_' || bp AS snp_id, chr, bp, is_qtl, {c._r('alpha')} AS alpha, coalesce(copies, 0) AS copies, coalesce(hets, 0) AS hets, coalesce(first, 0) AS first FROM pl LEFT JOIN ct USING (row)""",
+)
+register(
+    "plink_people",
+    lambda s, d: c._rounded(bundle.read_people(s, _bundle(s, d)[0]), "phenotype"),
+    f"""WITH {c._GENO2}, own AS (SELECT ind_id, sum(g * alpha) AS a FROM geno2 JOIN parts USING (slot) WHERE is_qtl GROUP BY ind_id)
+SELECT row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS place, 'p' || c_nationkey || '_' || c_custkey AS iid, c_nationkey::INTEGER AS deme, {c._r('coalesce(a, 0)')} AS phenotype FROM customer LEFT JOIN own ON ind_id = c_custkey""",
+)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the format: first bytes of a .bed file, and two-bit codes of 0, 1, 2 copies and of a missing call.
@@ -29,23 +29,23 @@ def dosage_of(bits: Column) -> Column:
     return out
 
 
-def bim(variants: DataFrame, recombination: float) -> DataFrame:
-    """One tab-separated line for each variant: chr, name, cM, bp, the derived allele and the other."""
+def bim(variants: DataFrame, recombination: float, keep: list[str] | None = None) -> DataFrame:
+    """One tab-separated line for each variant, with its chr and bp or the columns to keep: chr, name, cM, bp, the derived allele and the other."""
     name = F.concat(F.lit("chr"), F.col("chr"), F.lit("_"), F.col("bp"))
     cm = F.format_string("%.6f", F.col("bp") * recombination * 100)
-    return variants.select("chr", "bp", F.concat_ws("\t", "chr", name, cm, "bp", F.lit("1"), F.lit("0")).alias("line"))
+    return variants.select(*(keep or ["chr", "bp"]), F.concat_ws("\t", "chr", name, cm, "bp", F.lit("1"), F.lit("0")).alias("line"))
 
 
-def fam(people: DataFrame, phenotype: str = "a") -> DataFrame:
+def fam(people: DataFrame, phenotype: str = "a", keep: list[str] | None = None) -> DataFrame:
     """One line for each individual: family p{deme}, name p{deme}_{individual}, phenotype."""
-    return people.select("ind_id", F.concat_ws(" ", F.concat(F.lit("p"), "deme"), F.concat(F.lit("p"), "deme", F.lit("_"), "ind_id"), F.lit("0 0 0"), F.format_string("%.6f", F.col(phenotype))).alias("line"))
+    return people.select(*(keep or ["ind_id"]), F.concat_ws(" ", F.concat(F.lit("p"), "deme"), F.concat(F.lit("p"), "deme", F.lit("_"), "ind_id"), F.lit("0 0 0"), F.format_string("%.6f", F.col(phenotype))).alias("line"))
 
 
-def parse_fam(lines: DataFrame, column: str = "line") -> DataFrame:
-    """ind, deme, phenotype of fam lines; deme is null where the name does not tell it. Blank lines are left out."""
+def parse_fam(lines: DataFrame, column: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """iid, deme, phenotype of fam lines, with the columns to keep; deme is null where the name does not tell it. Blank lines are left out."""
     parts = F.split(F.trim(column), r"\s+")
-    rows = lines.where(F.trim(column) != "").select(F.get(parts, F.lit(1)).alias("iid"), F.get(parts, F.lit(5)).cast("double").alias("phenotype"))
-    return rows.select("iid", F.expr(r"try_cast(regexp_extract(iid, '^p([0-9]+)_([0-9]+)$', 1) AS INT)").alias("deme"), "phenotype")
+    rows = lines.where(F.trim(column) != "").select(*keep, F.get(parts, F.lit(1)).alias("iid"), F.get(parts, F.lit(5)).cast("double").alias("phenotype"))
+    return rows.select(*keep, "iid", F.expr(r"try_cast(regexp_extract(iid, '^p([0-9]+)_([0-9]+)$', 1) AS INT)").alias("deme"), "phenotype")
 
 
 def snp_rows(geno: DataFrame, people: DataFrame) -> DataFrame:
@@ -94,7 +94,3 @@ def read_snp_rows(rows: DataFrame, n: int) -> DataFrame:
 def write_lines(df: DataFrame, path: str, order: list[str]) -> None:
     """Lines in order; part files in the order of their names are one text."""
     df.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
-
-
-def read_effects(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True, schema="snp_id string, chr int, bp int, is_qtl int, alpha double")

@@ -17,8 +17,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own in the shared one; it is not there yet."""
+    return f"{shared_folder(spark)}/driftline-{uuid.uuid4().hex}/{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written and read again."""
-    path = f"{shared_folder(df.sparkSession)}/driftline-{uuid.uuid4().hex}/{name}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
