@@ -9,7 +9,7 @@ from driftline import catalog as c
 from driftline.functions.rng import poisson, uniform, uniform_sql
 from driftline.operators import ancestry, initial, selection
 from driftline.registry import register
-from driftline.sources import bundle, state, views
+from driftline.sources import archive, bundle, state, views
 
 WINDOWS = (50.0, 5.0)
 
@@ -217,3 +217,77 @@ register(
     f"""WITH {c._GENO2}, own AS (SELECT ind_id, sum(g * alpha) AS a FROM geno2 JOIN parts USING (slot) WHERE is_qtl GROUP BY ind_id)
 SELECT row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS place, 'p' || c_nationkey || '_' || c_custkey AS iid, c_nationkey::INTEGER AS deme, {c._r('coalesce(a, 0)')} AS phenotype FROM customer LEFT JOIN own ON ind_id = c_custkey""",
 )
+
+# --- snapshots, genealogies, panels and summaries as files -------------------------------------------------------
+
+
+def snapshot(s: SparkSession, d: str) -> DataFrame:
+    """The stored population written and loaded: for each slot whether it is active, and its copies."""
+    path = state.new_folder(s, "snapshot")
+    archive.write_snapshot(path, *c._genotypes(s, d))
+    variants, _, carriers = archive.read_snapshot(s, path)
+    copies = carriers.groupBy("slot").agg(F.count(F.lit(1)).alias("copies"))
+    out = variants.join(copies, "slot", "left").select("slot", "chr", "bp", "alpha", "is_qtl", "active", F.coalesce("copies", F.lit(0)).alias("copies"))
+    return c._rounded(out, "alpha")
+
+
+register(
+    "snapshot",
+    snapshot,
+    f"WITH {c.V} SELECT slot::INTEGER AS slot, chr, bp, {c._r('alpha')} AS alpha, is_qtl, sum(allele) > 0 AS active, sum(allele)::BIGINT AS copies FROM variants JOIN hap USING (slot) GROUP BY slot, chr, bp, alpha, is_qtl",
+)
+
+
+def ancestry_file(s: SparkSession, d: str) -> DataFrame:
+    """The genealogy written and read: edges and their span by chromosome, with the counts of nodes and samples."""
+    path = state.new_folder(s, "ancestry")
+    archive.write_ancestry(path, views.edges(s, d), views.table(s, d, "part").select(F.col("p_partkey").alias("node")))
+    edges, nodes = archive.read_ancestry(s, path)
+    by_chr = edges.groupBy(F.col("chr").cast("int").alias("chr")).agg(F.count(F.lit(1)).alias("edges"), F.sum(F.col("right") - F.col("left")).alias("span"))
+    return by_chr.crossJoin(F.broadcast(nodes))  # one row
+
+
+register(
+    "ancestry_file",
+    ancestry_file,
+    f"""WITH {c._EDGES}, n AS (SELECT count(DISTINCT node) AS n_nodes FROM (SELECT parent AS node FROM edges UNION ALL SELECT child FROM edges)),
+p AS (SELECT min(p_partkey) AS first_sample, max(p_partkey) AS last_sample, count(DISTINCT p_partkey) AS n_samples FROM part)
+SELECT chr, count(*) AS edges, sum("right" - "left")::BIGINT AS span, max(n_nodes) AS n_nodes, max(first_sample) AS first_sample, max(last_sample) AS last_sample, max(n_samples) AS n_samples FROM edges, n, p GROUP BY chr""",
+)
+
+
+def neutral_panel(s: SparkSession, d: str) -> DataFrame:
+    """Left ends of edges as neutral mutations of their parents, written as lists and read: mutations by node."""
+    path = state.new_folder(s, "panel")
+    archive.write_panel(path, views.edges(s, d).select("chr", F.col("parent").alias("node"), F.col("left").alias("bp")))
+    return archive.read_panel(s, path).groupBy(F.col("chr").cast("int").alias("chr"), "node").agg(F.count(F.lit(1)).alias("mutations"), F.max("bp").alias("last"))
+
+
+register(
+    "neutral_panel",
+    neutral_panel,
+    f'WITH {c._EDGES} SELECT chr, parent AS node, count(DISTINCT "left") AS mutations, max("left") AS last FROM edges GROUP BY chr, parent',
+)
+SEEDS = (1, 2, 3)
+_KEYS = ("b", "b_p", "rho", "rho_p", "gate_p", "plane_p", "line_p", "dir_p")
+
+
+def seed_summary(s: SparkSession, d: str) -> DataFrame:
+    """Selection tests with three seeds of signs, a summary file of each, and their medians with stars."""
+    geno, sites = c._ld(s, d)
+    paths = []
+    for seed in SEEDS:
+        points = selection.sign_flip_points(geno, sites, WINDOWS, views.CHR_LEN, c.N_PERM, seed)
+        paths.append(state.new_folder(s, f"seed{seed}"))
+        archive.write_summary(paths[-1], c._rounded(selection.selection_tests(state.written(points, "points")).select("scope", *_KEYS), *_KEYS), "scope")
+    return c._rounded(archive.across_seeds(archive.read_summary(s, paths)), "median")
+
+
+def _seeds_sql() -> str:
+    one = [f"SELECT * FROM (WITH {c.V}, {_TESTS} SELECT scope, {', '.join(f'{c._r(k)} AS {k}' for k in _KEYS)} FROM te)".replace(uniform_sql("1", "slot", "perm"), uniform_sql(str(k), "slot", "perm")) for k in SEEDS]
+    long = " UNION ALL ".join(f"SELECT scope || '.{k}' AS key, {k} AS v FROM t" for k in _KEYS)
+    stars = "CASE WHEN key LIKE '%\\_p' ESCAPE '\\' THEN CASE WHEN median < 0.001 THEN '***' WHEN median < 0.01 THEN '**' WHEN median < 0.05 THEN '*' ELSE '' END ELSE '' END"
+    return f"WITH t AS ({' UNION ALL '.join(one)}), m AS (SELECT key, count(*) AS n, median(v) AS median FROM ({long}) WHERE v IS NOT NULL GROUP BY key) SELECT key, n, {c._r('median')} AS median, {stars} AS stars FROM m"
+
+
+register("seed_summary", seed_summary, _seeds_sql())
