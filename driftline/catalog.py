@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import genetics
 from driftline.functions.rng import exponential, normal, poisson, sign, uniform, uniform_sql
-from driftline.operators import ancestry, ld, reproduction, spatial, stats
+from driftline.operators import ancestry, ld, reproduction, selection, spatial, stats
 from driftline.plans import generations
 from driftline.registry import register
 from driftline.sources import plink, state, views
@@ -178,8 +178,9 @@ nul AS (SELECT perm, sum(n * (whole - diagonal)) / sum(n * diagonal) AS genome,
 
 
 def _null_b(s: SparkSession, d: str) -> DataFrame:
-    geno, sites = _ld(s, d)
-    return ld.scope_b(ld.scope_values(geno, sites, ld.permutation_signs(sites, N_PERM)), ["perm"])
+    points = selection.sign_flip_points(*_ld(s, d), (), views.CHR_LEN, N_PERM).where("perm > 0")
+    of = lambda scope: F.max(F.when(F.col("scope") == scope, F.col("b"))).alias(scope)
+    return points.groupBy("perm").agg(of("genome"), of("within"))
 
 
 register("signflip_null_b", lambda s, d: _rounded(_null_b(s, d), "genome", "within"), f"WITH {V}, {_NULL} SELECT perm::INTEGER AS perm, {_r('genome')} AS genome, {_r('within')} AS within FROM nul")

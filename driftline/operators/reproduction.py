@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.rng import poisson, uniform
+from driftline.operators import ranges
 
 
 def breakpoints(gametes: DataFrame, chromosomes: DataFrame, crossovers: float, chr_len: int, seed: int) -> DataFrame:
@@ -24,9 +25,7 @@ def to_slots(points: DataFrame, variants: DataFrame) -> DataFrame:
     """
     a = variants.select("chr", "bp", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("gamete"), F.col("slot").cast("long").alias("_slot"))
     b = points.select("chr", "bp", F.lit(0).alias("_kind"), F.col("gamete").cast("long"), F.lit(None).cast("long").alias("_slot"))
-    # from the far end, so that each row adds to what is known of those before it
-    w = Window.partitionBy("chr").orderBy(F.desc("bp"), F.desc("_kind"), F.desc("_slot")).rowsBetween(Window.unboundedPreceding, 0)
-    return a.union(b).withColumn("slot", F.last("_slot", ignorenulls=True).over(w)).where("_kind = 0").select("gamete", "chr", "bp", "slot")
+    return ranges.next_known(a.union(b), ["chr"], ["bp", "_kind", "_slot"], "_slot", "slot").where("_kind = 0").select("gamete", "chr", "bp", "slot")
 
 
 def gametes(parents: DataFrame, hap: DataFrame, variants: DataFrame, points: DataFrame, seed: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators import ranges
+
 
 def grid_neighbours(demes: DataFrame, g: int, migration: float) -> DataFrame:
     """deme, neighbour, prob_stay for a g x g grid without wrap-around; `demes` has a column `deme` from 1."""
@@ -33,8 +35,7 @@ def source_deme(draws: DataFrame, neighbours: DataFrame, stay: Column, pick: Col
 
 def cumulative(weights: DataFrame, by: str = "deme", order: str = "ind_id", weight: str = "w") -> DataFrame:
     """Adds `cum`, the running sum of weights within a deme, and `before`, that of the rows above."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return weights.withColumn("cum", F.sum(weight).over(w)).withColumn("before", F.col("cum") - F.col(weight))
+    return ranges.running_sum(weights, [by], [order], weight, "cum").withColumn("before", F.col("cum") - F.col(weight))
 
 
 def weighted_parent(draws: DataFrame, weights: DataFrame, u: str = "u", by: str = "deme") -> DataFrame:
@@ -46,7 +47,5 @@ def weighted_parent(draws: DataFrame, weights: DataFrame, u: str = "u", by: str
     total = weights.groupBy(by).agg(F.sum("w").alias("_total"))
     points = cumulative(weights, by).select(by, F.col("cum").alias("_at"), F.lit(1).alias("_kind"), F.col("ind_id").alias("_ind"), F.lit(None).cast("long").alias("draw"))
     asked = draws.join(F.broadcast(total), by).select(by, (F.col(u) * F.col("_total")).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_ind"), F.col("draw").cast("long"))
-    # from the far end, so that each row adds to what is known of those before it
-    w = Window.partitionBy(by).orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_ind")).rowsBetween(Window.unboundedPreceding, 0)
-    both = points.union(asked).withColumn("parent", F.last("_ind", ignorenulls=True).over(w))
+    both = ranges.next_known(points.union(asked), [by], ["_at", "_kind", "_ind"], "_ind", "parent")
     return both.where("_kind = 0").select(by, "draw", "parent")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftline.operators.ranges import by_ranges
 from driftline.sources.plink import CODES, MAGIC, bim, fam, parse_fam, write_lines
 
 #: Bytes of genotypes in one part, about.
@@ -23,8 +24,7 @@ PART_BYTES = 4 << 20
 
 def in_order(rows: DataFrame, by: list[str], name: str, per: int) -> DataFrame:
     """`name`: places from 0 in the order of `by`, from counts of ranges, so that no task orders all rows."""
-    ranged = rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
-    within = ranged.withColumn("_w", F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1)
+    within = by_ranges(rows, by).withColumn("_w", F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1)
     sizes = within.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     starts = sizes.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_start"))  # a row a partition
     placed = within.join(F.broadcast(starts), "_part")

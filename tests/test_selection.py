@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import ancestry, initial, selection
+from driftline.operators import ancestry, initial, ranges, selection
 from driftline.sources import state
 
 
@@ -85,3 +85,15 @@ def test_mutations_pass_down_covering_edges_in_order_of_generations(spark):
     begun = spark.createDataFrame([(1, 1, 20, 15), (1, 1, 20, 60), (1, 1, 20, 60), (2, 1, 10, 5)], "gen int, chr int, node long, bp long")
     got = sorted((r.node, r.bp) for r in ancestry.carry_down(begun, edges, ["bp"], [1, 2, 3], state.written).collect())
     assert got == [(10, 5), (20, 15), (20, 60), (30, 15), (30, 60), (31, 60), (32, 5)]
+
+
+def test_ranges_carry_sums_and_next_values_over_groups(spark):
+    rng = np.random.default_rng(2)
+    data = [(int(g) if g else None, i, int(v) if v else None) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 4, 400), strict=True))]
+    rows = spark.createDataFrame(data, "g int, i long, v int")
+    sums = {r.i: r.s for r in ranges.running_sum(rows.fillna(0, ["v"]), ["g"], ["i"], "v", "s").collect()}
+    following = {r.i: r.n for r in ranges.next_known(rows, ["g"], ["i"], "v", "n").collect()}
+    for g, i, _ in data:
+        assert sums[i] == sum(v or 0 for h, j, v in data if h == g and j <= i)
+        assert following[i] == next((v for h, j, v in data if h == g and j >= i and v is not None), None)
+    assert ranges.next_known(rows.limit(0), ["g"], ["i"], "v", "n").count() == 0
