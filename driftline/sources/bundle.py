@@ -55,6 +55,8 @@ def write_bundle(path: str, geno: DataFrame, sites: DataFrame, people: DataFrame
     rows = known.groupBy("row").agg(F.collect_list("col").alias("cols"), F.collect_list("g").alias("gs"))
     rows = places.select("part", "row").join(rows, "row", "left")
 
+    table = np.array([CODES[copies] for copies in (-1, 0, 1, 2)], "u1")
+
     def write_part(cells: pd.DataFrame) -> pd.DataFrame:
         width, part = -(-n // 4), int(cells["part"].iloc[0])
         target = f"{folder}/part-{part:08d}.bed"
@@ -65,7 +67,10 @@ def write_bundle(path: str, geno: DataFrame, sites: DataFrame, people: DataFrame
                 bits = np.full(width * 4, CODES[0], "u1")
                 bits[n:] = 0
                 if cols is not None:
-                    bits[np.asarray(cols, "i8")] = [CODES[int(g)] for g in gs]
+                    copies = np.asarray(gs, "i8")
+                    if ((copies < -1) | (copies > 2)).any():
+                        raise ValueError("a dosage is none of 0, 1, 2 and missing")
+                    bits[np.asarray(cols, "i8")] = table[copies + 1]
                 four = bits.reshape(-1, 4)
                 out.write((four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype("u1").tobytes())
         os.replace(f"{target}.{os.getpid()}", target)

@@ -13,7 +13,7 @@ def population(spark, cells):
     return geno, sites, people
 
 
-def written(spark, tmp_path, cells, per_part=None):
+def written(spark, tmp_path, cells):
     path = str(tmp_path / "bundle")
     bundle.write_bundle(path, *population(spark, cells), 1e-8, state.written)
     return path
@@ -52,6 +52,11 @@ def test_wrong_files_are_errors(spark, tmp_path):
         bundle.read_genotypes(spark, path, 5).collect()
 
 
+def test_other_dosages_are_errors(spark, tmp_path):
+    with pytest.raises(Exception, match="none of 0, 1, 2"):
+        written(spark, tmp_path, [(0, 1, 3)])
+
+
 def test_without_effects_all_are_neutral(spark, tmp_path):
     path = written(spark, tmp_path, [(0, 1, 1)])
     (tmp_path / "bundle" / "effects").rename(tmp_path / "gone")
