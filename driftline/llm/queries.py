@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from driftline.llm import bpe, chat_format, exact_dedup, jaccard_join, line_dedup, packing, quality_rules, repair, toxicity, wrappers
+from driftline.llm import bpe, chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, prefix_trie, quality_rules, repair, toxicity, turn_repair, wrappers
 from driftline.llm._tables import Scratch, ship, table
 
 
@@ -76,6 +76,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = table(spark, sf_dir, "conversations")
+    return turn_repair.repair_report(turn_repair.damaged(rows), rows)
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -87,10 +103,16 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_source_mix": op12_source_mix,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 SQL = {
     "op2_line_dedup": line_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_chat_format": chat_format.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_turn_repair": turn_repair.SQL,
+    "op12_source_mix": mixing.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
