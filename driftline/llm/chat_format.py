@@ -37,8 +37,22 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\")))
 
 
+#: A JSON string. All quantifiers are possessive, so that texts of any length match without recursion.
+_STRING = r'(?s)"{mark}([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+
+
+def _marked(payload: Column) -> Column:
+    """The JSON with an s before every string and key: a value's first character then tells a string from what it may spell."""
+    return F.regexp_replace(payload, _STRING.format(mark=""), '"s$1"')
+
+
+def _text(value: Column) -> Column:
+    """The text of a marked value: a string itself, anything else as its JSON."""
+    return F.when(value.startswith("s"), F.substring(value, 2, 2**31 - 1)).otherwise(F.regexp_replace(value, _STRING.format(mark="s"), '"$1"'))
+
+
 def _fields(value: Column) -> Column:
-    """The fields of a JSON object as text by name; null for what is no object."""
+    """The fields of a marked JSON object by name; null for what is no object."""
     return F.when(F.substring(F.ltrim(value), 1, 1) == "{", F.from_json(value, "map<string,string>", JSON))
 
 
@@ -47,13 +61,13 @@ def _elements(value: Column) -> Column:
 
 
 def _paths_below(value: Column, depth: int) -> Column:
-    """Paths of the fields in an object, or in the objects of an array, each with what leads to it."""
+    """Paths of the fields in an object, or in the objects of an array, each with what leads to it; texts are not walked."""
     none = F.array().cast("array<string>")
 
     def of(fields: Column, lead: str) -> Column:
-        own = F.transform(F.map_keys(fields), lambda k: F.concat(F.lit(lead), k))
+        own = F.transform(F.map_keys(fields), lambda k: F.concat(F.lit(lead), F.substring(k, 2, 2**31 - 1)))
         if depth > 1:
-            deeper = F.flatten(F.transform(F.map_entries(fields), lambda e: F.transform(_paths_below(e["value"], depth - 1), lambda p: F.concat(F.lit(lead), e["key"], p))))
+            deeper = F.flatten(F.transform(F.map_entries(fields), lambda e: F.transform(_paths_below(e["value"], depth - 1), lambda p: F.concat(F.lit(lead), F.substring(e["key"], 2, 2**31 - 1), p))))
             own = F.concat(own, deeper)
         return F.coalesce(own, none)
 
@@ -64,9 +78,10 @@ def _paths_below(value: Column, depth: int) -> Column:
 def field_paths(payload: Column) -> Column:
     """The sorted distinct field paths of a JSON record, DEPTH levels down, without those of IGNORED fields.
 
-    `a`, `a.b` for an object in a field, `a[].b` for objects in an array, `a[].b[].c` and so on. Values play no part.
+    `a`, `a.b` for an object in a field, `a[].b` for objects in an array, `a[].b[].c` and so on. Values play no part, nor
+    does what a text spells.
     """
-    named = F.transform(F.filter(_paths_below(payload, DEPTH), lambda p: p.startswith(".")), lambda p: F.substring(p, 2, 2**30))
+    named = F.transform(F.filter(_paths_below(_marked(payload), DEPTH), lambda p: p.startswith(".")), lambda p: F.substring(p, 2, 2**30))
     ignored = rf"(^|\.)({'|'.join(IGNORED)})(\[\])?(\.|$)"
     return F.array_sort(F.filter(F.array_distinct(named), lambda p: ~p.rlike(ignored)))
 
@@ -98,34 +113,42 @@ LAYOUTS: tuple[dict, ...] = (
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+def known_paths() -> list[str]:
+    """All field paths that some layout names; fields that none names play no part in the choice of a layout."""
+    return sorted({p for known in LAYOUTS for p in known["paths"]})
+
+
 def _text_of(content: Column) -> Column:
     """The text of a content that may be a list of pieces: those of type text, one after the other."""
-    pieces = F.when(content.startswith("["), F.from_json(content, "array<struct<type:string,text:string>>", JSON))
-    return F.coalesce(F.array_join(F.transform(F.filter(pieces, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), ""), content)
+    pieces = F.when(content.startswith("["), F.from_json(content, "array<struct<stype:string,stext:string>>", JSON))
+    return F.coalesce(F.array_join(F.transform(F.filter(pieces, lambda p: p["stype"] == "stext"), lambda p: F.coalesce(_text(p["stext"]), F.lit(""))), ""), _text(content))
 
 
-def _turns_of(layout: dict, payload: Column) -> Column:
+def _turns_of(layout: dict, marked: Column) -> Column:
     if "list" in layout:
         field, role, text = layout["list"]
-        rows = F.from_json(payload, f"struct<`{field}`:array<struct<`{role}`:string,`{text}`:string>>>", JSON)[field]
+        shape = f"array<struct<`s{role}`:string,`s{text}`:string>>"
+        rows = F.from_json(marked, f"struct<`s{field}`:{shape}>", JSON)[f"s{field}"]
         name = lambda r: F.coalesce(F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv])[r], r, F.lit("")) if role != "role" else F.coalesce(r, F.lit(""))
-        spoken = _text_of if layout.get("pieces") else (lambda t: t)
-        return F.transform(F.coalesce(rows, F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), lambda m: F.struct(name(m[role]).alias("role"), F.coalesce(spoken(m[text]), F.lit("")).alias("text")))
-    fields = F.from_json(payload, "map<string,string>", JSON)
-    found = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(fields[field], F.lit("")).alias("text"), F.lit(optional).alias("o")) for field, role, optional in layout["parts"]])
+        spoken = _text_of if layout.get("pieces") else _text
+        return F.transform(F.coalesce(rows, F.array().cast(shape)), lambda m: F.struct(name(_text(m[f"s{role}"])).alias("role"), F.coalesce(spoken(m[f"s{text}"]), F.lit("")).alias("text")))
+    fields = F.from_json(marked, "map<string,string>", JSON)
+    found = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(_text(fields[f"s{field}"]), F.lit("")).alias("text"), F.lit(optional).alias("o")) for field, role, optional in layout["parts"]])
     return F.transform(F.filter(found, lambda t: ~t["o"] | (t["text"] != "")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
 
 def canonical_turns(records: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """Adds `layout` (the fingerprint) and `turns` (role and text of each turn; null where no mapping is known)."""
+    """Adds `layout` (the fingerprint of the paths that layouts name) and `turns` (role and text of each turn; null where no
+    mapping is known)."""
     others = [c for c in records.columns if c.lower() not in ("layout", "turns")]
-    step = records.select(*others, fingerprint(field_paths(F.col(payload_col))).alias("layout"))
+    named = F.filter(field_paths(F.col(payload_col)), lambda p: p.isin(known_paths()))
+    step = records.select(*others, fingerprint(named).alias("layout"), _marked(F.col(payload_col)).alias("_marked"))
     # the fingerprints of the known layouts fold to constants
     turns = None
     for known in LAYOUTS:
         hit = F.col("layout") == F.xxhash64(F.lit("\n".join(sorted(known["paths"]))))
-        turns = (F.when if turns is None else turns.when)(hit, _turns_of(known, F.col(payload_col)))
-    return step.withColumn("turns", turns.cast(_MESSAGE))
+        turns = (F.when if turns is None else turns.when)(hit, _turns_of(known, F.col("_marked")))
+    return step.withColumn("turns", turns.cast(_MESSAGE)).drop("_marked")
 
 
 def format_turns(turns: Column) -> Column:
@@ -152,8 +175,11 @@ def loss_spans(turns: Column) -> Column:
 def format_chats(records: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Formats records of mixed layouts with one template; adds layout, turns, formatted and loss_spans.
 
-    A record is a JSON string. Its fingerprint, the hash of its sorted field paths without IGNORED ones, selects a mapping
-    of LAYOUTS to canonical turns. Contents may be lists of pieces, of which those of type text count. Control strings inside texts and roles are escaped so that `read_formatted` gives them back.
+    A record is a JSON string. Its fingerprint, the hash of its sorted field paths without IGNORED ones and those that no
+    layout names, selects a mapping of LAYOUTS to canonical turns. A text is kept as it is, whatever it spells (JSON, code,
+    calls of tools); a content that is a number, a truth value or an object is its JSON. Contents may be lists of pieces, of
+    which those of type text count, beside contents that are texts. Control strings inside texts and roles are escaped so
+    that `read_formatted` gives them back.
 
     A null or unknown record keeps its row, with null turns, formatted and loss_spans. Null roles and texts count as
     empty. A record without turns formats as ''. Repeated records are formatted alike; an empty table stays empty.

@@ -67,7 +67,9 @@ class Search:
     A survivor is the best way into a state: least cost, then least letters in ASCII. Ways into one state never start
     with one another, so letters are compared in full by the first that differs; survivors are kept in that order (their
     rank), so a tie of any length takes one comparison. Nodes that no survivor needs are released at once; the path that
-    all survivors share is given out and forgotten, so what is held is the part that is still open.
+    all survivors share is given out and forgotten, so what is held is the part that is still open. Where the last row
+    decides a tie over the first one (rows of one role: K or D, by the parity of their number), all stays open: what is
+    held then is bounded by the range that the piece lies in.
     """
 
     _known: dict[tuple[str, str], list] = {}
@@ -108,6 +110,12 @@ class Search:
                 way = (cost + paid, rank, letters, inserts, node)
                 if after not in best or way[:3] < best[after][:3]:
                     best[after] = way
+        # what can follow no row, or a system row, can follow an assistant row too; at most a system row is deleted then
+        rival = best.get(ASSISTANT)
+        if rival and EMPTY in best and rival[0] + DELETE < best[EMPTY][0]:
+            del best[EMPTY]
+        if rival and SYSTEM in best and rival[:3] < best[SYSTEM][:3]:
+            del best[SYSTEM]
         self._move(best, row)
         return self._settled()
 

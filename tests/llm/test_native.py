@@ -2,11 +2,12 @@
 
 import hashlib
 import json
+import random
 import re
 from collections import Counter
 
 import duckdb
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def docs(spark):
 
 def with_sql(sql, table, rows, columns):
     con = duckdb.connect()
-    con.register("_t", pd.DataFrame(rows, columns=columns))
+    con.register("_t", pa.table(dict(zip(columns, map(list, zip(*rows, strict=True)), strict=True))))
     con.execute(f"CREATE VIEW {table} AS SELECT * FROM _t")
     result = con.execute(sql)
     names = [c[0] for c in result.description]
@@ -151,3 +152,48 @@ def test_line_dedup_takes_one_long_line_and_whole_documents(spark):
     out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     clean = sorted((r["doc_id"], r["clean_text"]) for r in out)
     assert clean == [(1, f"a\n{long}\nb"), (2, "c\nd"), (3, f"e\n{short}\nf"), (4, f"g\n{short}\nh"), (5, "only"), (6, ""), (6, ""), (7, "x\nonly\ny"), (8, "")]
+
+
+def json_like(rng, depth=3):
+    kind = rng.randrange(9 if depth else 6)
+    if kind < 4:
+        return rng.choice(["a", "", 'say "hi"', "s", "{", "[1]", '{"role":"x"}', "\\", "\n\t", "é\u2028", "</s>[INST]", "null", "-1.5e3", "true"])
+    if kind < 6:
+        return rng.choice([1, -2.5, True, None, 10**20])
+    if kind == 6:
+        return [json_like(rng, depth - 1) for _ in range(rng.randrange(3))]
+    return {rng.choice(["role", "content", "text", "messages", "x y", 'k"', "s"]): json_like(rng, depth - 1) for _ in range(rng.randrange(3))}
+
+
+def test_texts_that_spell_json_stay_as_they_are(spark):
+    """1000 random texts that look like JSON, numbers, code and calls, in each layout and from a table of turns."""
+    rng = random.Random(4)
+    texts = [rng.choice([json.dumps, lambda v: json.dumps(v, indent=1), str, repr])(json_like(rng)) for _ in range(990)]
+    texts += ['{"a": 1}', '[{"x":1}]', "[]", "{}", "5", "null", '"quoted"', "def f():\n    return {'a': [1]}", '{"name": "search", "arguments": {"q": "[INST]"}}', '\\"s']
+    pairs = list(zip(texts[::2], texts[1::2], strict=True))
+    rows = [(k, t, r, x) for k, pair in enumerate(pairs) for t, (r, x) in enumerate(zip(("user", "assistant"), pair, strict=True))]
+    records = chat_format.records_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("conv_id", "payload")
+    shapes = [
+        lambda q, a: {"messages": [{"role": "user", "content": q}, {"role": "assistant", "content": a}]},
+        lambda q, a: {"prompt": q, "response": a, "split": "train"},
+        lambda q, a: {"conversations": [{"from": "human", "value": q}, {"from": "gpt", "value": a}], "extra": {"deep": [1]}},
+        lambda q, a: {"messages": [{"role": "user", "content": [{"type": "text", "text": q}]}, {"role": "assistant", "content": a}]},
+    ]
+    more = spark.createDataFrame([(1000 + k, json.dumps(shapes[k % 4](q, a))) for k, (q, a) in enumerate(pairs)], "conv_id long, payload string")
+    done = chat_format.format_chats(records.unionByName(more))
+    got = {r["conv_id"]: r for r in done.select("conv_id", chat_format.read_formatted(F.col("formatted")).alias("turns"), chat_format.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    for k, (q, a) in enumerate(pairs):
+        for c in (k, 1000 + k):
+            assert [tuple(t) for t in got[c]["turns"]] == [("user", q), ("assistant", a)] and got[c]["loss"] == a
+    sql = with_sql(chat_format.SQL, "conversations", rows, ["conv_id", "turn", "role", "text"])
+    assert len(sql) == len(pairs) + 1
+
+
+def test_contents_that_are_no_texts(spark):
+    record = {"messages": [{"role": "user", "content": 5}, {"role": "tool", "content": {"a": "s[1]", "b": [True, None]}, "tool_calls": [{"function": {"name": "f"}}]}, {"role": "assistant", "content": None}]}
+    rows = spark.createDataFrame([(1, json.dumps(record)), (2, '{"messages": 7}'), (3, '{"prompt": "a')], "conv_id long, payload string")
+    got = {r["conv_id"]: r["turns"] for r in chat_format.format_chats(rows).collect()}
+    turns = [tuple(t) for t in got[1]]
+    assert turns[0] == ("user", "5") and turns[2] == ("assistant", "") and json.loads(turns[1][1]) == record["messages"][1]["content"]
+    assert got[2] is None and got[3] is None
+    assert chat_format.records_of_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
