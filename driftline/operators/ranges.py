@@ -43,3 +43,12 @@ def next_known(rows: DataFrame, by: list[str], order: list[str], value: str, nam
     every = ranged.select(*by, "_part").distinct().join(ends, [*by, "_part"], "left")
     carry = every.withColumn("_carry", F.last("_v", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_v")
     return _with_carry(within, by, carry).withColumn(name, F.coalesce("_own", "_carry")).drop("_own", "_carry", "_part")
+
+
+def in_order(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """`name`: places from 0 in the order of `by`, from counts of ranges, so that no task orders all rows."""
+    within = by_ranges(rows, by).withColumn("_w", F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1)
+    sizes = within.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    starts = sizes.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_start"))  # a row a partition
+    placed = within.join(F.broadcast(starts), "_part")
+    return placed.withColumn(name, F.col("_start") + F.col("_w")).drop("_part", "_w", "_start", "_c")

@@ -58,6 +58,23 @@ def edge_segments(gametes: DataFrame, chromosomes: DataFrame, points: DataFrame,
     return cut.where("bp < right").select("gamete", "chr", F.col("bp").alias("left"), "right", F.pmod(start + F.col("_i") - 1, F.lit(2)).cast("int").alias("strand"))
 
 
+def edges_at_variants(gametes: DataFrame, variants: DataFrame, points: DataFrame, chr_len: int, seed: int) -> DataFrame:
+    """gamete, chr, left, right, strand: half-open stretches cut at the first variant at or after each crossover.
+
+    Crossovers that take effect at one variant cut once and change the strand as often as they are; those past the last
+    variant cut nothing, and the last stretch reaches the chromosome's end. An as-of join by ranges of positions.
+    """
+    placed = variants.select("slot", F.col("bp").alias("_at"))
+    cuts = to_slots(points, variants).where("slot is not null").join(placed, "slot").groupBy("gamete", "chr", F.col("_at").alias("bp")).agg(F.count(F.lit(1)).alias("_n"))
+    every = gametes.select("gamete").crossJoin(F.broadcast(variants.select("chr").distinct()))  # a row a chromosome
+    # a cut at place 1 leaves no stretch before it but changes the strand
+    ends = cuts.unionByName(every.select("gamete", "chr", F.lit(1).alias("bp"), F.lit(0).cast("long").alias("_n"))).groupBy("gamete", "chr", "bp").agg(F.sum("_n").alias("_n"))
+    w = Window.partitionBy("gamete", "chr").orderBy("bp")
+    start = F.floor(uniform(seed, "start", F.col("gamete"), F.col("chr")) * 2)
+    turned = ends.withColumn("right", F.lead("bp", 1, chr_len + 1).over(w)).withColumn("_t", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return turned.select("gamete", "chr", F.col("bp").alias("left"), "right", F.pmod(start + F.col("_t"), F.lit(2)).cast("int").alias("strand"))
+
+
 def flip(carriers: DataFrame, mutations: DataFrame) -> DataFrame:
     """Recurrent mutation: (hap_id, slot) cells that are in one of the two tables and not in both."""
     cells = carriers.select("hap_id", "slot").union(mutations.select("hap_id", "slot").distinct())

@@ -1,8 +1,8 @@
 """Scoped Bulmer factors and marginal correlations under sign flips, and the tests that read selection from them.
 
-A scope says which pairs of different trait sites count: the genome, one chromosome ("within"), or a window on it. The
-weighted covariance of sites is one matrix product over blocks of individuals; a permutation flips signs of effects, so
-its sums are products of that matrix with signs, a row of the matrix at a time.
+A scope says which pairs of different trait sites count: the genome, one chromosome ("within"), or a window on it, of
+pairs at most half its length apart. Covariances of sites come as tiles; a permutation flips signs of effects, so its
+sums are products of tiles with signs.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftline.operators.ld import polarized
-
-#: Individuals in one block of the matrix product.
-BLOCK = 2048
+from driftline.operators import gram
+from driftline.sources import state
 
 #: Least deviation of a site's null, least count of sites with one, and least count of permutations for a test.
 LEAST_SD, LEAST_SITES, LEAST_POINTS = 1e-15, 5, 5
@@ -29,98 +29,136 @@ def scope_name(percent: float) -> str:
     return f"win_{f'{percent:g}'.replace('.', 'p')}pct"
 
 
-def scopes_of(windows: tuple[float, ...], chr_len: int, same: Column, distance: Column) -> Column:
-    """Names of the scopes that a pair of sites belongs to: a window holds pairs at most half its length apart."""
-    named = [F.when(same & (distance <= w / 100 * chr_len / 2), F.lit(scope_name(w))) for w in windows]
-    return F.array_compact(F.array(*named, F.when(same, F.lit("within")), F.lit("genome")))
-
+def block_key(block_bp: int, chr_len: int) -> Column:
+    """The name of a site's block of `block_bp` positions on its chromosome; positions past the last one are in it."""
+    most = max(1, -(-chr_len // block_bp)) - 1
+    return F.concat_ws(":", "chr", F.least(F.floor((F.greatest(F.col("bp"), F.lit(1)) - 1) / block_bp), F.lit(most)).cast("long"))
 
-def weighted_covariances(geno: DataFrame, sites: DataFrame) -> DataFrame:
-    """j, k, r: covariances of dosages within demes, averaged over demes of three or more by their sizes; j = k too.
 
-    Dosages less their deme's mean, scaled by the square root of the deme's weight, give r as one product over all
-    individuals. Blocks of individuals are multiplied apart and summed, so no pair of cells is ever a row.
-    """
-    cells = geno.join(sites.select("slot"), "slot", "left_semi")
-    means = cells.groupBy("deme", "slot").agg(F.avg("g").alias("_m"), F.count(F.lit(1)).alias("_n")).where("_n >= 3")
-    demes = means.groupBy("deme").agg(F.max("_n").alias("_w"))
-    total = demes.agg(F.sum("_w").alias("_all"), F.max("_w").alias("_most"))
-    weight = F.sqrt(F.col("_n") / ((F.col("_n") - 1) * F.col("_all")))
-    people = F.broadcast(total)  # one row
-    scaled = cells.join(means, ["deme", "slot"]).crossJoin(people).select("ind_id", "deme", "slot", ((F.col("g") - F.col("_m")) * weight).alias("x"), F.ceil(F.col("_all") / BLOCK).alias("_k"))
-    blocks = scaled.withColumn("_block", F.pmod(F.xxhash64("ind_id"), F.col("_k")))
-
-    def product(cells: pd.DataFrame) -> pd.DataFrame:
-        slots, column = np.unique(cells["slot"].to_numpy(), return_inverse=True)
-        people, row = np.unique(cells["ind_id"].to_numpy(), return_inverse=True)
-        x = np.zeros((len(people), len(slots)))
-        x[row, column] = cells["x"].to_numpy()
-        return pd.DataFrame({"j": slots, "k": [slots] * len(slots), "r": list(x.T @ x)})
-
-    rows = blocks.groupBy("_block").applyInPandas(product, "j long, k array<long>, r array<double>")
-    return rows.select("j", F.explode(F.arrays_zip("k", "r")).alias("_c")).groupBy("j", F.col("_c.k").alias("k")).agg(F.sum("_c.r").alias("r"))
-
-
-def sign_row(slot: int, n_perm: int, seed: int) -> np.ndarray:
-    """A site's signs: 1 for the observation, then those of `rng.sign(seed, slot, perm)`."""
-    flips = [1] + [1 if hashlib.md5(f"{seed}:{slot}:{b}".encode()).hexdigest()[0] < "8" else -1 for b in range(1, n_perm + 1)]
+def sign_row(key: object, n_perm: int, seed: int) -> np.ndarray:
+    """The signs of a site or block: 1 for the observation, then those of `rng.sign(seed, key, perm)`."""
+    flips = [1] + [1 if hashlib.md5(f"{seed}:{key}:{b}".encode()).hexdigest()[0] < "8" else -1 for b in range(1, n_perm + 1)]
     return np.array(flips, "i1")
 
 
-def marginal_nulls(pairs: DataFrame, n_perm: int, seed: int) -> DataFrame:
-    """scope, j, and for each permutation (0 is the observation) perm, b, x, y, d.
-
-    `pairs` has a row for each scope and site: j, alpha, p, y (the polarized frequency), k and w (partners, and effects
-    times covariance). b is the site's share of the scope's sum, x that over its null's deviation (null where it has
-    none), y the frequency polarized again, d effect times frequency. Signs are drawn in the task from what they are for.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signs: dict[int, np.ndarray] = {}
-
-        def of(slot: int) -> np.ndarray:
-            if slot not in signs:
-                signs[slot] = sign_row(slot, n_perm, seed)
-            return signs[slot]
-
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                e = of(int(row.j)).astype("f8")
-                partners = np.zeros(n_perm + 1)
-                for k, w in zip(row.k, row.w, strict=True):
-                    partners += w * of(int(k))
-                b = e * partners
-                sd = b[1:].std(ddof=1) if n_perm > 1 else 0.0
-                x = b / sd if sd >= LEAST_SD else np.full(n_perm + 1, np.nan)
-                y = np.where(e > 0, row.y, 1 - row.y)
-                yield pd.DataFrame({"scope": row.scope, "j": row.j, "perm": np.arange(n_perm + 1), "b": b, "x": x, "y": y, "d": e * row.alpha * row.p})
-
-    found = pairs.select("scope", "j", "alpha", "p", "y", "k", "w").mapInPandas(run, "scope string, j long, perm int, b double, x double, y double, d double")
-    return found.withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
-
-
-def sign_flip_points(geno: DataFrame, sites: DataFrame, windows: tuple[float, ...], chr_len: int, n_perm: int, seed: int = 1) -> DataFrame:
+_SIDE = "tile int, chr array<int>, bp array<int>, alpha array<double>, p array<double>, of array<int>, signs binary"
+
+
+def _sides(places: DataFrame, n_perm: int, seed: int) -> DataFrame:
+    """A row for each tile: its sites in order, and the signs of its keys as bits; `of` says whose key is a site's."""
+
+    def side(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        keys, of = np.unique(np.array(group.column("key").to_pylist(), object), return_inverse=True)
+        bits = np.packbits(np.stack([sign_row(k, n_perm, seed) for k in keys]) > 0, axis=1)
+        lists = {c: pa.array([group.column(c).to_pylist()]) for c in ("chr", "bp", "alpha", "p")}
+        return pa.table({"tile": group.column("tile")[:1], **lists, "of": pa.array([of.tolist()], pa.list_(pa.int32())), "signs": pa.array([bits.tobytes()])}).cast(schema)
+
+    schema = to_arrow_schema(T.StructType.fromDDL(_SIDE))
+    columns = places.select("tile", "at", F.col("chr").cast("int"), F.col("bp").cast("int"), F.col("alpha").cast("double"), F.col("p").cast("double"), F.col("key").cast("string").alias("key"))
+    return columns.groupBy("tile").applyInArrow(side, _SIDE)
+
+
+class _Tile:
+    """Partner sums of the sites of one tile, for each scope and permutation; tiles beside it come one after another."""
+
+    def __init__(self, row: dict, n_perm: int, scopes: list[tuple[str, float | None]]):
+        self.n_perm, self.scopes, self.side = n_perm, scopes, _Side(row, "a", n_perm)
+        self.sums = [np.zeros((len(self.side.alpha), n_perm + 1)) for _ in scopes]
+        self.variances = np.zeros(len(self.side.alpha))
+
+    def add(self, r: np.ndarray, other: _Side, own: bool) -> None:
+        mine = self.side
+        w = r[: len(mine.alpha), : len(other.alpha)] * mine.alpha[:, None] * other.alpha[None]
+        if own:
+            self.variances = w.diagonal().copy()
+            w = w - np.diag(self.variances)
+        same = mine.chr[:, None] == other.chr[None]
+        distance = np.abs(mine.bp[:, None] - other.bp[None])
+        for sums, (name, reach) in zip(self.sums, self.scopes, strict=True):
+            kept = w if name == "genome" else w * (same if reach is None else same & (distance <= reach))
+            if kept.any():
+                # sites that share their signs are one column of the product
+                sums += (kept if other.plain else kept @ other.members) @ other.signs
+
+    def rows(self) -> Iterator[tuple]:
+        """For each scope and permutation: sums over sites of b, d and the moments of x and y."""
+        mine = self.side
+        e = mine.signs[mine.of].astype("f8")
+        y0 = np.clip(np.where(mine.alpha > 0, mine.p, 1 - mine.p), 0.005, 0.995)
+        y = np.where(e > 0, y0[:, None], 1 - y0[:, None])
+        d = (e * (mine.alpha * mine.p)[:, None]).sum(0)
+        for sums, (name, _) in zip(self.sums, self.scopes, strict=True):
+            b = e * sums
+            sd = b[:, 1:].std(axis=1, ddof=1) if self.n_perm > 1 else np.zeros(len(b))
+            known = sd >= LEAST_SD
+            x, z = b[known] / sd[known, None], y[known]
+            moments = (x.sum(0), z.sum(0), (x * x).sum(0), (z * z).sum(0), (x * z).sum(0))
+            for k in range(self.n_perm + 1):
+                yield (name, k, len(b), float(self.variances.sum()), int(known.sum()), *(float(m[k]) for m in moments), float(b[:, k].sum()), float(d[k]))
+
+
+class _Side:
+    def __init__(self, row: dict, mark: str, n_perm: int):
+        self.chr, self.bp, self.of = (np.array(row[f"{c}_{mark}"], "i8") for c in ("chr", "bp", "of"))
+        self.alpha, self.p = (np.array(row[f"{c}_{mark}"], "f8") for c in ("alpha", "p"))
+        bits = np.frombuffer(row[f"signs_{mark}"], "u1").reshape(self.of.max() + 1, -1)
+        self.signs = np.unpackbits(bits, axis=1, count=n_perm + 1) * 2.0 - 1.0
+        self.plain = len(self.signs) == len(self.of)
+        self.members = np.eye(len(self.signs))[self.of]
+        if self.plain:
+            self.signs, self.of = self.signs[self.of], np.arange(len(self.of))
+
+
+_SUMS = "scope string, perm int, n long, va double, n_x long, x double, y double, xx double, yy double, xy double, b double, d double"
+
+
+def sign_flip_points(geno: DataFrame, sites: DataFrame, windows: tuple[float, ...], chr_len: int, n_perm: int, seed: int = 1, block_bp: int | None = None) -> DataFrame:
     """scope, perm, n_loci, va, b, rho, dir: the observation (perm 0) and each sign-flip permutation in each scope.
 
     b is the off-diagonal sum over single-site variances; rho correlates studentized marginal effects with polarized
     frequencies over sites that have a null deviation (null with fewer than five); dir sums effects times frequencies.
-    With fewer than three sites there are no rows.
+    With `block_bp` the sites of a block of positions share their signs. With fewer than three sites there are no rows.
+
+    Covariances of sites come as tiles (`gram.products`). Permutations of a tile's sites are products of its row of tiles
+    with signs, scopes are masks in a tile, and what leaves a task is a few sums for each scope and permutation. With
+    blocks a tile is first added up to one column a block.
     """
-    r = weighted_covariances(geno, sites)
-    side = lambda v: sites.select(F.col("slot").alias(v), F.col("chr").alias(f"_chr{v}"), F.col("bp").alias(f"_bp{v}"), F.col("alpha").alias(f"_a{v}"), F.col("p").alias(f"_p{v}"))
-    both = r.join(side("j"), "j").join(side("k"), "k")
-    own = F.col("j") == F.col("k")
-    weight = F.when(own, 0.0).otherwise(F.col("_aj") * F.col("_ak") * F.col("r"))
-    scopes = scopes_of(windows, chr_len, F.col("_chrj") == F.col("_chrk"), F.abs(F.col("_bpj") - F.col("_bpk")))
-    listed = both.select("j", "k", "_aj", "_pj", weight.alias("w"), F.when(own, F.col("_aj") * F.col("_aj") * F.col("r")).alias("_v"), F.explode(scopes).alias("scope"))
-    partners = listed.groupBy("scope", "j").agg(
-        F.first("_aj").alias("alpha"), F.first("_pj").alias("p"), F.collect_list(F.when(F.col("w") != 0, F.col("k"))).alias("k"), F.collect_list(F.when(F.col("w") != 0, F.col("w"))).alias("w"),
-        F.max("_v").alias("v"),
-    )
-    partners = partners.withColumn("y", polarized(F.col("p"), F.col("alpha")))
-    va = partners.groupBy("scope").agg(F.sum("v").alias("va"), F.count(F.lit(1)).alias("n_loci"))
-    sums = marginal_nulls(partners, n_perm, seed).groupBy("scope", "perm").agg(F.sum("b").alias("_b"), F.when(F.count("x") >= LEAST_SITES, F.corr("x", F.when(F.col("x").isNotNull(), F.col("y")))).alias("rho"), F.sum("d").alias("dir"))
-    return sums.join(va, "scope").where("n_loci >= 3").select("scope", "perm", "n_loci", "va", (F.col("_b") / F.col("va")).alias("b"), F.nanvl("rho", F.lit(None).cast("double")).alias("rho"), "dir")
+    cells = gram.within_demes(geno, sites)
+    used = sites.join(cells.select("slot").distinct(), "slot", "left_semi").withColumn("key", F.col("slot") if block_bp is None else block_key(block_bp, chr_len))
+    places = state.written(gram.numbered(used), "places")
+    sides = state.written(_sides(places, n_perm, seed), "sides")
+    made = state.written(gram.products(cells, places, state.written), "products")
+    marked = lambda m: sides.withColumnsRenamed({c: f"{c}_{m}" for c in sides.columns if c != "tile"} | {"tile": m})
+    turned = made.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "content", F.lit(True).alias("turned"))
+    both = made.withColumn("turned", F.lit(False)).unionByName(turned).join(marked("a"), "a").join(marked("b"), "b")
+    scopes: list[tuple[str, float | None]] = [("genome", None), ("within", None), *[(scope_name(w), w / 100 * chr_len / 2) for w in windows]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, now = None, None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*tile.rows(), strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                if row["a"] != now:
+                    if tile is not None:
+                        yield told()
+                    now, tile = row["a"], _Tile(row, n_perm, scopes)
+                r = np.frombuffer(row["content"], "f8").reshape(size, size)
+                tile.add(r.T if row["turned"] else r, _Side(row, "b", n_perm), row["a"] == row["b"])
+        if tile is not None:
+            yield told()
+
+    schema, size = to_arrow_schema(T.StructType.fromDDL(_SUMS)), gram.TILE
+    sums = both.repartition("a").sortWithinPartitions("a", "b").mapInArrow(run, _SUMS)
+    names = [c for c in sums.columns if c not in ("scope", "perm")]
+    total = sums.groupBy("scope", "perm").agg(*[F.sum(c).alias(c) for c in names]).where("n >= 3")
+    vx, vy = F.col("xx") - F.col("x") * F.col("x") / F.col("n_x"), F.col("yy") - F.col("y") * F.col("y") / F.col("n_x")
+    rho = F.when((F.col("n_x") >= LEAST_SITES) & (vx > 0) & (vy > 0), (F.col("xy") - F.col("x") * F.col("y") / F.col("n_x")) / F.sqrt(vx * vy))
+    return total.select("scope", "perm", F.col("n").alias("n_loci"), "va", (F.col("b") / F.col("va")).alias("b"), rho.alias("rho"), F.col("d").alias("dir"))
 
 
 def selection_tests(points: DataFrame, axis: str = "within", level: float = 0.05) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline import catalog as c
 from driftline.functions.rng import poisson, uniform, uniform_sql
-from driftline.operators import ancestry, initial, selection
+from driftline.operators import ancestry, gram, initial, selection, stats
 from driftline.registry import register
 from driftline.sources import archive, bundle, state, views
 
@@ -49,6 +49,30 @@ register(
     lambda s, d: c._rounded(_points(s, d), "va", "b", "rho", "dir"),
     f"WITH {c.V}, {_POINTS} SELECT scope, perm::INTEGER AS perm, n_loci, {c._r('va')} AS va, {c._r('b')} AS b, {c._r('rho')} AS rho, {c._r('dir')} AS dir FROM pt",
 )
+BLOCK_BP = 5000
+register(
+    "sign_flip_blocks",
+    lambda s, d: c._rounded(selection.sign_flip_points(*c._ld(s, d), WINDOWS, views.CHR_LEN, c.N_PERM, block_bp=BLOCK_BP), "va", "b", "rho", "dir"),
+    f"WITH {c.V}, {_POINTS} SELECT scope, perm::INTEGER AS perm, n_loci, {c._r('va')} AS va, {c._r('b')} AS b, {c._r('rho')} AS rho, {c._r('dir')} AS dir FROM pt".replace(
+        uniform_sql("1", "slot", "perm"), uniform_sql("1", f"concat_ws(':', chr, least((greatest(bp, 1) - 1) // {BLOCK_BP}, {views.CHR_LEN // BLOCK_BP - 1}))", "perm")
+    ),
+)
+
+
+def genotype_correlation(s: SparkSession, d: str) -> DataFrame:
+    """Correlations of dosages of all pairs of sites that vary, over all individuals."""
+    hap, variants = c._genotypes(s, d)
+    cells = gram.standardized(stats.dosage(hap))
+    places = state.written(gram.numbered(variants.join(cells.select("slot").distinct(), "slot", "left_semi")), "places")
+    return c._rounded(gram.pairs(gram.products(cells, places, state.written), places).select(F.col("j").cast("long").alias("j"), F.col("k").cast("long").alias("k"), "r"), "r")
+
+
+register(
+    "genotype_correlation",
+    genotype_correlation,
+    f"""WITH {c.V}, o AS (SELECT slot, row_number() OVER (ORDER BY chr, bp, slot) AS place FROM variants WHERE slot IN (SELECT slot FROM geno GROUP BY slot HAVING stddev_samp(g) > 0))
+SELECT a.slot::BIGINT AS j, b.slot::BIGINT AS k, {c._r('corr(x.g, y.g)')} AS r FROM o a JOIN o b ON a.place < b.place JOIN geno x ON x.slot = a.slot JOIN geno y ON y.slot = b.slot AND y.ind_id = x.ind_id GROUP BY a.slot, b.slot""",
+)
 _ROUND = ("va", "b", "b_p", "rho", "rho_mean", "rho_sd", "rho_z", "rho_p", "gate", "gate_p", "radial", "plane", "plane_p", "line", "line_p", "dir", "dir_z", "dir_p")
 _TESTS = f"""{_POINTS}, fu AS (SELECT pt.*, w.b AS a FROM pt JOIN (SELECT perm, b FROM pt WHERE scope = 'within') w USING (perm)),
 mo AS (SELECT scope, avg(a) AS ma, stddev_samp(a) AS sa, avg(rho) AS mr, stddev_samp(rho) AS sr, avg(dir) AS md, stddev_samp(dir) AS sd, covar_samp(rho, dir) AS cv, count(rho) AS nr FROM fu WHERE perm > 0 GROUP BY scope),
@@ -187,7 +211,7 @@ m AS (SELECT gen, site, chr, child AS node, bp FROM kk WHERE k = 1), {_descent_s
 def _bundle(s: SparkSession, d: str) -> tuple[str, int]:
     """Customers and parts written as a bundle: its path, and how many individuals it has."""
     people = c.sparse_breeding_value(s, d)
-    path = state.new_folder(s, "bundle").removeprefix("file:")
+    path = state.new_folder(s, "bundle")
     bundle.write_bundle(path, views.dosages(s, d), views.part_variants(s, d), people, 1e-8, state.written)
     return path, views.table(s, d, "customer").count()
 

@@ -1,149 +1,135 @@
 """PLINK bundles as files: genotypes, sites, individuals and effects of a population, written by tasks and read back.
 
-A bundle is a folder. `sites`, `people` and `effects` are folders of text parts whose order is the order of their names;
-`genotypes` holds parts of SNP-major bytes, named by the place of their first site, the first one with the format's mark.
-Parts one after another are the .bim, .fam, effects and .bed files of the format.
+A bundle is `prefix.bed`, `prefix.bim`, `prefix.fam` and `prefix.effects.tsv`, each one file that tasks write together.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+import math
+import warnings
+from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators.ranges import by_ranges
-from driftline.sources.plink import CODES, MAGIC, bim, fam, parse_fam, write_lines
+from driftline.functions.rng import uniform
+from driftline.operators.ranges import in_order
+from driftline.sources.plink import bim, fam, parse_fam, site_name
+from driftline.sources.plink_format import has_file, packed, read_genotypes
+from driftline.sources.whole_file import write_bytes, write_lines
 
-#: Bytes of genotypes in one part, about.
-PART_BYTES = 4 << 20
+# Fixed value: the first line of a file of effects.
+EFFECTS_HEAD = "snp_id\tchr\tbp\tis_qtl\talpha"
 
 
-def in_order(rows: DataFrame, by: list[str], name: str, per: int) -> DataFrame:
-    """`name`: places from 0 in the order of `by`, from counts of ranges, so that no task orders all rows."""
-    within = by_ranges(rows, by).withColumn("_w", F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1)
-    sizes = within.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    starts = sizes.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_start"))  # a row a partition
-    placed = within.join(F.broadcast(starts), "_part")
-    return placed.withColumn(name, F.col("_start") + F.col("_w")).withColumn("part", F.floor(F.col(name) / per)).drop("_part", "_w", "_start", "_c")
+def write_bundle(prefix: str, geno: DataFrame, sites: DataFrame, people: DataFrame, recombination: float, write) -> None:
+    """Writes ind_id, slot, g (absent cells have no copies), slot, chr, bp, alpha, is_qtl and ind_id, deme, a as one bundle.
 
+    Sites are in order of (chr, bp, slot), or of `rank` after (chr, bp) if they have one, individuals of (deme, ind_id); a
+    site's `tag` ends its name. A dosage that is not 0, 1, 2 or -1 (missing) is an error. `prefix` is in a folder that all
+    machines share. A task packs whole sites: what it holds at once grows with the individuals only. `write(df, name)` cuts
+    lineage of the places.
+    """
+    n = people.count()
+    ranked = sites if "rank" in sites.columns else sites.withColumn("rank", F.col("slot"))
+    places = write(in_order(ranked, ["chr", "bp", "rank"], "row"), "sites")
+    columns = write(in_order(people, ["deme", "ind_id"], "col"), "people")
+    write_lines(bim(places, recombination, ["row"]), ["row"], F.col("line"), f"{prefix}.bim")
+    write_lines(fam(columns, keep=["col"]), ["col"], F.col("line"), f"{prefix}.fam")
+    tab = F.concat_ws("\t", site_name(places), "chr", "bp", F.col("is_qtl").cast("int"), "alpha")
+    write_lines(places, ["row"], tab, f"{prefix}.effects.tsv", EFFECTS_HEAD)
+    known = geno.join(places.select("slot", "row"), "slot").join(columns.select("ind_id", "col"), "ind_id")
+    carried = known.groupBy("row").agg(F.collect_list("col").alias("cols"), F.collect_list("g").alias("gs"))
+    write_bytes(packed(places.select("row").join(carried, "row", "left"), n), f"{prefix}.bed")
 
-def write_bundle(path: str, geno: DataFrame, sites: DataFrame, people: DataFrame, recombination: float, write) -> None:
-    """Writes ind_id, slot, g (absent cells have no copies), slot, chr, bp, alpha, is_qtl and ind_id, deme, a to `path`.
 
-    `path` is a folder that driver and tasks see under one name (genotypes go there as plain files); parts are written
-    under another name first, so that a task that runs again leaves one whole part. Sites are in order of (chr, bp, slot),
-    individuals of (deme, ind_id). A dosage that is not 0, 1, 2 or -1 (missing) is an error. `write(df, name)` cuts lineage
-    of the places.
+def write_merged(prefix: str, trait: DataFrame, carriers: DataFrame, neutral: DataFrame, people: DataFrame, owner, recombination: float, write) -> None:
+    """Trait sites and neutral mutations of the same haplotypes as one bundle.
+
+    `trait` (slot, chr, bp, alpha, is_qtl) are active sites, of which trait sites count, with `carriers` (slot, hap_id);
+    `neutral` has chr, bp, hap_id, a list for each haplotype in any order with repeats; `owner(hap_id)` is its individual.
+    Sites of both kinds come in order of (chr, bp); at one place trait sites come first and both stay, named _q and _n.
+    A site's carriers meet by their keys on both sides, so no list of a haplotype or of a site is put together before the
+    site's row is packed.
     """
-    n = people.count()
-    per = max(1, PART_BYTES // max(1, -(-n // 4)))
-    places = write(in_order(sites, ["chr", "bp", "slot"], "row", per), "sites")
-    columns = write(in_order(people, ["deme", "ind_id"], "col", per), "people")
+    own = trait.where("is_qtl").select(F.concat(F.lit("q"), F.col("slot")).alias("slot"), "chr", "bp", "alpha", F.lit(True).alias("is_qtl"), F.lit("q").alias("tag"), F.col("slot").cast("long").alias("rank"))
+    cells = neutral.select("chr", "bp", "hap_id").distinct().withColumn("slot", F.concat_ws("_", F.lit("n"), "chr", "bp"))
+    other = cells.groupBy("slot", "chr", "bp").agg(F.lit(0.0).alias("alpha"), F.lit(False).alias("is_qtl"), F.lit("n").alias("tag"), F.lit(2**62).alias("rank"))
+    both = cells.select("slot", "hap_id").unionByName(carriers.select(F.concat(F.lit("q"), F.col("slot")).alias("slot"), "hap_id").join(own.select("slot"), "slot", "left_semi"))
+    geno = both.groupBy("slot", owner(F.col("hap_id")).alias("ind_id")).agg(F.count(F.lit(1)).cast("int").alias("g"))
+    write_bundle(prefix, geno, own.unionByName(other), people, recombination, write)
 
-    write_lines(bim(places, recombination, ["row"]), f"{path}/sites", ["row"])
-    write_lines(fam(columns, keep=["col"]), f"{path}/people", ["col"])
-    tab = F.concat_ws("\t", F.concat(F.lit("chr"), F.col("chr"), F.lit("_"), F.col("bp")), "chr", "bp", F.col("is_qtl").cast("int"), "alpha")
-    write_lines(places.select("row", tab.alias("line")), f"{path}/effects", ["row"])
 
-    folder = f"{path}/genotypes"
-    os.makedirs(folder, exist_ok=True)
-    known = geno.join(places.select("slot", "row"), "slot").join(columns.select("ind_id", "col"), "ind_id")
-    rows = known.groupBy("row").agg(F.collect_list("col").alias("cols"), F.collect_list("g").alias("gs"))
-    rows = places.select("part", "row").join(rows, "row", "left")
-
-    table = np.array([CODES[copies] for copies in (-1, 0, 1, 2)], "u1")
-
-    def write_part(cells: pd.DataFrame) -> pd.DataFrame:
-        width, part = -(-n // 4), int(cells["part"].iloc[0])
-        target = f"{folder}/part-{part:08d}.bed"
-        with open(f"{target}.{os.getpid()}", "wb") as out:
-            if part == 0:
-                out.write(MAGIC)
-            for _, cols, gs in cells[["row", "cols", "gs"]].sort_values("row").itertuples(index=False):
-                bits = np.full(width * 4, CODES[0], "u1")
-                bits[n:] = 0
-                if cols is not None:
-                    copies = np.asarray(gs, "i8")
-                    if ((copies < -1) | (copies > 2)).any():
-                        raise ValueError("a dosage is none of 0, 1, 2 and missing")
-                    bits[np.asarray(cols, "i8")] = table[copies + 1]
-                four = bits.reshape(-1, 4)
-                out.write((four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype("u1").tobytes())
-        os.replace(f"{target}.{os.getpid()}", target)
-        return pd.DataFrame({"part": [part], "rows": [len(cells)]})
-
-    rows.groupBy("part").applyInPandas(write_part, "part long, rows long").agg(F.sum("rows")).collect()  # one number
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """place, line: lines of a folder of text parts in the order of parts; blank lines are left out."""
+def read_lines(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
+    """place, line: lines of a text file, or of a folder of parts in the order of their names, without blank ones and headers."""
     rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i")).where(F.trim("value") != "")
-    return in_order(rows, ["_f", "_s", "_i"], "place", 1 << 30).select("place", F.col("value").alias("line"))
+    kept = rows if header is None else rows.where(F.col("value") != header)
+    return in_order(kept, ["_f", "_s", "_i"], "place").select("place", F.col("value").alias("line"))
 
 
-def read_sites(spark: SparkSession, path: str) -> DataFrame:
+def read_sites(spark: SparkSession, prefix: str) -> DataFrame:
     """place, chr, snp_id, cm, bp of the sites' lines, split at any white space."""
     f = F.split(F.trim("line"), r"\s+")
     at = lambda k, kind: F.get(f, F.lit(k)).cast(kind)
-    return read_lines(spark, f"{path}/sites").select("place", at(0, "int").alias("chr"), at(1, "string").alias("snp_id"), at(2, "double").alias("cm"), at(3, "int").alias("bp"))
+    return read_lines(spark, f"{prefix}.bim").select("place", at(0, "int").alias("chr"), at(1, "string").alias("snp_id"), at(2, "double").alias("cm"), at(3, "int").alias("bp"))
 
 
-def read_people(spark: SparkSession, path: str) -> DataFrame:
+def read_people(spark: SparkSession, prefix: str) -> DataFrame:
     """place, iid, deme, phenotype; where one name does not tell its deme, all individuals are of deme 1."""
-    people = parse_fam(read_lines(spark, f"{path}/people"), keep=("place",))
+    people = parse_fam(read_lines(spark, f"{prefix}.fam"), keep=("place",))
     all_told = people.agg(F.coalesce(F.bool_and(F.col("deme").isNotNull()), F.lit(True)).alias("_told"))
     return people.crossJoin(F.broadcast(all_told)).select("place", "iid", F.when(F.col("_told"), F.col("deme")).otherwise(1).alias("deme"), "phenotype")  # one row
 
 
-def read_effects(spark: SparkSession, path: str) -> DataFrame:
-    """place, snp_id, chr, bp, is_qtl, alpha: the sites with their effects, line by line; without effects all are neutral.
+def read_effects(spark: SparkSession, prefix: str, effects: DataFrame | None = None) -> DataFrame:
+    """place, snp_id, chr, bp, is_qtl, alpha: the sites with their effects.
 
-    Another count of lines than sites is an error, as is a line of another place than the site's.
+    Effects are those given (place, alpha; a site with an effect other than 0 is a trait site), else those of the file,
+    line by line, else there is a warning and all sites are neutral. Another count of effects than sites is an error, as
+    is a line of another place than its site's.
     """
-    sites = read_sites(spark, path).select("place", "snp_id", "chr", "bp")
-    if not os.path.isdir(f"{path}/effects"):
+    sites = read_sites(spark, prefix).select("place", "snp_id", "chr", "bp")
+    differ = F.raise_error(F.lit("effects and sites differ"))
+    if effects is not None:
+        given = effects.select("place", F.col("alpha").cast("double").alias("alpha"), F.lit(True).alias("_given"))
+        both = sites.join(given, "place", "full").withColumn("alpha", F.when(F.col("_given") & F.col("snp_id").isNotNull(), F.col("alpha")).otherwise(differ.cast("double")))
+        return both.select("place", "snp_id", "chr", "bp", (F.col("alpha") != 0).alias("is_qtl"), "alpha")
+    if not has_file(spark, f"{prefix}.effects.tsv"):
+        warnings.warn(f"no effects are given and {prefix}.effects.tsv is not there: all sites are neutral", stacklevel=2)
         return sites.withColumns({"is_qtl": F.lit(False), "alpha": F.lit(0.0)})
     f = F.split("line", "\t")
-    lines = read_lines(spark, f"{path}/effects").select("place", F.get(f, F.lit(1)).cast("int").alias("_chr"), F.get(f, F.lit(2)).cast("int").alias("_bp"), F.get(f, F.lit(3)).cast("int").alias("_q"), F.get(f, F.lit(4)).cast("double").alias("alpha"))
+    rows = read_lines(spark, f"{prefix}.effects.tsv", EFFECTS_HEAD)
+    lines = rows.select("place", F.get(f, F.lit(1)).cast("int").alias("_chr"), F.get(f, F.lit(2)).cast("int").alias("_bp"), F.get(f, F.lit(3)).cast("int").alias("_q"), F.get(f, F.lit(4)).cast("double").alias("alpha"))
     same = (F.col("chr") == F.col("_chr")) & (F.col("bp") == F.col("_bp"))
-    both = sites.join(lines, "place", "full").withColumn("is_qtl", F.when(same, F.col("_q") == 1).otherwise(F.raise_error(F.lit("effects and sites differ")).cast("boolean")))
+    both = sites.join(lines, "place", "full").withColumn("is_qtl", F.when(same, F.col("_q") == 1).otherwise(differ.cast("boolean")))
     return both.select("place", "snp_id", "chr", "bp", "is_qtl", "alpha")
 
 
-def read_genotypes(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """row, col, g of the cells with copies, from the parts' bytes.
+class Bundle(NamedTuple):
+    """A loaded bundle: sites (place, snp_id, chr, bp, is_qtl, alpha, active), people (place, iid, deme, phenotype), cells of
+    its haplotypes (row, col, copy) and the side of the grid of demes (1: all individuals mix)."""
+
+    sites: DataFrame
+    people: DataFrame
+    carriers: DataFrame
+    grid: int
+
+
+def load_bundle(spark: SparkSession, prefix: str, seed: int, grid: bool = False, effects: DataFrame | None = None) -> Bundle:
+    """Loads a bundle as a population: every site is active and every heterozygote gets a phase of its own draw.
 
-    A wrong mark, a part whose length is no multiple of a site's bytes, and a missing call are errors.
+    With `grid` the demes in the names lie on a square; where a name tells none, or their number is no square, there is a
+    warning and all individuals are of deme 1. Else demes play no part. A missing call is an error.
     """
-    back = np.zeros(4, "i1")
-    for copies, bits in CODES.items():
-        back[bits] = copies
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = -(-n // 4)
-        for frame in frames:
-            for start, first, raw in zip(frame["start"], frame["first"], frame["content"], strict=True):
-                if first and raw[: len(MAGIC)] != MAGIC:
-                    raise ValueError("not a file of SNP-major genotypes")
-                b = np.frombuffer(raw, "u1", offset=len(MAGIC) if first else 0)
-                if width == 0 or len(b) % width:
-                    raise ValueError(f"{len(b)} bytes are no whole sites of {n} individuals")
-                for k, line in enumerate(b.reshape(-1, width)):
-                    g = back[np.stack([line & 3, line >> 2 & 3, line >> 4 & 3, line >> 6], 1).ravel()[:n]]
-                    if (g < 0).any():
-                        raise ValueError(f"site {start + k} has a missing call")
-                    cols = np.flatnonzero(g)
-                    yield pd.DataFrame({"row": start + k, "col": cols, "g": g[cols].astype("i4")})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.bed").load(f"{path}/genotypes")
-    part = F.regexp_extract("path", r"part-(\d+)\.bed$", 1).cast("long")
-    per = max(1, PART_BYTES // max(1, -(-n // 4)))
-    named = files.select((part * per).alias("start"), (part == 0).alias("first"), "content")
-    return named.mapInPandas(run, "row long, col long, g int")
+    people = parse_fam(read_lines(spark, f"{prefix}.fam"), keep=("place",))
+    told = people.agg(F.count(F.lit(1)).alias("n"), F.count("deme").alias("named"), F.countDistinct("deme").alias("demes")).first()  # one row
+    side, n = math.isqrt(told["demes"]), told["n"]
+    square = grid and told["named"] == n > 0 and side * side == told["demes"]
+    if grid and not square:
+        warnings.warn(f"{told['named']} of {n} names tell a deme, {told['demes']} demes in all, which is no grid: all individuals mix", stacklevel=2)
+    people = people.withColumn("deme", F.col("deme") if square else F.lit(1))
+    carriers = phased(read_genotypes(spark, prefix, n), uniform(seed, "phase", F.col("row"), F.col("col")))
+    return Bundle(read_effects(spark, prefix, effects).withColumn("active", F.lit(True)), people, carriers, side if square else 1)
 
 
 def phased(cells: DataFrame, draw) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +25,15 @@ def dosage_of(bits: Column) -> Column:
     return out
 
 
+def site_name(variants: DataFrame) -> Column:
+    """chr{chr}_{bp}, with _{tag} where the variants have a tag."""
+    return F.concat_ws("_", F.concat(F.lit("chr"), F.col("chr")), F.col("bp"), *(["tag"] if "tag" in variants.columns else []))
+
+
 def bim(variants: DataFrame, recombination: float, keep: list[str] | None = None) -> DataFrame:
     """One tab-separated line for each variant, with its chr and bp or the columns to keep: chr, name, cM, bp, the derived allele and the other."""
-    name = F.concat(F.lit("chr"), F.col("chr"), F.lit("_"), F.col("bp"))
     cm = F.format_string("%.6f", F.col("bp") * recombination * 100)
-    return variants.select(*(keep or ["chr", "bp"]), F.concat_ws("\t", "chr", name, cm, "bp", F.lit("1"), F.lit("0")).alias("line"))
+    return variants.select(*(keep or ["chr", "bp"]), F.concat_ws("\t", "chr", site_name(variants), cm, "bp", F.lit("1"), F.lit("0")).alias("line"))
 
 
 def fam(people: DataFrame, phenotype: str = "a", keep: list[str] | None = None) -> DataFrame:
@@ -46,51 +46,3 @@ def parse_fam(lines: DataFrame, column: str = "line", keep: tuple[str, ...] = ()
     parts = F.split(F.trim(column), r"\s+")
     rows = lines.where(F.trim(column) != "").select(*keep, F.get(parts, F.lit(1)).alias("iid"), F.get(parts, F.lit(5)).cast("double").alias("phenotype"))
     return rows.select(*keep, "iid", F.expr(r"try_cast(regexp_extract(iid, '^p([0-9]+)_([0-9]+)$', 1) AS INT)").alias("deme"), "phenotype")
-
-
-def snp_rows(geno: DataFrame, people: DataFrame) -> DataFrame:
-    """slot, bytes: genotypes of a variant, four individuals to a byte, the first in the low bits.
-
-    A variant's row is as long as there are individuals; absent cells have no copies.
-    """
-    ranked = people.select("ind_id", (F.row_number().over(_all_by("ind_id")) - 1).alias("_i"))
-    n = people.count()
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.full(-(-n // 4) * 4, CODES[0], "u1")
-        bits[n:] = 0
-        cells = group.dropna(subset=["_i"])
-        bits[cells["_i"].astype(int)] = [CODES[g] for g in cells["g"].astype(int)]
-        four = bits.reshape(-1, 4)
-        return pd.DataFrame({"slot": [group["slot"].iloc[0]], "bytes": [(four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype("u1").tobytes()]})
-
-    return geno.select("ind_id", "slot", "g").join(ranked, "ind_id").groupBy("slot").applyInPandas(pack, "slot long, bytes binary")
-
-
-def _all_by(column: str):
-    """An order over all individuals: they are the rows of one population file."""
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
-def read_snp_rows(rows: DataFrame, n: int) -> DataFrame:
-    """slot, i, g: the genotypes of packed rows, missing ones as -1. A row of another length is an error."""
-    back = {bits: copies for copies, bits in CODES.items()}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.array([back[k] for k in range(4)])
-        for frame in frames:
-            for slot, raw in zip(frame["slot"], frame["bytes"], strict=True):
-                if len(raw) != -(-n // 4):
-                    raise ValueError(f"variant {slot} has {len(raw)} bytes for {n} individuals")
-                b = np.frombuffer(raw, "u1")
-                g = table[np.stack([b & 3, b >> 2 & 3, b >> 4 & 3, b >> 6], 1).ravel()[:n]]
-                yield pd.DataFrame({"slot": slot, "i": np.arange(n), "g": g})
-
-    return rows.mapInPandas(run, "slot long, i long, g int")
-
-
-def write_lines(df: DataFrame, path: str, order: list[str]) -> None:
-    """Lines in order; part files in the order of their names are one text."""
-    df.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)

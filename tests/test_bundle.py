@@ -1,9 +1,11 @@
 """PLINK bundles: files that are read back, and files that are wrong."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.sources import bundle, state
+from driftline.sources import bundle, plink_format, state, whole_file
 
 
 def population(spark, cells):
@@ -28,30 +30,87 @@ def test_round_trip_with_shared_positions(spark, tmp_path):
     assert [(r.snp_id, r.is_qtl, r.alpha) for r in effects] == [("chr1_10", False, 0.0), ("chr1_10", True, -0.25), ("chr2_30", True, 0.5)]
     people = bundle.read_people(spark, path).orderBy("place").collect()
     assert [(r.iid, r.deme, r.phenotype) for r in people] == [("p0_0", 0, 0.0), ("p0_2", 0, 0.25), ("p0_4", 0, 0.5), ("p1_1", 1, 0.125), ("p1_3", 1, 0.375)]
-    raw = (tmp_path / "bundle" / "genotypes" / "part-00000000.bed").read_bytes()
+    raw = (tmp_path / "bundle.bed").read_bytes()
     # 00 is two copies, 10 one, 11 none, the first individual in the low bits
     assert raw == bytes([0x6C, 0x1B, 0x01, 0b10111111, 0b11, 0b11111111, 0b00, 0b11101100, 0b11])
 
 
-def test_many_parts_are_one_file(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(bundle, "PART_BYTES", 2)
+def test_ranges_of_bytes_are_one_file(spark, tmp_path):
     path = written(spark, tmp_path, [(0, 1, 2), (4, 1, 1), (1, 2, 1), (3, 3, 2)])
-    assert len(list((tmp_path / "bundle" / "genotypes").glob("part-*.bed"))) == 3
-    assert sorted(tuple(r) for r in bundle.read_genotypes(spark, path, 5).collect()) == [(0, 3, 1), (1, 4, 2), (2, 0, 2), (2, 2, 1)]
+    spark.dataSource.register(plink_format.Plink)
+    read = spark.read.format("plink").option("partitionBytes", 2).load(path)
+    assert read.rdd.getNumPartitions() == 3
+    assert sorted(tuple(r) for r in read.collect()) == [(0, 3, 1), (1, 4, 2), (2, 0, 2), (2, 2, 1)]
+    assert not [p.name for p in tmp_path.iterdir() if p.name not in ("bundle.bed", "bundle.bim", "bundle.fam", "bundle.effects.tsv")]
+
+
+def test_a_path_that_only_spark_opens(spark, tmp_path):
+    written(spark, tmp_path, [(0, 1, 2), (1, 2, 1)])
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    far = "viewfs://store/in/bundle"
+    assert not plink_format.can_open(far)
+    assert sorted(tuple(r) for r in bundle.read_genotypes(spark, far, 5).collect()) == [(0, 3, 1), (2, 0, 2)]
+    assert bundle.read_effects(spark, far).count() == 3 and bundle.read_people(spark, far).count() == 5
+    with pytest.raises(Exception, match="no mounted folder"):
+        bundle.write_bundle(far, *population(spark, [(0, 1, 2)]), 1e-8, state.written)
+
+
+def test_a_file_made_elsewhere(spark, tmp_path):
+    """Bytes of random dosages, packed here by shifts."""
+    rng = random.Random(3)
+    people, sites = 37, 211
+    g = [[rng.choice([0, 0, 0, 1, 2]) for _ in range(people)] for _ in range(sites)]
+    code = {0: 3, 1: 2, 2: 0}
+    lines = []
+    for row in g:
+        line = bytearray(-(-people // 4))
+        for k, copies in enumerate(row):
+            line[k // 4] |= code[copies] << 2 * (k % 4)
+        lines.append(bytes(line))
+    (tmp_path / "far.bed").write_bytes(bytes([0x6C, 0x1B, 0x01]) + b"".join(lines))
+    (tmp_path / "far.fam").write_text("".join(f"f  i{k} 0 0 0 -9\n" for k in range(people)) + "\n")
+    (tmp_path / "far.bim").write_text("".join(f"1 s{k}\t0 {k + 1} A C\n" for k in range(sites)))
+    want = sorted((r, k, x) for r, row in enumerate(g) for k, x in enumerate(row) if x)
+    spark.dataSource.register(plink_format.Plink)
+    assert sorted(tuple(r) for r in spark.read.format("plink").option("partitionBytes", 500).load(str(tmp_path / "far")).collect()) == want
+    with pytest.warns(UserWarning, match="all sites are neutral"):
+        got = bundle.load_bundle(spark, str(tmp_path / "far"), 1)
+    assert got.grid == 1 and got.carriers.count() == sum(x for _, _, x in want)
+    assert got.sites.where("active and not is_qtl and alpha = 0").count() == sites
+    with pytest.warns(UserWarning, match="no grid"):
+        assert bundle.load_bundle(spark, str(tmp_path / "far"), 1, grid=True, effects=spark.range(sites).selectExpr("id AS place", "id % 3 AS alpha")).sites.where("is_qtl").count() == sum(k % 3 != 0 for k in range(sites))
+    with pytest.raises(Exception, match="effects and sites differ"):
+        bundle.read_effects(spark, str(tmp_path / "far"), spark.range(sites - 1).selectExpr("id AS place", "id AS alpha")).collect()
 
 
 def test_wrong_files_are_errors(spark, tmp_path):
     path = written(spark, tmp_path, [(0, 1, -1)])
     with pytest.raises(Exception, match="missing call"):
         bundle.read_genotypes(spark, path, 5).collect()
+    assert sorted(tuple(r) for r in bundle.read_genotypes(spark, path, 5, "keep").collect()) == [(2, 0, -1)]
     with pytest.raises(Exception, match="no whole sites"):
         bundle.read_genotypes(spark, path, 13).collect()
-    part = tmp_path / "bundle" / "genotypes" / "part-00000000.bed"
-    part.write_bytes(b"abc" + part.read_bytes()[3:])
+    bed = tmp_path / "bundle.bed"
+    bed.write_bytes(b"abc" + bed.read_bytes()[3:])
     with pytest.raises(Exception, match="not a file"):
         bundle.read_genotypes(spark, path, 5).collect()
 
 
+def test_places_with_gaps_or_twice_are_errors(spark, tmp_path):
+    for rows in ([(0, b"ab"), (3, b"c")], [(0, b"ab"), (0, b"ab")]):
+        with pytest.raises(Exception, match="gaps or overlap"):
+            whole_file.write_bytes(spark.createDataFrame(rows, "offset long, content binary"), str(tmp_path / "x"))
+        assert not list(tmp_path.iterdir())
+
+
+def test_lines_of_one_file_in_order(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id", "repeat('é', CAST(id % 7 AS INT)) AS text").repartition(9)
+    whole_file.write_lines(rows, ["id"], F.concat_ws(" ", "id", "text"), str(tmp_path / "lines"), "head")
+    assert (tmp_path / "lines").read_text() == "head\n" + "".join(f"{k} {'é' * (k % 7)}\n" for k in range(5000))
+    whole_file.write_lines(rows.limit(0), ["id"], F.col("text"), str(tmp_path / "none"))
+    assert (tmp_path / "none").read_bytes() == b""
+
+
 def test_other_dosages_are_errors(spark, tmp_path):
     with pytest.raises(Exception, match="none of 0, 1, 2"):
         written(spark, tmp_path, [(0, 1, 3)])
@@ -59,14 +118,25 @@ def test_other_dosages_are_errors(spark, tmp_path):
 
 def test_without_effects_all_are_neutral(spark, tmp_path):
     path = written(spark, tmp_path, [(0, 1, 1)])
-    (tmp_path / "bundle" / "effects").rename(tmp_path / "gone")
-    assert [(r.is_qtl, r.alpha) for r in bundle.read_effects(spark, path).collect()] == [(False, 0.0)] * 3
+    (tmp_path / "bundle.effects.tsv").rename(tmp_path / "gone")
+    with pytest.warns(UserWarning, match="all sites are neutral"):
+        assert [(r.is_qtl, r.alpha) for r in bundle.read_effects(spark, path).collect()] == [(False, 0.0)] * 3
 
 
 def test_names_without_demes_are_one_deme(spark, tmp_path):
-    (tmp_path / "people").mkdir()
-    (tmp_path / "people" / "part-0").write_text("f p3_1 0 0 0 1.5\n\n  f\tother 0 0 0 -9\n")
-    assert sorted((r.iid, r.deme) for r in bundle.read_people(spark, str(tmp_path)).collect()) == [("other", 1), ("p3_1", 1)]
+    (tmp_path / "x.fam").write_text("f p3_1 0 0 0 1.5\n\n  f\tother 0 0 0 -9\n")
+    assert sorted((r.iid, r.deme) for r in bundle.read_people(spark, str(tmp_path / "x")).collect()) == [("other", 1), ("p3_1", 1)]
+
+
+def test_merged_panel_keeps_both_sites_of_one_place(spark, tmp_path):
+    trait = spark.createDataFrame([(1, 1, 10, 0.5, True), (2, 1, 5, 0.25, True), (3, 1, 7, 0.0, False)], "slot long, chr int, bp int, alpha double, is_qtl boolean")
+    carriers = spark.createDataFrame([(1, 0), (1, 1), (2, 3), (3, 0)], "slot long, hap_id long")
+    neutral = spark.createDataFrame([(1, 10, 2), (1, 10, 2), (1, 10, 3), (1, 1, 0)], "chr int, bp int, hap_id long")
+    people = spark.createDataFrame([(0, 1, 0.0), (1, 1, 0.0)], "ind_id long, deme int, a double")
+    path = str(tmp_path / "merged")
+    bundle.write_merged(path, trait, carriers, neutral, people, lambda h: F.floor(h / 2), 1e-8, state.written)
+    assert [r.snp_id for r in bundle.read_effects(spark, path).orderBy("place").collect()] == ["chr1_1_n", "chr1_5_q", "chr1_10_q", "chr1_10_n"]
+    assert sorted(tuple(r) for r in bundle.read_genotypes(spark, path, 2).collect()) == [(0, 0, 1), (1, 1, 1), (2, 0, 2), (3, 1, 2)]
 
 
 def test_both_copies_of_two_and_one_of_one(spark):

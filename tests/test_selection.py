@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import ancestry, initial, ranges, selection
+from driftline.operators import ancestry, gram, initial, ranges, selection
 from driftline.sources import state
 
 
@@ -38,6 +38,29 @@ def test_points_are_those_of_numpy(spark):
             assert point.dir == pytest.approx((ea[:, k] * p).sum())
 
 
+def test_tiles_blocks_and_block_signs(spark, monkeypatch):
+    """Many small tiles and blocks of individuals give what one matrix gives; sites of a block share their signs."""
+    monkeypatch.setattr(gram, "TILE", 4)
+    monkeypatch.setattr(gram, "BLOCK", 7)
+    g, rows, geno, sites = population(spark, p=11, n=50)
+    n_perm, n = 12, len(g)
+    r = sum(25 / n * np.cov(g[np.arange(n) % 2 == d].T) for d in (0, 1))
+    chr_, bp, a, p = (np.array([row[k] for row in rows]) for k in (1, 2, 3, 4))
+    blocks = [f"{c}:{min((b - 1) // 30, 3)}" for c, b in zip(chr_, bp, strict=True)]
+    for block_bp, keys in ((None, [j + 1 for j in range(11)]), (30, blocks)):
+        e = np.stack([selection.sign_row(k, n_perm, 3) for k in keys]).astype("f8") * a[:, None]
+        want = {"genome": np.ones((11, 11), bool), "within": chr_[:, None] == chr_[None], "win_40pct": (chr_[:, None] == chr_[None]) & (abs(bp[:, None] - bp[None]) <= 20)}
+        got = {(x.scope, x.perm): x for x in selection.sign_flip_points(geno, sites, (40.0,), 100, n_perm, 3, block_bp).collect()}
+        for scope, mask in want.items():
+            b = (e * ((r * mask * ~np.eye(11, dtype=bool)) @ e)).sum(0) / (np.diag(r) * a * a).sum()
+            assert [got[scope, k].b for k in range(n_perm + 1)] == pytest.approx(b.tolist())
+            assert [got[scope, k].dir for k in range(n_perm + 1)] == pytest.approx((e * p[:, None]).sum(0).tolist())
+    places = state.written(gram.numbered(sites), "places")
+    made = gram.pairs(gram.products(gram.standardized(geno), places, state.written), places).collect()
+    c = np.corrcoef(g.T)
+    assert len(made) == 55 and all(x.r == pytest.approx(c[x.j - 1, x.k - 1]) for x in made)
+
+
 def test_fewer_than_three_sites_give_no_rows(spark):
     _, _, geno, sites = population(spark)
     assert selection.sign_flip_points(geno, sites.where("slot <= 2"), (40.0,), 100, 5).count() == 0
