@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucketed(left: Column, right: Column, width: int) -> Column:
-    """The buckets of `width` that a half-open interval touches."""
-    return F.sequence(F.floor(left / width), F.floor((right - 1) / width))
+def covering_edges(sites: DataFrame, edges: DataFrame) -> DataFrame:
+    """Sites (site, chr, bp) with the edges that cover them: an interval join by classes of length.
 
-
-def covering_edges(sites: DataFrame, edges: DataFrame, width: int = 512) -> DataFrame:
-    """Sites (site, chr, bp) with the edges that cover them: an interval join through buckets of positions."""
-    a = sites.withColumn("_b", F.floor(F.col("bp") / width))
-    b = edges.where("left < right").withColumn("_b", F.explode(bucketed(F.col("left"), F.col("right"), width)))
-    return a.join(b, ["chr", "_b"]).where("bp >= left and bp < right").drop("_b")
+    An edge's class is the power of two that its length does not exceed, so it touches two buckets of that width at most;
+    a site is looked up in one bucket of each class there is (64 at most). Empty edges cover nothing.
+    """
+    width = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    size = F.col("right") - F.col("left")
+    classed = edges.where("left < right").withColumn("_k", F.when(size > 1, F.length(F.bin(size - 1))).otherwise(0).cast("int"))
+    classes = [r["_k"] for r in classed.select("_k").distinct().collect()]  # at most 64 numbers
+    a = sites.withColumn("_k", F.explode(F.array(*map(F.lit, classes)).cast("array<int>"))).withColumn("_b", F.floor(F.col("bp") / width(F.col("_k"))))
+    b = classed.withColumn("_b", F.explode(F.sequence(F.floor(F.col("left") / width(F.col("_k"))), F.floor((F.col("right") - 1) / width(F.col("_k"))))))
+    return a.join(b, ["chr", "_k", "_b"]).where("bp >= left and bp < right").drop("_k", "_b")
 
 
 def simplify(edges: DataFrame, samples: DataFrame, generations: list[int], write) -> DataFrame:
@@ -52,21 +55,40 @@ def descend(mutations: DataFrame, edges: DataFrame) -> DataFrame:
     return mutations.join(down, ["chr", "node"]).where("bp >= left and bp < right").select("chr", F.col("child").alias("node"), "bp")
 
 
-def carry_down(begun: DataFrame, edges: DataFrame, keys: list[str], generations: list[int], write) -> DataFrame:
+def carry_down(begun: DataFrame, edges: DataFrame, keys: list[str], generations: list[int], write, samples: DataFrame | None = None) -> DataFrame:
     """chr, node and `keys` (bp among them), each once: what begins at nodes, and all that covering edges pass on to children.
 
     `begun` has gen as well: the generation in which a row is there first. In a generation's turn, oldest first, children
-    get what their parents had before it, where the edge covers bp. `write(df, name)` cuts lineage after each one.
+    get what their parents had before it, where the edge covers bp. `write(df, name)` cuts lineage after each one. With a
+    number of the mutation among `keys`, repeated hits of one position stay apart.
+
+    With `samples` (node) only their rows come out, and a node's rows are dropped after the last generation in which it is
+    a parent: what is held is what later generations can still inherit. Edges stored by generation are read once.
     """
-    held = None
+    last = None if samples is None else write(edges.groupBy("chr", F.col("parent").alias("node")).agg(F.max("gen").alias("_last")), "last")
+    held, out, rows = None, [], [*keys, "chr", "node"]
     for g in generations:
-        here = begun.where(F.col("gen") == g).select(*keys, "chr", "node")
+        here = begun.where(F.col("gen") == g).select(*rows)
         if held is not None:
             down = edges.where(F.col("gen") == g).select("chr", F.col("parent").alias("node"), "child", "left", "right")
             passed = held.join(down, ["chr", "node"]).where("bp >= left and bp < right").select(*keys, "chr", F.col("child").alias("node"))
             here = held.unionByName(here).unionByName(passed)
-        held = write(here.distinct(), f"held{g}")
-    return held if held is not None else begun.select(*keys, "chr", "node").distinct()
+        here = here.distinct()
+        if last is not None:
+            here = here.join(last, ["chr", "node"], "left").withColumn("_live", F.coalesce(F.col("_last") > g, F.lit(False))).drop("_last")
+        held = write(here, f"held{g}")
+        if last is not None:
+            out.append(held.where("not _live").select(*rows).join(samples.select("node").distinct(), "node", "left_semi"))
+            held = held.where("_live").select(*rows)
+    if held is None:
+        none = begun.select(*rows).distinct()
+        return none if samples is None else none.join(samples.select("node").distinct(), "node", "left_semi")
+    if last is None:
+        return held
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every.select(*rows).distinct()
 
 
 def merged_sites(trait: DataFrame, neutral: DataFrame) -> DataFrame:

@@ -68,3 +68,31 @@ def beta(a: float, b: float, key: Column, seed: int, maf_min: float = 0.0) -> Co
     )
     fit = F.filter(F.transform(F.filter(tries, lambda t: (t["x"] + t["y"] <= 1) & (t["x"] + t["y"] > 0)), lambda t: t["x"] / (t["x"] + t["y"])), lambda p: F.least(p, 1 - p) >= maf_min)
     return F.coalesce(F.get(fit, F.lit(0)), F.raise_error(F.lit("no Beta draw was accepted")).cast("double"))
+
+
+def frequency(kind: str, key: Column, seed: int, maf_min: float = 0.0, theta: float = 0.0, back: float | None = None, p: float = 0.5) -> Column:
+    """First frequencies by kind, with at least that minor frequency.
+
+    `beta`: Beta(theta, theta), a half for theta 0; `beta_asymmetric`: Beta(theta, back), the forward and backward rates
+    scaled by 4 Ne; `uniform`: even between the least frequencies; `fixed`: p for all, an error if it is too rare. An
+    empirical spectrum has no source here and is an error, as are other kinds.
+    """
+    if kind == "beta":
+        return beta(theta, theta, key, seed, maf_min)
+    if kind == "beta_asymmetric":
+        return beta(theta, theta if back is None else back, key, seed, maf_min)
+    if kind == "uniform":
+        return maf_min + uniform(seed, "u", key) * (1 - 2 * maf_min)
+    if kind == "fixed":
+        if not 0 <= p <= 1 or (maf_min > 0 and min(p, 1 - p) < maf_min):
+            raise ValueError(f"frequency {p} is not allowed with a least one of {maf_min}")
+        return F.lit(float(p))
+    raise ValueError(f"no source of frequencies: {kind}")
+
+
+def chromosome_ranges(variants: DataFrame, n_chr: int) -> DataFrame:
+    """chr, first, last, n_sites, n_qtl for chromosomes 1 to n_chr; 0 and -1 where one has no site."""
+    found = variants.groupBy("chr").agg(F.min("slot").alias("_f"), F.max("slot").alias("_l"), F.count(F.lit(1)).alias("_n"), F.count_if("is_qtl").alias("_q"))
+    every = variants.sparkSession.range(1, n_chr + 1).select(F.col("id").cast("int").alias("chr"))
+    none = lambda c, v: F.coalesce(c, F.lit(v)).cast("long")
+    return every.join(found, "chr", "left").select("chr", none(F.col("_f"), 0).alias("first"), none(F.col("_l"), -1).alias("last"), none(F.col("_n"), 0).alias("n_sites"), none(F.col("_q"), 0).alias("n_qtl"))

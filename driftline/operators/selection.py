@@ -216,3 +216,12 @@ def selection_tests(points: DataFrame, axis: str = "within", level: float = 0.05
         ((F.col("_rho") - F.col("_mr")) / F.when(F.col("_sr") > 1e-30, F.col("_sr"))).alias("rho_z"), F.when(F.col("_rho").isNotNull() & (F.col("_n") > 0), F.col("_rho_p")).alias("rho_p"),
         "gate", "gate_p", F.sqrt(F.pow("_zr", 2) + F.pow("_zd", 2)).alias("radial"), "plane", "plane_p", "line", "line_p", F.col("_dir").alias("dir"), dir_z.alias("dir_z"), "dir_p", label.alias("class"), by_dir.alias("class_dir"),
     )
+
+
+def every_scope(tests: DataFrame, sites: DataFrame, windows: tuple[float, ...]) -> DataFrame:
+    """`selection_tests` with a row for each scope there is: without enough sites a scope has their number, no permutations,
+    null statistics and neutral classes."""
+    scopes = ["genome", "within", *map(scope_name, windows)]
+    named = sites.agg(F.count(F.lit(1)).alias("_n")).select(F.explode(F.array(*map(F.lit, scopes))).alias("scope"), "_n")
+    full = named.join(tests, "scope", "left")
+    return full.withColumns({"n_loci": F.coalesce("n_loci", "_n"), "n_perm": F.coalesce("n_perm", F.lit(0)), "class": F.coalesce("class", F.lit("neutral")), "class_dir": F.coalesce("class_dir", F.lit("neutral"))}).drop("_n")

@@ -49,3 +49,20 @@ def weighted_parent(draws: DataFrame, weights: DataFrame, u: str = "u", by: str
     asked = draws.join(F.broadcast(total), by).select(by, (F.col(u) * F.col("_total")).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_ind"), F.col("draw").cast("long"))
     both = ranges.next_known(points.union(asked), [by], ["_at", "_kind", "_ind"], "_ind", "parent")
     return both.where("_kind = 0").select(by, "draw", "parent")
+
+
+def layout(demography: str, n: int, grid: int, begun: bool = True) -> tuple[int, int]:
+    """How many demes a population has and how many individuals each: one deme of n if all mix, grid * grid of n each on a
+    grid. A grid that is recent starts, while not `begun`, as one deme of all its individuals."""
+    if demography == "panmictic":
+        return 1, n
+    if demography == "twoD_perp" or (demography == "twoD_recent" and begun):
+        return grid * grid, n
+    if demography == "twoD_recent":
+        return 1, n * grid * grid
+    raise ValueError(f"no demography: {demography}")
+
+
+def deme_of(individual: Column, per_deme: int) -> Column:
+    """The deme, from 1, of an individual counted from 1: individuals of a deme follow one another."""
+    return (F.floor((individual - 1) / per_deme) + 1).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.genetics import bulmer
@@ -44,6 +44,28 @@ def bulmer_per_deme(hap: DataFrame, variants: DataFrame) -> DataFrame:
     return va.join(genic_variance(hap, variants, ["deme"]), "deme").withColumn("b", bulmer(F.col("va"), F.col("genic")))
 
 
+def final_summary(hap: DataFrame, variants: DataFrame, noise: Column) -> DataFrame:
+    """One row of a population's end: mean_a, var_a, genic, b, var_pheno and h2 as averages over demes by their sizes, the
+    same pooled (var_a_pooled, genic_pooled, b_pooled), n_polymorphic, and of trait sites that vary their number, the mean
+    square of effects and their mean size. `noise` is an individual's environment, from ind_id; without individuals all
+    is null or 0.
+    """
+    values = breeding_values(hap, variants)
+    per = values.withColumn("_z", F.col("a") + noise).groupBy("deme").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("m"), F.coalesce(F.var_samp("a"), F.lit(0.0)).alias("va"), F.coalesce(F.var_samp("_z"), F.lit(0.0)).alias("vz"))
+    per = per.join(genic_variance(hap, variants, ["deme"]), "deme").withColumn("b", bulmer(F.col("va"), F.col("genic")))
+    over = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    demes = per.agg(over("m").alias("mean_a"), over("va").alias("var_a"), over("genic").alias("genic"), over("b").alias("b"), over("vz").alias("var_pheno")).withColumn("h2", F.when(F.col("var_pheno") > 0, F.col("var_a") / F.col("var_pheno")).otherwise(0.0))
+    pooled = values.agg(F.var_samp("a").alias("var_a_pooled"))
+    p = allele_frequency(hap, variants).join(variants.select("slot", "is_qtl", "alpha"), "slot")
+    varies = (F.col("p") > 1e-12) & (F.col("p") < 1 - 1e-12)
+    of = lambda value: F.coalesce(F.avg(F.when(varies & F.col("is_qtl"), value)), F.lit(0.0))
+    sites = p.agg(
+        F.sum(F.when(F.col("is_qtl"), 2 * F.col("p") * (1 - F.col("p")) * F.col("alpha") * F.col("alpha"))).alias("genic_pooled"), F.count_if(varies).alias("n_polymorphic"),
+        F.count_if(varies & F.col("is_qtl")).alias("n_qtl_polymorphic"), of(F.col("alpha") * F.col("alpha")).alias("mean_alpha_sq"), of(F.abs("alpha")).alias("mean_abs_alpha"),
+    )
+    return demes.crossJoin(pooled).crossJoin(sites).withColumn("b_pooled", F.when(F.col("genic_pooled") > 0, (F.col("var_a_pooled") - F.col("genic_pooled")) / F.col("genic_pooled")).otherwise(0.0))  # one row each
+
+
 def polymorphic_count(freq: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     return freq.agg(F.count_if((F.col("p") > tolerance) & (F.col("p") < 1 - tolerance)).alias("n_polymorphic"))
 

@@ -121,12 +121,12 @@ def _recap(s: SparkSession, d: str) -> DataFrame:
 
 def recap_genotypes(s: SparkSession, d: str) -> DataFrame:
     """A third of the suppliers' sites as active trait sites, placed on the genealogy: the samples that carry each one at first."""
-    slots, e = _recap(s, d), views.edges(s, d)
+    slots, e = _recap(s, d), state.written_by(views.edges(s, d), "edges", "gen")
     active = slots.where("active").select(F.col("slot").alias("site"), "chr", "bp")
     chosen = ancestry.branch_choice(ancestry.covering_edges(active, e), uniform(2, "branch", F.col("site")), F.col("gen"))
     begun = state.written(chosen.select("gen", "site", "chr", F.col("child").alias("node"), "bp"), "branches")
     samples = views.table(s, d, "part").select(F.col("p_partkey").alias("node"))
-    carried = ancestry.carry_down(begun, e, ["site", "bp"], _generations(e), state.written).join(samples, "node", "left_semi")
+    carried = ancestry.carry_down(begun, e, ["site", "bp"], _generations(e), state.written, samples)
     per = carried.groupBy(F.col("site").alias("slot")).agg(F.count(F.lit(1)).alias("carriers"), F.sum("node").alias("nodes"))
     return c._rounded(slots.join(per, "slot", "left").select("slot", "chr", "bp", "is_qtl", "active", "alpha", F.coalesce("carriers", F.lit(0)).alias("carriers"), F.coalesce("nodes", F.lit(0)).alias("nodes")), "alpha")
 

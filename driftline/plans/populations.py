@@ -159,13 +159,12 @@ def _generations(edges: DataFrame) -> list[int]:
 
 def overlay_samples(s: SparkSession, d: str) -> DataFrame:
     """Neutral mutations on all edges, carried down generation by generation: how many distinct ones each part has."""
-    e = views.edges(s, d)
+    e = state.written_by(views.edges(s, d), "edges", "gen")
     key = [F.col(k) for k in ("gen", "chr", "parent", "child", "left")]
     made = ancestry.overlay_mutations(e, poisson(uniform(4, "m", *key), 0.5), F.col("left") + F.floor(uniform(4, "p", *key, F.col("i")) * (F.col("right") - F.col("left"))))
     made = state.written(made.select("gen", "chr", F.col("child").alias("node"), "bp"), "mutations")
-    carried = ancestry.carry_down(made, e, ["bp"], _generations(e), state.written)
     samples = views.table(s, d, "part").select(F.col("p_partkey").alias("node"))
-    return carried.join(samples, "node", "left_semi").groupBy("chr", "node").agg(F.count(F.lit(1)).alias("mutations"))
+    return ancestry.carry_down(made, e, ["bp"], _generations(e), state.written, samples).groupBy("chr", "node").agg(F.count(F.lit(1)).alias("mutations"))
 
 
 def _descent_sql(seed: str, label: str) -> str:
@@ -190,7 +189,7 @@ x AS (SELECT *, unnest(range(1, k + 1)) AS i FROM n), m AS (SELECT gen, chr, chi
 
 def branch_carriers(s: SparkSession, d: str) -> DataFrame:
     """A branch for each supplier's site, and the nodes below it that carry the site."""
-    e = views.edges(s, d)
+    e = state.written_by(views.edges(s, d), "edges", "gen")
     chosen = ancestry.branch_choice(ancestry.covering_edges(c._sites(s, d), e), uniform(2, "branch", F.col("site")), F.col("gen"))
     begun = state.written(chosen.select("gen", "site", "chr", F.col("child").alias("node"), "bp"), "branches")
     return ancestry.carry_down(begun, e, ["site", "bp"], _generations(e), state.written).select("site", "chr", "node")

@@ -18,6 +18,27 @@ def write_snapshot(path: str, hap: DataFrame, variants: DataFrame) -> None:
     _write(hap.where("allele = 1").join(variants.select("slot", "chr"), "slot").select("chr", "hap_id", "slot"), f"{path}/carriers", "chr")
 
 
+def write_header(path: str, hap: DataFrame, variants: DataFrame, chr_len: int, grid: int) -> None:
+    """What a snapshot holds, beside it: counts of haplotypes, individuals, sites, trait and active sites from the tables
+    themselves, the side of the grid, and each chromosome's length and first and last slot. Demes are counted only on a grid.
+    """
+    carried = hap.where("allele = 1").select("slot").distinct().withColumn("_a", F.lit(1))
+    sites = variants.join(carried, "slot", "left").agg(F.count(F.lit(1)).alias("sites"), F.count_if("is_qtl").alias("trait_sites"), F.count("_a").alias("active_sites"))
+    people = hap.select("hap_id", "ind_id", "deme").distinct().agg(F.count(F.lit(1)).alias("haplotypes"), F.count_distinct("ind_id").alias("individuals"), (F.count_distinct("deme") if grid > 1 else F.lit(1)).alias("demes"))
+    chromosomes = variants.groupBy("chr").agg(F.min("slot").alias("first"), F.max("slot").alias("last")).withColumn("length", F.lit(chr_len))
+    _write(sites.crossJoin(people).withColumn("grid", F.lit(grid)), f"{path}/header")  # one row each
+    _write(chromosomes, f"{path}/chromosomes")
+
+
+def read_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The row of counts, which must be those of the stored tables, and the chromosomes."""
+    header = spark.read.parquet(f"{path}/header")
+    stored = spark.read.parquet(f"{path}/variants").agg(F.count(F.lit(1)).alias("_s")).crossJoin(spark.read.parquet(f"{path}/haplotypes").agg(F.count(F.lit(1)).alias("_h")))
+    same = (F.col("sites") == F.col("_s")) & (F.col("haplotypes") == F.col("_h"))
+    told = header.crossJoin(stored).withColumn("sites", F.when(same, F.col("sites")).otherwise(F.raise_error(F.lit("header and snapshot differ")).cast("long"))).drop("_s", "_h")  # one row each
+    return told, spark.read.parquet(f"{path}/chromosomes")
+
+
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Variants with `active` (a slot is active if any haplotype carries it), haplotypes, and carriers (hap_id, slot)."""
     carriers = spark.read.parquet(f"{path}/carriers").select("hap_id", "slot")
@@ -62,6 +83,21 @@ def write_summary(path: str, table: DataFrame, by: str) -> None:
     rows.write.option("sep", "\t").option("header", True).csv(path)
 
 
+def write_keys(path: str, tables: dict[str, DataFrame], by: dict[str, str] | None = None) -> None:
+    """Small tables as one file of key and value: `name.column` of a table of one row, or `name.value.column` for each value of
+    its column in `by`; a name of no letters is left out. Nulls of numbers are written as NaN, of others as nothing.
+    """
+    rows = None
+    for name, table in tables.items():
+        one = (by or {}).get(name)
+        columns = [c for c in table.columns if c != one]
+        text = lambda c, kind: F.when(F.col(c).isNotNull(), F.col(c).cast("string")).otherwise("NaN" if kind in ("double", "float") else "")
+        long = table.select(*([one] if one else []), *[text(c, kind).alias(c) for c, kind in table.dtypes if c != one]).unpivot([one] if one else [], columns, "_c", "value")
+        part = long.select(F.concat_ws(".", *([F.lit(name)] if name else []), *([one] if one else []), "_c").alias("key"), "value")
+        rows = part if rows is None else rows.unionByName(part)
+    rows.coalesce(1).sortWithinPartitions("key").write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+
+
 def read_summary(spark: SparkSession, paths: list[str]) -> DataFrame:
     """source, key, value (text) of summaries; `source` is the last part of a path."""
     rows = spark.read.csv(paths, sep="\t", header=True, schema="key string, value string")

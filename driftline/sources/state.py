@@ -27,3 +27,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """The same rows, written in a folder for each of the column's few values, so that one value is read by itself."""
+    path = new_folder(df.sparkSession, name)
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import ancestry, gram, initial, ranges, selection
-from driftline.sources import state
+from driftline.sources import archive, state
 
 
 def population(spark, p=6, n=40, demes=2, seed=1):
@@ -66,6 +66,17 @@ def test_fewer_than_three_sites_give_no_rows(spark):
     assert selection.sign_flip_points(geno, sites.where("slot <= 2"), (40.0,), 100, 5).count() == 0
 
 
+def test_every_scope_has_a_row_without_enough_sites(spark, tmp_path):
+    _, _, geno, sites = population(spark)
+    few = sites.where("slot <= 2")
+    tests = selection.every_scope(selection.selection_tests(selection.sign_flip_points(geno, few, (40.0,), 100, 5)), few, (40.0,))
+    rows = {r.scope: r for r in tests.collect()}
+    assert set(rows) == {"genome", "within", "win_40pct"} and all(r.n_loci == 2 and r.n_perm == 0 and r.b is None and r.rho_p is None and r["class"] == r.class_dir == "neutral" for r in rows.values())
+    archive.write_keys(str(tmp_path / "few"), {"": tests.select("scope", "n_loci", "b", "class")}, {"": "scope"})
+    read = {r.key: r.value for r in archive.read_summary(spark, [str(tmp_path / "few")]).collect()}
+    assert read["genome.b"] == "NaN" and read["within.n_loci"] == "2" and read["win_40pct.class"] == "neutral"
+
+
 def test_four_sites_have_b_but_no_rho(spark):
     _, _, geno, sites = population(spark)
     row = selection.selection_tests(selection.sign_flip_points(geno, sites.where("slot <= 4"), (), 100, 10)).where("scope = 'genome'").first()
