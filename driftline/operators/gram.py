@@ -50,7 +50,9 @@ def products(cells: DataFrame, places: DataFrame, write) -> DataFrame:
         x[group.column("row").to_numpy(), group.column("at").to_numpy()] = group.column("x").to_numpy()
         return pa.table({"block": group.column("block")[:1], "tile": group.column("tile")[:1], "content": pa.array([x.tobytes()], pa.binary())})
 
-    tiles = write(placed.select("block", "tile", "row", "at", "x").groupBy("block", "tile").applyInArrow(dense, "block int, tile int, content binary"), "tiles")
+    # numbers of partitions are given, since a few small rows are much work here
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = write(placed.select("block", "tile", "row", "at", "x").repartition(parts, "block", "tile").groupBy("block", "tile").applyInArrow(dense, "block int, tile int, content binary"), "tiles")
     other = tiles.select("block", F.col("tile").alias("b"), F.col("content").alias("right"))
     both = tiles.select("block", F.col("tile").alias("a"), F.col("content").alias("left")).join(other, "block").where("a <= b")
 
@@ -68,7 +70,7 @@ def products(cells: DataFrame, places: DataFrame, write) -> DataFrame:
         if key is not None:
             yield _row(key, total)
 
-    return both.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(add, "a int, b int, content binary")
+    return both.repartition(parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(add, "a int, b int, content binary")
 
 
 def _row(key: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:

@@ -41,22 +41,24 @@ def sign_row(key: object, n_perm: int, seed: int) -> np.ndarray:
     return np.array(flips, "i1")
 
 
-_SIDE = "tile int, chr array<int>, bp array<int>, alpha array<double>, p array<double>, of array<int>, signs binary"
-
-
 def _sides(places: DataFrame, n_perm: int, seed: int) -> DataFrame:
-    """A row for each tile: its sites in order, and the signs of its keys as bits; `of` says whose key is a site's."""
+    """A row for each tile: its sites in order with their keys, and the signs of each site as bits.
+
+    Signs are drawn once for each key, dealt evenly over tasks: they cost more than their bytes tell.
+    """
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def side(group: pa.Table) -> pa.Table:
-        group = group.sort_by("at")
-        keys, of = np.unique(np.array(group.column("key").to_pylist(), object), return_inverse=True)
-        bits = np.packbits(np.stack([sign_row(k, n_perm, seed) for k in keys]) > 0, axis=1)
-        lists = {c: pa.array([group.column(c).to_pylist()]) for c in ("chr", "bp", "alpha", "p")}
-        return pa.table({"tile": group.column("tile")[:1], **lists, "of": pa.array([of.tolist()], pa.list_(pa.int32())), "signs": pa.array([bits.tobytes()])}).cast(schema)
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            bits = [np.packbits(sign_row(k, n_perm, seed) > 0).tobytes() for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(bits, pa.binary())], names=["key", "bits"])
 
-    schema = to_arrow_schema(T.StructType.fromDDL(_SIDE))
-    columns = places.select("tile", "at", F.col("chr").cast("int"), F.col("bp").cast("int"), F.col("alpha").cast("double"), F.col("p").cast("double"), F.col("key").cast("string").alias("key"))
-    return columns.groupBy("tile").applyInArrow(side, _SIDE)
+    keyed = places.withColumn("key", F.col("key").cast("string"))
+    drawn = keyed.select("key").distinct().repartition(parts, "key").mapInArrow(draw, "key string, bits binary")
+    site = F.struct("at", F.col("chr").cast("int").alias("chr"), F.col("bp").cast("int").alias("bp"), F.col("alpha").cast("double").alias("alpha"), F.col("p").cast("double").alias("p"), "key", "bits")
+    rows = keyed.join(drawn, "key").groupBy("tile").agg(F.array_sort(F.collect_list(site)).alias("_s"))
+    return rows.select("tile", *[F.col(f"_s.{c}").alias(c) for c in ("chr", "bp", "alpha", "p", "key", "bits")])
 
 
 class _Tile:
@@ -99,15 +101,19 @@ class _Tile:
 
 
 class _Side:
+    """The sites of one tile: where they are, their effects and frequencies, and the signs of their distinct keys."""
+
     def __init__(self, row: dict, mark: str, n_perm: int):
-        self.chr, self.bp, self.of = (np.array(row[f"{c}_{mark}"], "i8") for c in ("chr", "bp", "of"))
+        self.chr, self.bp = (np.array(row[f"{c}_{mark}"], "i8") for c in ("chr", "bp"))
         self.alpha, self.p = (np.array(row[f"{c}_{mark}"], "f8") for c in ("alpha", "p"))
-        bits = np.frombuffer(row[f"signs_{mark}"], "u1").reshape(self.of.max() + 1, -1)
+        keys = row[f"key_{mark}"]
+        number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+        self.of = np.array([number[k] for k in keys])
+        self.plain = len(number) == len(keys)
+        first = {k: i for i, k in reversed(list(enumerate(keys)))}
+        bits = np.frombuffer(b"".join(row[f"bits_{mark}"][first[k]] for k in number), "u1").reshape(len(number), -1)
         self.signs = np.unpackbits(bits, axis=1, count=n_perm + 1) * 2.0 - 1.0
-        self.plain = len(self.signs) == len(self.of)
-        self.members = np.eye(len(self.signs))[self.of]
-        if self.plain:
-            self.signs, self.of = self.signs[self.of], np.arange(len(self.of))
+        self.members = None if self.plain else np.eye(len(number))[self.of]
 
 
 _SUMS = "scope string, perm int, n long, va double, n_x long, x double, y double, xx double, yy double, xy double, b double, d double"
@@ -142,18 +148,19 @@ def sign_flip_points(geno: DataFrame, sites: DataFrame, windows: tuple[float, ..
 
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "content"}
                 if row["a"] != now:
                     if tile is not None:
                         yield told()
                     now, tile = row["a"], _Tile(row, n_perm, scopes)
-                r = np.frombuffer(row["content"], "f8").reshape(size, size)
+                r = np.frombuffer(batch.column("content")[k].as_buffer(), "f8").reshape(size, size)
                 tile.add(r.T if row["turned"] else r, _Side(row, "b", n_perm), row["a"] == row["b"])
         if tile is not None:
             yield told()
 
     schema, size = to_arrow_schema(T.StructType.fromDDL(_SUMS)), gram.TILE
-    sums = both.repartition("a").sortWithinPartitions("a", "b").mapInArrow(run, _SUMS)
+    parts = int(geno.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = both.repartitionByRange(parts, "a").sortWithinPartitions("a", "b").mapInArrow(run, _SUMS)
     names = [c for c in sums.columns if c not in ("scope", "perm")]
     total = sums.groupBy("scope", "perm").agg(*[F.sum(c).alias(c) for c in names]).where("n >= 3")
     vx, vy = F.col("xx") - F.col("x") * F.col("x") / F.col("n_x"), F.col("yy") - F.col("y") * F.col("y") / F.col("n_x")
