@@ -149,7 +149,7 @@ register(
 
 def ld_covariance(s: SparkSession, d: str) -> DataFrame:
     geno, sites = _ld(s, d)
-    return _rounded(ld.covariances(geno, ld.scope_pairs(sites).where("in_window")), "cov")
+    return _rounded(ld.covariances(geno, sites, views.CHR_LEN / 4, state.written), "cov")
 
 
 register(
@@ -519,7 +519,7 @@ SELECT site, gen, parent, child FROM k WHERE k = 1""",
 
 def simplify_reachability(s: SparkSession, d: str) -> DataFrame:
     """Edges above the small parts, generation by generation; counted by generation and chromosome."""
-    made = views.edges(s, d)
+    made = state.written_by(views.edges(s, d), "edges", "gen")
     samples = views.table(s, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("node")).crossJoin(F.broadcast(made.select("chr").distinct()))  # a row a chromosome
     generations = [r["gen"] for r in made.select("gen").distinct().orderBy(F.desc("gen")).collect()]  # line numbers: at most seven
     kept = ancestry.simplify(made, samples, generations, state.written)
@@ -671,7 +671,7 @@ SELECT count(*) AS n_standing, count(*) FILTER (WHERE p2 > 0 AND p2 < 1) AS n_al
 
 def haplotype_r2(s: SparkSession, d: str) -> DataFrame:
     hap, variants = _genotypes(s, d)
-    return _rounded(ld.haplotype_r2(hap, ld.scope_pairs(ld.trait_sites(hap, variants)).where("in_window and j < k")), "r2")
+    return _rounded(ld.haplotype_r2(hap, ld.trait_sites(hap, variants), views.CHR_LEN / 4, state.written), "r2")
 
 
 register(

@@ -44,9 +44,9 @@ def branch_choice(covering: DataFrame, u: Column, length: Column) -> DataFrame:
 
 
 def overlay_mutations(edges: DataFrame, count: Column, position: Column) -> DataFrame:
-    """chr, gen, child, bp of neutral mutations: `count` of them on an edge, `position` from the edge and the number i."""
+    """chr, gen, parent, child, i, bp of neutral mutations: `count` of them on an edge, `position` from the edge and the number i."""
     drawn = edges.withColumn("_n", count).where("_n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return drawn.select("chr", "gen", "parent", "child", position.alias("bp"))
+    return drawn.select("chr", "gen", "parent", "child", "i", position.alias("bp"))
 
 
 def descend(mutations: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.rng import sign
+from driftline.operators import gram
 from driftline.operators.stats import allele_frequency
 
-SCOPES = ("genome", "within", "win_50pct")
-
 
 def trait_sites(hap: DataFrame, variants: DataFrame, maf_min: float = 0.01) -> DataFrame:
     """slot, chr, bp, alpha, p of trait sites with an effect and a minor allele; without a least share, any that vary."""
@@ -28,12 +27,15 @@ def scope_pairs(sites: DataFrame, window: float = 0.5, chr_len: int = 100_000) -
     return pairs.withColumn("in_window", F.abs(F.col("bp") - F.col("bp2")) <= window * chr_len / 2)
 
 
-def covariances(geno: DataFrame, pairs: DataFrame) -> DataFrame:
-    """deme, j, k, cov: sample covariance of dosages within demes for the pairs asked for."""
-    a = geno.select("ind_id", "deme", F.col("slot").alias("j"), F.col("g").alias("x"))
-    b = geno.select("ind_id", "deme", F.col("slot").alias("k"), F.col("g").alias("y"))
-    wanted = F.broadcast(pairs.select("j", "k"))  # trait sites of one chromosome: bounded by the panel of variants
-    return a.join(wanted, "j").join(b, ["ind_id", "deme", "k"]).groupBy("deme", "j", "k").agg(F.covar_samp("x", "y").alias("cov"))
+def covariances(geno: DataFrame, sites: DataFrame, near: float, write) -> DataFrame:
+    """deme, j, k, cov: sample covariances of dosages within demes of two or more, for ordered pairs of different sites of one
+    chromosome at most `near` apart. Products come as tiles along the chromosomes; only tiles in reach of each other meet."""
+    cells = geno.join(sites.select("slot"), "slot", "left_semi")
+    means = cells.groupBy("deme", "slot").agg(F.avg("g").alias("_m"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    scaled = cells.join(means, ["deme", "slot"]).select("deme", "ind_id", "slot", ((F.col("g") - F.col("_m")) / F.sqrt(F.col("_n") - 1)).alias("x"))
+    places = write(gram.numbered(sites), "places")
+    half = write(gram.pairs(gram.products(scaled, places, write, "deme", near), places, "deme", near), "covariances")
+    return half.select("deme", "j", "k", F.col("r").alias("cov")).unionByName(half.select("deme", F.col("k").alias("j"), F.col("j").alias("k"), F.col("r").alias("cov")))
 
 
 def scope_values(geno: DataFrame, sites: DataFrame, perm: DataFrame | None = None) -> DataFrame:
@@ -143,10 +145,15 @@ def response(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n_standing"), F.count_if((F.col("p2") > 0) & (F.col("p2") < 1)).alias("n_alive"), F.sum(2 * F.col("alpha") * (F.col("p2") - F.col("p"))).alias("d_mean_a"), F.avg("d").alias("d_p"), F.avg(F.abs("d")).alias("mean_abs"))
 
 
-def haplotype_r2(hap: DataFrame, pairs: DataFrame) -> DataFrame:
-    """j, k, r2: D**2 / (p1 q1 p2 q2) of two sites over haplotypes; null where one does not vary."""
-    a = hap.select("hap_id", F.col("slot").alias("j"), F.col("allele").alias("x")).join(F.broadcast(pairs.select("j", "k")), "j")
-    both = a.join(hap.select("hap_id", F.col("slot").alias("k"), F.col("allele").alias("y")), ["hap_id", "k"])
-    m = both.groupBy("j", "k").agg(F.avg(F.col("x") * F.col("y")).alias("pxy"), F.avg("x").alias("px"), F.avg("y").alias("py"))
+def haplotype_r2(hap: DataFrame, sites: DataFrame, near: float, write) -> DataFrame:
+    """j, k, r2: D**2 / (p1 q1 p2 q2) over haplotypes, for pairs j < k of sites (slot, chr, bp, p) of one chromosome at most
+    `near` apart; null where one does not vary. The share of haplotypes that have both is a product of tiles."""
+    n = F.broadcast(hap.agg(F.count_distinct("hap_id").alias("_n")))  # one row
+    cells = hap.where("allele = 1").join(sites.select("slot"), "slot", "left_semi").crossJoin(n).select(F.col("hap_id").alias("ind_id"), "slot", (1 / F.sqrt("_n")).alias("x"))
+    places = write(gram.numbered(sites), "places")
+    both = gram.pairs(gram.products(cells, places, write, near=near), places, near=near)
+    side = lambda k, p: sites.select(F.col("slot").alias(k), F.col("p").alias(p))
+    m = both.join(side("j", "px"), "j").join(side("k", "py"), "k")
     room = F.col("px") * (1 - F.col("px")) * F.col("py") * (1 - F.col("py"))
-    return m.select("j", "k", F.when(room > 0, F.pow(F.col("pxy") - F.col("px") * F.col("py"), 2) / room).alias("r2"))
+    r2 = F.when(room > 0, F.pow(F.col("r") - F.col("px") * F.col("py"), 2) / room)
+    return m.select(F.least("j", "k").alias("j"), F.greatest("j", "k").alias("k"), r2.alias("r2"))

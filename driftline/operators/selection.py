@@ -67,9 +67,11 @@ class _Tile:
     def __init__(self, row: dict, n_perm: int, scopes: list[tuple[str, float | None]]):
         self.n_perm, self.scopes, self.side = n_perm, scopes, _Side(row, "a", n_perm)
         self.sums = [np.zeros((len(self.side.alpha), n_perm + 1)) for _ in scopes]
+        self.totals: list[np.ndarray] | None = None
         self.variances = np.zeros(len(self.side.alpha))
 
-    def add(self, r: np.ndarray, other: _Side, own: bool) -> None:
+    def add(self, r: np.ndarray, other: _Side, own: bool, q: np.ndarray | None = None) -> None:
+        """Adds a tile of covariances; with correlations q partner sums are of these, and covariances only make totals."""
         mine = self.side
         w = r[: len(mine.alpha), : len(other.alpha)] * mine.alpha[:, None] * other.alpha[None]
         if own:
@@ -77,11 +79,19 @@ class _Tile:
             w = w - np.diag(self.variances)
         same = mine.chr[:, None] == other.chr[None]
         distance = np.abs(mine.bp[:, None] - other.bp[None])
-        for sums, (name, reach) in zip(self.sums, self.scopes, strict=True):
-            kept = w if name == "genome" else w * (same if reach is None else same & (distance <= reach))
+        scale = mine.alpha[:, None] * other.alpha[None]
+        partners = w if q is None else q[: len(mine.alpha), : len(other.alpha)] * scale * (1 - np.eye(len(mine.alpha)) if own else 1)
+        if q is not None and self.totals is None:
+            self.totals = [np.zeros(self.n_perm + 1) for _ in self.scopes]
+        # sites that share their signs are one column of the product
+        flipped = lambda kept: (kept if other.plain else kept @ other.members) @ other.signs
+        for k, (name, reach) in enumerate(self.scopes):
+            mask = 1 if name == "genome" else same if reach is None else same & (distance <= reach)
+            kept = partners * mask
             if kept.any():
-                # sites that share their signs are one column of the product
-                sums += (kept if other.plain else kept @ other.members) @ other.signs
+                self.sums[k] += flipped(kept)
+            if self.totals is not None:
+                self.totals[k] += (mine.signs[mine.of] * flipped(w * mask)).sum(0)
 
     def rows(self) -> Iterator[tuple]:
         """For each scope and permutation: sums over sites of b, d and the moments of x and y."""
@@ -90,14 +100,15 @@ class _Tile:
         y0 = np.clip(np.where(mine.alpha > 0, mine.p, 1 - mine.p), 0.005, 0.995)
         y = np.where(e > 0, y0[:, None], 1 - y0[:, None])
         d = (e * (mine.alpha * mine.p)[:, None]).sum(0)
-        for sums, (name, _) in zip(self.sums, self.scopes, strict=True):
+        for n_scope, (sums, (name, _)) in enumerate(zip(self.sums, self.scopes, strict=True)):
             b = e * sums
+            total = b.sum(0) if self.totals is None else self.totals[n_scope]
             sd = b[:, 1:].std(axis=1, ddof=1) if self.n_perm > 1 else np.zeros(len(b))
             known = sd >= LEAST_SD
             x, z = b[known] / sd[known, None], y[known]
             moments = (x.sum(0), z.sum(0), (x * x).sum(0), (z * z).sum(0), (x * z).sum(0))
             for k in range(self.n_perm + 1):
-                yield (name, k, len(b), float(self.variances.sum()), int(known.sum()), *(float(m[k]) for m in moments), float(b[:, k].sum()), float(d[k]))
+                yield (name, k, len(b), float(self.variances.sum()), int(known.sum()), *(float(m[k]) for m in moments), float(total[k]), float(d[k]))
 
 
 class _Side:
@@ -119,12 +130,13 @@ class _Side:
 _SUMS = "scope string, perm int, n long, va double, n_x long, x double, y double, xx double, yy double, xy double, b double, d double"
 
 
-def sign_flip_points(geno: DataFrame, sites: DataFrame, windows: tuple[float, ...], chr_len: int, n_perm: int, seed: int = 1, block_bp: int | None = None) -> DataFrame:
+def sign_flip_points(geno: DataFrame, sites: DataFrame, windows: tuple[float, ...], chr_len: int, n_perm: int, seed: int = 1, block_bp: int | None = None, correlation: bool = False) -> DataFrame:
     """scope, perm, n_loci, va, b, rho, dir: the observation (perm 0) and each sign-flip permutation in each scope.
 
     b is the off-diagonal sum over single-site variances; rho correlates studentized marginal effects with polarized
     frequencies over sites that have a null deviation (null with fewer than five); dir sums effects times frequencies.
-    With `block_bp` the sites of a block of positions share their signs. With fewer than three sites there are no rows.
+    With `block_bp` the sites of a block of positions share their signs; with `correlation` marginal effects are of
+    correlations within demes, so common and rare partners weigh alike. With fewer than three sites there are no rows.
 
     Covariances of sites come as tiles (`gram.products`). Permutations of a tile's sites are products of its row of tiles
     with signs, scopes are masks in a tile, and what leaves a task is a few sums for each scope and permutation. With
@@ -134,9 +146,14 @@ def sign_flip_points(geno: DataFrame, sites: DataFrame, windows: tuple[float, ..
     used = sites.join(cells.select("slot").distinct(), "slot", "left_semi").withColumn("key", F.col("slot") if block_bp is None else block_key(block_bp, chr_len))
     places = state.written(gram.numbered(used), "places")
     sides = state.written(_sides(places, n_perm, seed), "sides")
-    made = state.written(gram.products(cells, places, state.written), "products")
+    made = gram.products(cells, places, state.written)
+    if correlation:
+        also = gram.products(gram.within_demes(geno, sites, True), places, state.written)
+        made = made.join(also.withColumnRenamed("content", "also"), ["a", "b"], "left")
+    made = state.written(made, "products")
+    contents = [c for c in made.columns if c in ("content", "also")]
     marked = lambda m: sides.withColumnsRenamed({c: f"{c}_{m}" for c in sides.columns if c != "tile"} | {"tile": m})
-    turned = made.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "content", F.lit(True).alias("turned"))
+    turned = made.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), *contents, F.lit(True).alias("turned"))
     both = made.withColumn("turned", F.lit(False)).unionByName(turned).join(marked("a"), "a").join(marked("b"), "b")
     scopes: list[tuple[str, float | None]] = [("genome", None), ("within", None), *[(scope_name(w), w / 100 * chr_len / 2) for w in windows]]
 
@@ -148,13 +165,14 @@ def sign_flip_points(geno: DataFrame, sites: DataFrame, windows: tuple[float, ..
 
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "content"}
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c not in contents}
                 if row["a"] != now:
                     if tile is not None:
                         yield told()
                     now, tile = row["a"], _Tile(row, n_perm, scopes)
-                r = np.frombuffer(batch.column("content")[k].as_buffer(), "f8").reshape(size, size)
-                tile.add(r.T if row["turned"] else r, _Side(row, "b", n_perm), row["a"] == row["b"])
+                found = [np.frombuffer(batch.column(c)[k].as_buffer(), "f8").reshape(size, size) for c in contents]
+                r, q = ([r.T if row["turned"] else r for r in found] + [None])[:2]
+                tile.add(r, _Side(row, "b", n_perm), row["a"] == row["b"], q)
         if tile is not None:
             yield told()
 

@@ -59,6 +59,25 @@ register(
 )
 
 
+def _by_correlation(text: str) -> str:
+    """The SQL of points with marginal effects of correlations."""
+    changes = {
+        "covar_samp(x.g, y.g) AS c FROM": "covar_samp(x.g, y.g) AS c, CASE WHEN stddev_samp(x.g) > 0 AND stddev_samp(y.g) > 0 THEN corr(x.g, y.g) ELSE 0 END AS q FROM", "sum(n * c) / sum(n) AS r FROM": "sum(n * c) / sum(n) AS r, sum(n * q) / sum(n) AS rq FROM",
+        "a.alpha * b.alpha * r AS w,": "a.alpha * b.alpha * r AS w, a.alpha * b.alpha * rq AS wq,", "j, k, w FROM": "j, k, w, wq FROM", "sum(w * a.sign * b.sign) AS b FROM": "sum(w * a.sign * b.sign) AS b, sum(wq * a.sign * b.sign) AS bq FROM",
+        "stddev_samp(b) AS s": "stddev_samp(bq) AS s", "THEN b / s END AS x": "THEN bq / s END AS x",
+    }
+    for old, new in changes.items():
+        text = text.replace(old, new)
+    return text
+
+
+register(
+    "sign_flip_correlation",
+    lambda s, d: c._rounded(selection.sign_flip_points(*c._ld(s, d), WINDOWS, views.CHR_LEN, c.N_PERM, correlation=True), "va", "b", "rho", "dir"),
+    f"WITH {c.V}, {_by_correlation(_POINTS)} SELECT scope, perm::INTEGER AS perm, n_loci, {c._r('va')} AS va, {c._r('b')} AS b, {c._r('rho')} AS rho, {c._r('dir')} AS dir FROM pt",
+)
+
+
 def genotype_correlation(s: SparkSession, d: str) -> DataFrame:
     """Correlations of dosages of all pairs of sites that vary, over all individuals."""
     hap, variants = c._genotypes(s, d)
@@ -187,6 +206,26 @@ x AS (SELECT *, unnest(range(1, k + 1)) AS i FROM n), m AS (SELECT gen, chr, chi
 )
 
 
+def overlay_hits(s: SparkSession, d: str) -> DataFrame:
+    """The same mutations with repeated hits of one position apart: how many each part inherits on each chromosome."""
+    e = state.written_by(views.edges(s, d), "edges", "gen")
+    key = [F.col(k) for k in ("gen", "chr", "parent", "child", "left")]
+    made = ancestry.overlay_mutations(e, poisson(uniform(4, "m", *key), 0.5), F.col("left") + F.floor(uniform(4, "p", *key, F.col("i")) * (F.col("right") - F.col("left"))))
+    hit = F.concat_ws(":", "gen", "chr", "parent", "child", "i")
+    made = state.written(made.select("gen", "chr", F.col("child").alias("node"), "bp", hit.alias("hit")), "mutations")
+    samples = views.table(s, d, "part").select(F.col("p_partkey").alias("node"))
+    return ancestry.carry_down(made, e, ["bp", "hit"], _generations(e), state.written, samples).groupBy("chr", "node").agg(F.count(F.lit(1)).alias("hits"))
+
+
+register(
+    "overlay_hits",
+    overlay_hits,
+    f"""WITH {c._EDGES}, n AS (SELECT *, {c._poisson_sql('u', 0.5)} AS k FROM (SELECT *, {_q('=4', '=m', *_KEY)} AS u FROM edges)),
+x AS (SELECT *, unnest(range(1, k + 1)) AS i FROM n), m AS (SELECT gen, chr, child AS node, concat_ws(':', gen, chr, parent, child, i) AS hit, "left" + floor({_q('=4', '=p', *_KEY, 'i')} * ("right" - "left"))::BIGINT AS bp FROM x),
+{_descent_sql('m', 'hit, ')} SELECT chr, node, count(*) AS hits FROM h7 WHERE node IN (SELECT p_partkey FROM part) GROUP BY chr, node""",
+)
+
+
 def branch_carriers(s: SparkSession, d: str) -> DataFrame:
     """A branch for each supplier's site, and the nodes below it that carry the site."""
     e = state.written_by(views.edges(s, d), "edges", "gen")

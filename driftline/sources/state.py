@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is named, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of this machine only where it is all there is."""
     found = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("DRIFTLINE_SCRATCH")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         found = os.environ["DRIFTLINE_SCRATCH"] = tempfile.mkdtemp(prefix="spark-driftline-")
     return found
 

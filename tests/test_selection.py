@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import ancestry, gram, initial, ranges, selection
+from driftline.operators import ancestry, gram, initial, ld, ranges, selection
 from driftline.sources import archive, state
 
 
@@ -55,12 +55,39 @@ def test_tiles_blocks_and_block_signs(spark, monkeypatch):
             b = (e * ((r * mask * ~np.eye(11, dtype=bool)) @ e)).sum(0) / (np.diag(r) * a * a).sum()
             assert [got[scope, k].b for k in range(n_perm + 1)] == pytest.approx(b.tolist())
             assert [got[scope, k].dir for k in range(n_perm + 1)] == pytest.approx((e * p[:, None]).sum(0).tolist())
+    q = sum(25 / n * np.corrcoef(g[np.arange(n) % 2 == d].T) for d in (0, 1)) * ~np.eye(11, dtype=bool)
+    e = np.stack([selection.sign_row(j + 1, n_perm, 3) for j in range(11)]).astype("f8") * a[:, None]
+    x, y = e * (q @ e), np.clip(np.where(a > 0, p, 1 - p), 0.005, 0.995)
+    x /= x[:, 1:].std(axis=1, ddof=1, keepdims=True)
+    for point in selection.sign_flip_points(geno, sites, (), 100, n_perm, 3, correlation=True).where("scope = 'genome'").collect():
+        k = point.perm
+        assert point.b == pytest.approx((e * ((r * ~np.eye(11, dtype=bool)) @ e)).sum(0)[k] / (np.diag(r) * a * a).sum())
+        assert point.rho == pytest.approx(np.corrcoef(x[:, k], np.where(e[:, k] * a > 0, y, 1 - y))[0, 1])
     places = state.written(gram.numbered(sites), "places")
     made = gram.pairs(gram.products(gram.standardized(geno), places, state.written), places).collect()
     c = np.corrcoef(g.T)
     assert len(made) == 55 and all(x.r == pytest.approx(c[x.j - 1, x.k - 1]) for x in made)
 
 
+def test_windows_on_tiles(spark, monkeypatch):
+    """Covariances by deme and r2 of pairs in reach, with tiles that end inside chromosomes and windows."""
+    monkeypatch.setattr(gram, "TILE", 3)
+    monkeypatch.setattr(gram, "BLOCK", 5)
+    g, rows, geno, sites = population(spark, p=14, n=24, demes=3)
+    got = {(x.deme, x.j, x.k): x.cov for x in ld.covariances(geno, sites, 45, state.written).collect()}
+    want = {}
+    for d in range(3):
+        c = np.cov(g[np.arange(24) % 3 == d].T)
+        want |= {(d, j + 1, k + 1): c[j, k] for j in range(14) for k in range(14) if j != k and rows[j][1] == rows[k][1] and abs(rows[j][2] - rows[k][2]) <= 45}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    hap = geno.selectExpr("ind_id AS hap_id", "slot", "CAST(g > 0 AS INT) AS allele")
+    x = (g > 0).astype("f8")
+    p = spark.createDataFrame([(j + 1, rows[j][1], rows[j][2], float(x[:, j].mean())) for j in range(14)], "slot long, chr int, bp int, p double")
+    r2 = {(v.j, v.k): v.r2 for v in ld.haplotype_r2(hap, p, 45, state.written).collect()}
+    c = np.corrcoef(x.T) ** 2
+    assert r2.keys() == {(j, k) for d, j, k in want if d == 0 and j < k} and all(v == pytest.approx(c[j - 1, k - 1]) for (j, k), v in r2.items())
+
+
 def test_fewer_than_three_sites_give_no_rows(spark):
     _, _, geno, sites = population(spark)
     assert selection.sign_flip_points(geno, sites.where("slot <= 2"), (40.0,), 100, 5).count() == 0
