@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one is set only where none is, as in tests."""
+    """The shared folder the cluster names; a folder of this machine only where it is all there is."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = os.environ.get("DRIFTLINE_SCRATCH")
         if not found:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir names no folder that all machines share")
             found = os.environ["DRIFTLINE_SCRATCH"] = tempfile.mkdtemp(prefix="spark-driftline-")
     return found
 
