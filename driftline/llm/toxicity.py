@@ -26,7 +26,7 @@ FLOOR = 0.15
 NEIGHBOURS = 15
 #: Examples of a block, blocks that are summed up first, terms that are columns of the matrix, examples that are compared
 #: beside the nearest by exact sums, texts that are scored at once, and stretches of text whose terms a task remembers.
-BLOCK, FIRST, COLUMNS, SPARE, SLICE, REMEMBER = 32, 4, 512, 5, 256, 1_000_000
+BLOCK, FIRST, COLUMNS, SPARE, SLICE, REMEMBER = 32, 4, 512, 5, 256, 100_000
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 
@@ -286,8 +286,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, total = Terms(chosen), np.zeros(len(chosen), "i8")
         for batch in batches:
-            for text in batch.column("_text").to_pylist():
-                total[terms.counts(text)[0]] += 1
+            for at in range(0, batch.num_rows, SLICE):
+                for text in batch.column("_text").slice(at, SLICE).to_pylist():
+                    total[terms.counts(text)[0]] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
@@ -313,14 +314,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model, own = shared.value
         terms = Terms(model.terms)
         for batch in batches:
-            ids, counts = batch.column("_id").to_pylist(), [terms.counts(t) for t in batch.column("_text").to_pylist()]
-            out: list[float | None] = [None] * len(ids)
-            some = [k for k, (t, _) in enumerate(counts) if len(t) and model.ids]
-            for at in range(0, len(some), SLICE):
-                part = some[at : at + SLICE]
-                for k, (place, near) in zip(part, model.nearest([(counts[k][0], model.vector(*counts[k])) for k in part], but=[frozenset(own.get(ids[k], ())) for k in part]), strict=True):
-                    out[k] = model.vote(place, near) if len(place) else None
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column("_label")], names=["vote", "label"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids, counts = part.column("_id").to_pylist(), [terms.counts(t) for t in part.column("_text").to_pylist()]
+                out: list[float | None] = [None] * len(ids)
+                some = [k for k, (t, _) in enumerate(counts) if len(t) and model.ids]
+                if some:
+                    for k, (place, near) in zip(some, model.nearest([(counts[k][0], model.vector(*counts[k])) for k in some], but=[frozenset(own.get(ids[k], ())) for k in some]), strict=True):
+                        out[k] = model.vote(place, near) if len(place) else None
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), part.column("_label")], names=["vote", "label"])
 
     left_out = rows.join(F.broadcast(known.orderBy(*order).limit(CALIBRATED)), "_id").mapInArrow(votes, "vote double, label int").collect()
     near = sorted((r["vote"], r["label"]) for r in left_out if r["vote"] is not None)
