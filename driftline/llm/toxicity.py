@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from driftline.llm._tables import Scratch
 
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their id.
 MAX_EXAMPLES = 20_000
@@ -244,8 +247,51 @@ def relevance(term: str, leaning: dict[str, float]) -> float:
     return 1.0 if term in leaning else FLOOR
 
 
+def counted_terms(docs: DataFrame, terms: list[str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep of every row, with `_tx_terms` (numbers of the text's terms, ascending) and `_tx_counts`."""
+    keep = docs.columns if keep is None else keep
+    numbers = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_tx_terms", numbers), T.StructField("_tx_counts", numbers)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Terms(terms)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [own.counts(t or "") for t in part.column("_tx_text").to_pylist()]
+                ends = np.cumsum([0, *[len(t) for t, _ in found]]).astype("i4")
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[k] for f in found]).astype("i4"))) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *lists], names=schema.names)
+
+    return docs.select(*keep, F.col(text_col).alias("_tx_text")).mapInArrow(run, schema)
+
+
+def _frequencies(counted: DataFrame, n: int) -> np.ndarray:
+    """In how many rows of `counted_terms` each of n terms is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, "i8")
+        for batch in batches:
+            total += np.bincount(batch.column("_tx_terms").flatten().to_numpy(), minlength=n)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
+
+    df = np.zeros(n)
+    # bounded by the fitted rows' words
+    for r in counted.select("_tx_terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        df[r["term"]] = r["n"]
+    return df
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
-    """Fits the model on at most MAX_EXAMPLES labelled rows outside the held-out third.
+    """Fits the model; see `fit_counted`, which this is without the counted terms."""
+    return fit_counted(docs, labels, id_col, text_col, label_col, [])[0]
+
+
+def fit_counted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None) -> tuple[Index, DataFrame]:
+    """The model, and `counted_terms` of all rows, written: document frequencies and scores are both made from them.
+
+    The model is fitted on at most MAX_EXAMPLES labelled rows outside the held-out third.
 
     INDEXED of these rows are the examples: vectors over all their words and the beginnings that lean toxic, weighted by
     term frequency, inverse document frequency over all of `docs`, and relevance, which the fitted rows' labels give.
@@ -283,18 +329,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     made.sort(key=lambda r: (str(r["id"]), r["label"], r["terms"]))
     chosen = sorted({t for r in made for t in r["terms"]})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, total = Terms(chosen), np.zeros(len(chosen), "i8")
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                for text in batch.column("_text").slice(at, SLICE).to_pylist():
-                    total[terms.counts(text)[0]] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
-
-    n, df = docs.count(), np.zeros(len(chosen))
-    for r in rows.select("_text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
+    counted = Scratch(docs.sparkSession).write("terms", counted_terms(docs, chosen, text_col, keep))
+    n, df = counted.count(), _frequencies(counted, len(chosen))
     index = Index(chosen, (np.log((n + 1) / (df + 1)) + 1) * np.array([relevance(t, leaning) for t in chosen]))
     number = {t: i for i, t in enumerate(chosen)}
     vectors = []
@@ -328,7 +364,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     near = sorted((r["vote"], r["label"]) for r in left_out if r["vote"] is not None)
     plain = [r["label"] for r in left_out if r["vote"] is None]
     index.calibrate(np.array([v for v, _ in near]), np.array([y for _, y in near]), len(plain), sum(plain))
-    return index
+    return index, counted
+
+
+OUTPUTS = ("score", "predicted", "evidence")
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,27 +377,40 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     Rows are scored one by one, so ties and repeated rows get equal scores; an empty table stays empty. Input columns
     named like an output are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_EXAMPLES and their texts
-    kind = docs.schema[id_col].dataType
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("score", "predicted", "evidence")])
+    return score_counted(counted_terms(docs, index.terms, text_col, [c for c in docs.columns if c.lower() not in OUTPUTS]), index, docs.schema[id_col].dataType)
+
+
+def score_counted(counted: DataFrame, index: Index, kind: T.DataType) -> DataFrame:
+    """`score` for rows of `counted_terms`, of which the terms go; `kind` is that of the examples' ids."""
+    shared = counted.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_EXAMPLES and their texts
+    kept = [f for f in counted.schema.fields if f.name not in ("_tx_terms", "_tx_counts")]
     pair = T.StructType([T.StructField("example", kind), T.StructField("cosine", T.DoubleType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(pair))])
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(pair))])
+    id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        terms = Terms(model.terms)
+        arrow_pair = pa.list_(pa.struct([("example", id_type), ("cosine", pa.float64())]))
         for batch in batches:
-            arrow_pair = pa.list_(pa.struct([("example", batch.column(id_col).type), ("cosine", pa.float64())]))
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = model.score([terms.counts(t or "") for t in part.column(text_col).to_pylist()])
+                terms, counts = (part.column(c) for c in ("_tx_terms", "_tx_counts"))
+                ends = np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy())])
+                flat = [c.flatten().to_numpy().astype("i8") for c in (terms, counts)]
+                found = model.score([(flat[0][a:b], flat[1][a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
                 scores = np.array([s for s, _ in found])
                 evidence = pa.array([[{"example": i, "cosine": c} for i, c in e] for _, e in found], arrow_pair)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype("i4")), evidence], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(scores), pa.array((scores >= THRESHOLD).astype("i4")), evidence], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return counted.mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fits on `labels` and scores all rows of `docs`; see `fit` and `score`. Without labels every score is 0.01."""
-    return score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Fits on `labels` and scores all rows of `docs`; see `fit_counted` and `score`. Without labels every score is 0.01.
+
+    Terms of a text are counted once, in one pass whose result is written; `keep` names the columns that come out, else
+    all do, the text included.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in OUTPUTS]
+    index, counted = fit_counted(docs, labels, id_col, text_col, keep=keep)
+    return score_counted(counted, index, docs.schema[id_col].dataType)
