@@ -467,13 +467,19 @@ def _cross_pairs(mixed: DataFrame, rep: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) of different components in groups of (gid, v, root, probe) that sizes and sketches leave room for.
 
     The members outside a group's largest component meet all members, as blocks of numbers; of a block with
-    more than k pairs to a member, each one takes its k nearest by their sketches. A row (null, gid) says that some had more. Members are dealt to
-    chunks of about CHUNK, fewer where sketches are large, and the chunks of a large group over SALTS tasks.
+    more than k pairs to a member, each one takes its k nearest by their sketches. A row (null, gid) says that some had more. A group of
+    at most CHUNK members comes together in one row, so that its sketches are dealt out once. Members of larger ones are
+    dealt to chunks of about CHUNK, fewer where sketches are large, and the chunks of a large group over SALTS tasks.
     """
     counts = mixed.groupBy("gid", "root").agg(F.count(F.lit(1)).alias("_c"))
     largest = counts.groupBy("gid").agg(F.max_by("root", F.struct("_c", "root")).alias("_largest"))
     full = mixed.join(largest, "gid").withColumn("outer", F.col("root") != F.col("_largest")).drop("_largest")
-    full = full.join(rep.select(F.col("class").alias("v"), "n", "sketch"), "v")
+    full = full.join(rep.select(F.col("class").alias("v"), "n", F.octet_length("sketch").alias("_bytes")), "v")
+    whole = full.groupBy("gid").agg(((F.count(F.lit(1)) <= CHUNK) & (F.sum("_bytes") <= CHUNK_BYTES)).alias("_whole"))
+    # sketches come in when it is known where their rows go
+    full, sketches = full.drop("_bytes").join(whole, "gid"), rep.select(F.col("class").alias("v"), "sketch")
+    small = full.where("_whole").drop("_whole").join(sketches, "v").groupBy("gid").agg(F.collect_list(F.struct("v", "root", "probe", "n", "sketch", "outer")).alias("m"))
+    full = full.where("not _whole").drop("_whole").join(sketches, "v")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum(F.octet_length("sketch")) / CHUNK_BYTES))
     sizes = full.groupBy("gid", "outer").agg(parts.alias("_k"))
     chunks = full.join(sizes, ["gid", "outer"]).withColumn("c", F.pmod(F.xxhash64("v"), F.col("_k"))).groupBy("gid", "outer", "c").agg(F.collect_list(F.struct("v", "root", "probe", "n", "sketch")).alias("m"))
@@ -482,25 +488,35 @@ def _cross_pairs(mixed: DataFrame, rep: DataFrame, k: int) -> DataFrame:
     right = chunks.join(salts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_salt"), "outer", F.col("c").alias("c2"), F.col("m").alias("m2"))
     blocks = left.join(right, ["gid", "_salt"]).where("not outer or c <= c2").select("gid", "m", "m2", "outer")
 
+    def meet(gid: int, x: pa.StructArray, y: pa.StructArray, outer: bool) -> Iterator[pa.RecordBatch]:
+        get = lambda t, c: t.field(c).to_numpy(zero_copy_only=False)
+        bits = distances(get(x, "n"), x.field("sketch").to_pylist(), get(y, "n"), y.field("sketch").to_pylist())
+        bits[(get(x, "root")[:, None] == get(y, "root")[None]) | ~(get(x, "probe")[:, None] | get(y, "probe")[None])] = FAR
+        near = bits < FAR
+        if near.sum() > k * sum(bits.shape):
+            near = nearest(bits, k)
+            if outer:
+                near |= nearest(bits.T, k).T
+        i, j = np.nonzero(near)
+        a, b = get(x, "v")[i], get(y, "v")[j]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        if near.sum() < (bits < FAR).sum():
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([gid], pa.int64())], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for gid, one, other, outer in zip(batch.column("gid").to_pylist(), batch.column("m"), batch.column("m2"), batch.column("outer").to_pylist(), strict=True):
-                x, y = one.values, other.values
-                get = lambda t, c: t.field(c).to_numpy(zero_copy_only=False)
-                bits = distances(get(x, "n"), x.field("sketch").to_pylist(), get(y, "n"), y.field("sketch").to_pylist())
-                bits[(get(x, "root")[:, None] == get(y, "root")[None]) | ~(get(x, "probe")[:, None] | get(y, "probe")[None])] = FAR
-                near = bits < FAR
-                if near.sum() > k * sum(bits.shape):
-                    near = nearest(bits, k)
-                    if outer:
-                        near |= nearest(bits.T, k).T
-                i, j = np.nonzero(near)
-                a, b = get(x, "v")[i], get(y, "v")[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-                if near.sum() < (bits < FAR).sum():
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([gid], pa.int64())], names=["a", "b"])
-
-    return blocks.mapInArrow(run, "a long, b long")
+                yield from meet(gid, one.values, other.values, outer)
+
+    def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for gid, one in zip(batch.column("gid").to_pylist(), batch.column("m"), strict=True):
+                outside = one.values.field("outer")
+                x = one.values.filter(outside)
+                yield from meet(gid, x, x, True)
+                yield from meet(gid, x, one.values.filter(pc.invert(outside)), False)
+
+    return small.mapInArrow(run_whole, "a long, b long").union(blocks.mapInArrow(run, "a long, b long"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, scratch: Scratch, name: str, id_col: str, text_col: str) -> DataFrame:

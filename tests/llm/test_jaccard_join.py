@@ -171,3 +171,32 @@ def test_rows_not_ids_go(spark):
     rows = [(3, text), (5, near), (5, far), (7, None), (7, None), (None, far.replace("q1 ", "r "))]
     left = j.drop_near_duplicates(frame(spark, rows)).select("doc_id", "text").collect()
     assert sorted(((r[0] or 0, r[1] or "") for r in left)) == sorted([(3, text), (7, ""), (7, ""), (0, rows[5][1])])
+
+
+def mixed_groups(spark, groups, members, width):
+    """Groups of two components, with random sketches: (gid, v, root, probe) and the classes."""
+    draw = np.random.default_rng(5)
+    rows = [(g, g * members + i, g * members + (0 if i < members // 2 else members // 2), i % 3 > 0) for g in range(groups) for i in range(members)]
+    rep = [(v, v, 500, draw.bytes(width)) for _, v, _, _ in rows]
+    return spark.createDataFrame(rows, "gid long, v long, root long, probe boolean"), spark.createDataFrame(rep, "class long, doc long, n long, sketch binary")
+
+
+def test_whole_groups_and_chunks_give_the_same_pairs(spark, monkeypatch):
+    mixed, rep = mixed_groups(spark, 6, 30, 32)
+    found = []
+    for chunk in (512, 8):
+        monkeypatch.setattr(j, "CHUNK", chunk)
+        found.append(sorted((r["a"], r["b"]) for r in j._cross_pairs(mixed, rep, 10**6).distinct().collect()))
+    assert found[0] == found[1] and len(found[0]) > 6 * 100
+
+
+def test_sketches_of_small_mixed_groups_are_dealt_out_once(spark):
+    """By class, to meet their rows, and by group; not once more on each side of a join of blocks."""
+    mixed, rep = mixed_groups(spark, 40, 60, 4096)
+    folder = spark.conf.get("spark.checkpoint.dir") + "/groups"
+    mixed.write.parquet(f"{folder}/mixed")
+    rep.write.parquet(f"{folder}/rep")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    j._cross_pairs(spark.read.parquet(f"{folder}/mixed"), spark.read.parquet(f"{folder}/rep"), 1).write.format("noop").mode("overwrite").save()
+    assert written() - before < 2.5 * 40 * 60 * 4096
