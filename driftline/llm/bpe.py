@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 
 #: Documents that a task holds as Python objects at once.
 SLICE = 256
-#: Remembered chunks of text; a task that has more forgets those not in its last slice.
-REMEMBER = 1_000_000
+#: Remembered chunks of text: a task that has more begins anew, and looks once more at as many older ones.
+REMEMBER = 300_000
+#: Chunks that are encoded as one text: the library takes longer for each chunk of a long text.
+TOGETHER = 128
 
 
 def byte_characters() -> list[str]:
@@ -72,11 +74,12 @@ class Encoder:
         self.lengths = byte_table(spec).lengths
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes chunks that a cut precedes many at once, as one text, and cuts the ids by the chunks' bytes."""
-        for at in range(0, len(chunks), 8192):
-            part = chunks[at : at + 8192]
+        for at in range(0, len(chunks), TOGETHER):
+            part = chunks[at : at + TOGETHER]
             joined = " " + " ".join(part)
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             sizes = np.fromiter(map(len, part), "i8", len(part)) if joined.isascii() else np.fromiter((len(c.encode()) for c in part), "i8", len(part))
@@ -86,8 +89,9 @@ class Encoder:
                 self.later[chunk] = raw[start:end]
                 start = end
 
-    def _learn_first(self, chunks: list[str]) -> None:
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
+    def _learn_first(self, chunks: set[str]) -> None:
+        new = [*chunks.difference(self.first)]
+        for chunk, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.first[chunk] = np.array(got.ids, "<u4").tobytes()
 
     @staticmethod
@@ -106,22 +110,30 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.later) > REMEMBER:
+            self.later, self.older = {}, self.later
+        if len(self.first) > REMEMBER:
+            self.first.clear()
         cut = [t.split(" ") for t in texts]
-        seen = set(chain.from_iterable(cut))
-        odd = {c for c in seen.difference(self.later) if not self._whole(c)}
+        ids, odd = self._known(cut)
         if odd:
             cut = [chunks if odd.isdisjoint(chunks) else self._joined(chunks) for chunks in cut]
-            seen = set(chain.from_iterable(c[1:] for c in cut))
-        if len(self.later) > REMEMBER:  # what this slice has not is forgotten
-            self.later = {c: self.later[c] for c in seen if c in self.later}
-        if len(self.first) > REMEMBER:
-            self.first.clear()
-        heads = [c.pop(0) for c in cut]
-        self._learn_first([*set(heads).difference(self.first)])
-        # a text's first chunk is learned for later places too: that is cheaper than to look where else it is
-        self._learn([*seen.difference(self.later)])
-        later = self.later
-        return [self.first[h] + b"".join([later[x] for x in c]) for h, c in zip(heads, cut, strict=True)]
+            ids, _ = self._known([chunks[1:] for chunks in cut])
+        self._learn_first({chunks[0] for chunks in cut})
+        # without odd ones a text's first chunk is learned for later places too: that is cheaper than to look where else it is
+        new = [c for c, found in ids.items() if found is None]
+        self._learn(new)
+        ids.update((c, self.later[c]) for c in new)
+        return [self.first[c[0]] + b"".join(map(ids.__getitem__, c[1:])) for c in cut]
+
+    def _known(self, cut: list[list[str]]) -> tuple[dict[str, bytes | None], set[str]]:
+        """What is remembered of each chunk, or None; of those without, the ones that a cut touches other white space at."""
+        seen = set(chain.from_iterable(cut))
+        ids = dict(zip(seen, map(self.later.get, seen), strict=True))
+        for c in [c for c, found in ids.items() if found is None]:
+            if (found := self.older.get(c)) is not None:
+                ids[c] = self.later[c] = found
+        return ids, {c for c, found in ids.items() if found is None and not self._whole(c)}
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -136,6 +148,11 @@ def encoder(spec: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Lets go of this process's encoder: tasks of other operators, in a worker that is used again, need its memory."""
+    _ENCODERS.clear()
+
+
 class ByteTable:
     """The bytes of each id, by the vocabulary's byte characters."""
 

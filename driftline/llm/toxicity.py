@@ -9,11 +9,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from driftline.llm import bpe
 from driftline.llm._tables import Scratch
 
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their id.
@@ -221,6 +223,7 @@ def _leaning(examples: DataFrame) -> dict[str, float]:
 
     def terms(wanted: set[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bpe.forget()
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     seen: Counter = Counter()
@@ -236,8 +239,9 @@ def _leaning(examples: DataFrame) -> dict[str, float]:
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     counted = lambda label, wanted: examples.where(F.col("_label") == label).select("_text").mapInArrow(terms(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     # bounded by the fitted rows
-    in_toxic = {r["term"]: r["n"] for r in counted(1, None).where(F.col("n") >= min(MIN_TOXIC, max(1, toxic // 3))).collect()}
-    in_clean = {r["term"]: r["n"] for r in counted(0, set(in_toxic)).collect()} if in_toxic else {}
+    numbers = lambda rows: dict(zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True))
+    in_toxic = numbers(counted(1, None).where(F.col("n") >= min(MIN_TOXIC, max(1, toxic // 3))))
+    in_clean = numbers(counted(0, set(in_toxic))) if in_toxic else {}
     odds = {t: float(np.log((n + 0.5) / (toxic + 1)) - np.log((in_clean.get(t, 0) + 0.5) / (clean + 1))) for t, n in in_toxic.items()}
     return {t: o for t, o in odds.items() if o >= MIN_LOG_ODDS}
 
@@ -251,19 +255,21 @@ def counted_terms(docs: DataFrame, terms: list[str], text_col: str = "text", kee
     """The columns to keep of every row, with `_tx_terms` (numbers of the text's terms, ascending) and `_tx_counts`."""
     keep = docs.columns if keep is None else keep
     numbers = T.ArrayType(T.IntegerType())
+    read = text_col if text_col in keep else "_tx_text"  # a text that is kept travels once
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_tx_terms", numbers), T.StructField("_tx_counts", numbers)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         own = Terms(terms)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = [own.counts(t or "") for t in part.column("_tx_text").to_pylist()]
+                found = [own.counts(t or "") for t in part.column(read).to_pylist()]
                 ends = np.cumsum([0, *[len(t) for t, _ in found]]).astype("i4")
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[k] for f in found]).astype("i4"))) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *lists], names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("_tx_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if read == text_col else [F.col(text_col).alias(read)])).mapInArrow(run, schema)
 
 
 def _frequencies(counted: DataFrame, n: int) -> np.ndarray:
@@ -278,8 +284,8 @@ def _frequencies(counted: DataFrame, n: int) -> np.ndarray:
 
     df = np.zeros(n)
     # bounded by the fitted rows' words
-    for r in counted.select("_tx_terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
+    found = counted.select("_tx_terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
     return df
 
 
@@ -325,21 +331,25 @@ def fit_counted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array(lists[0], pa.list_(pa.string())), pa.array(lists[1], pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = indexed.mapInArrow(words, f"id {kind}, label int, terms array<string>, counts array<int>").collect()
-    made.sort(key=lambda r: (str(r["id"]), r["label"], r["terms"]))
-    chosen = sorted({t for r in made for t in r["terms"]})
+    made = indexed.mapInArrow(words, f"id {kind}, label int, terms array<string>, counts array<int>").toArrow()
+    # in columns: rows of Python objects would be most of the driver's memory
+    made = made.combine_chunks()
+    ends = np.cumsum([0, *pc.list_value_length(made["terms"]).to_pylist()])
+    flat, flat_counts = (pc.list_flatten(made[c]).combine_chunks() for c in ("terms", "counts"))
+    chosen = sorted(flat.unique().to_pylist())
 
     counted = Scratch(docs.sparkSession).write("terms", counted_terms(docs, chosen, text_col, keep))
-    n, df = counted.count(), _frequencies(counted, len(chosen))
-    index = Index(chosen, (np.log((n + 1) / (df + 1)) + 1) * np.array([relevance(t, leaning) for t in chosen]))
-    number = {t: i for i, t in enumerate(chosen)}
-    vectors = []
-    for r in made:
-        if r["terms"]:
-            t = np.array([number[x] for x in r["terms"]], "i8")
-            up = np.argsort(t)
-            vectors.append((r["id"], r["label"], t[up], index.vector(t[up], np.array(r["counts"], "i8")[up])))
-    index.build(vectors)
+    rows_n, df = counted.count(), _frequencies(counted, len(chosen))
+    index = Index(chosen, (np.log((rows_n + 1) / (df + 1)) + 1) * np.array([relevance(t, leaning) for t in chosen]))
+    own, numbers, n = [], pc.index_in(flat, pa.array(chosen, pa.string())).to_numpy(), flat_counts.to_numpy()
+    for i, label, a, b in zip(made["id"].to_pylist(), made["label"].to_pylist(), ends[:-1], ends[1:], strict=True):
+        if a < b:
+            up = np.argsort(numbers[a:b])
+            own.append((i, label, numbers[a:b][up], n[a:b][up]))
+    del made, flat, flat_counts, numbers
+    own.sort(key=lambda e: (str(e[0]), e[1], e[2].tobytes(), e[3].tobytes()))
+    index.build([(i, label, t, index.vector(t, n)) for i, label, t, n in own])
+    del own
 
     places: dict[object, set[int]] = {}
     for p, i in enumerate(index.ids):
@@ -347,6 +357,7 @@ def fit_counted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast((index, places))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         model, own = shared.value
         terms = Terms(model.terms)
         for batch in batches:
@@ -389,6 +400,7 @@ def score_counted(counted: DataFrame, index: Index, kind: T.DataType) -> DataFra
     id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         model = shared.value
         arrow_pair = pa.list_(pa.struct([("example", id_type), ("cosine", pa.float64())]))
         for batch in batches:

@@ -166,3 +166,19 @@ def test_dominated_fillings():
     assert packing.dominated(1 << 5, [(4, 1)], 1) and not packing.dominated(1 << 6, [(4, 1)], 1)
     assert packing.dominated(1 << 8, [(4, 2)], 0) and not packing.dominated(1 << 4, [(4, 1)], 0)
     assert packing.dominated(1 << 1, [], 1) and not packing.dominated(1 << 2, [], 1)
+
+
+def test_encoder_remembers_the_chunks_of_the_last_two_generations(monkeypatch):
+    """What is remembered is bounded, and a chunk that is still in use is not encoded again when a task begins anew."""
+    monkeypatch.setattr(bpe, "REMEMBER", 50)
+    path = P.path("byte_bpe_50k.json")
+    own, library, asked = bpe.Encoder(bpe.from_file(path)), Tokenizer.from_file(path), []
+    library.encode_special_tokens = True
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda chunks: (asked.extend(chunks), learn(chunks)))
+    for k in range(30):
+        texts = [f"x common {k}a naïve{k} word{k}, and{k}", " ".join(f"w{k}q{i}" for i in range(8)), *[t or "" for t in ODD[:12]]]
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(own.later) <= 50 + 40 and len(own.older) <= 50 + 40
+    assert asked.count("common") == 1

@@ -197,3 +197,15 @@ def test_contents_that_are_no_texts(spark):
     assert turns[0] == ("user", "5") and turns[2] == ("assistant", "") and json.loads(turns[1][1]) == record["messages"][1]["content"]
     assert got[2] is None and got[3] is None
     assert chat_format.records_of_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_batches_of_texts_are_bounded_unless_the_session_says_otherwise(spark):
+    from driftline.llm import _tables
+
+    own = spark.newSession()
+    _tables.ship(own)
+    seen = own.range(5000, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").toArrow()["n"].to_pylist()
+    assert sum(seen) == 5000 and max(seen) == _tables.BATCH_ROWS
+    own.conf.set(_tables.RECORDS, "3000")
+    _tables.ship(own)
+    assert own.conf.get(_tables.RECORDS) == "3000"

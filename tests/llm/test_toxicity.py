@@ -87,3 +87,33 @@ def test_nulls_empty_long_and_repeated_rows(spark, labelled):
     assert by[None]["predicted"] == by[100]["predicted"] == by[101]["predicted"] == 0
     assert len({r["score"] for r in out if r["text"] == good}) == 1
     assert x.toxicity(docs.limit(0), labels).count() == 0
+
+
+class Columns:
+    """Stands for a table: notes the columns that are selected, and gives out the function that batches go through."""
+
+    def __init__(self, schema):
+        self.schema, self.columns = schema, schema.names
+
+    def select(self, *columns):
+        self.selected = columns
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_counting_lets_go_of_the_encoder_and_sends_a_kept_text_once(spark):
+    """A worker that packed before has an encoder's memory, and a text that is kept has no second column."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from driftline.llm import bpe
+
+    docs = Columns(T._parse_datatype_string("doc_id long, text string"))
+    run = x.counted_terms(docs, ["a", "b"])
+    assert docs.selected == ("doc_id", "text")
+    bpe._ENCODERS[0] = "an encoder"
+    out = next(run(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["b a b", None]})])))
+    assert bpe._ENCODERS == {}
+    assert out.to_pydict() == {"doc_id": [1, 2], "text": ["b a b", None], "_tx_terms": [[0, 1], []], "_tx_counts": [[1, 2], []]}
