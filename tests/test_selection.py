@@ -1,10 +1,14 @@
 """Scoped tests under sign flips against numpy, placement and draws."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401
+from driftline import registry
 from driftline.operators import ancestry, gram, initial, ld, ranges, selection
+from driftline.plans import populations
 from driftline.sources import archive, state
 
 
@@ -158,3 +162,23 @@ def test_ranges_carry_sums_and_next_values_over_groups(spark):
         assert sums[i] == sum(v or 0 for h, j, v in data if h == g and j <= i)
         assert following[i] == next((v for h, j, v in data if h == g and j >= i and v is not None), None)
     assert ranges.next_known(rows.limit(0), ["g"], ["i"], "v", "n").count() == 0
+
+
+@pytest.mark.parametrize("positions", [70, 30])
+def test_placement_and_first_slots_are_their_sql_where_rounds_leave_sites_over(spark, monkeypatch, positions):
+    """Many sites a position, and more sites than positions: the queries end after the rounds of their SQL."""
+    before = populations._place_sql()
+    monkeypatch.setattr(populations, "PLACED_LEN", positions)
+    now = populations._place_sql()
+    sf = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    con = duckdb.connect()
+    for name in ("part", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
+    for name in ("placed_sites",):
+        got = registry.QUERIES[name](spark, sf)
+        want = con.execute(registry.SQL[name].replace(before, now))
+        columns = [c[0] for c in want.description]
+        want = want.fetchall()
+        assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in columns)) for r in got.collect())
+        assert len(want) < parts
