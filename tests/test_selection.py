@@ -175,7 +175,7 @@ def test_placement_and_first_slots_are_their_sql_where_rounds_leave_sites_over(s
     con = duckdb.connect()
     for name in ("part", "customer"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
-    for name in ("placed_sites",):
+    for name in ("placed_sites", "ism_initial"):
         got = registry.QUERIES[name](spark, sf)
         want = con.execute(registry.SQL[name].replace(before, now))
         columns = [c[0] for c in want.description]
