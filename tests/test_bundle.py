@@ -1,10 +1,14 @@
 """PLINK bundles: files that are read back, and files that are wrong."""
 
 import random
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401
+from driftline import registry
 from driftline.sources import bundle, plink_format, state, whole_file
 
 
@@ -143,3 +147,43 @@ def test_both_copies_of_two_and_one_of_one(spark):
     cells = spark.createDataFrame([(0, 0, 2), (0, 1, 1), (0, 2, 1)], "row long, col long, g int")
     got = sorted(tuple(r) for r in bundle.phased(cells, F.col("col") / 2.5).collect())
     assert got == [(0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 2, 1)]
+
+
+@pytest.mark.parametrize("frame", [40, 1 << 20])
+def test_frames_are_the_same_file_and_give_the_same_cells(spark, tmp_path, monkeypatch, frame):
+    """Sizes of frames of one byte and more, sites without copies, missing calls, and a path that only Spark opens."""
+    monkeypatch.setattr(plink_format, "FRAME_BYTES", frame)
+    monkeypatch.setattr(plink_format, "EXPANDED_BYTES", 3 * frame)
+    rng = random.Random(5)
+    people, sites = 1003, 37
+    cells = [(r, k, rng.choice([1, 2, -1])) for r in range(sites) if r % 5 for k in range(people) if rng.random() < (0.9 if r == 7 else 0.01 * r)]
+    frame_of = spark.createDataFrame(cells, "row long, col long, g int").repartition(5)
+    plink_format.write_bed(frame_of, sites, people, str(tmp_path / "a.bed"))
+    plink_format.write_frames(frame_of, sites, people, str(tmp_path / "b.bed.zst"), state.written)
+    plain = (tmp_path / "a.bed").read_bytes()
+    with pa.CompressedInputStream(pa.OSFile(str(tmp_path / "b.bed.zst")), "zstd") as whole:
+        assert whole.read() == plain
+    assert len(plain) == 3 + sites * 251
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.store{frame}.link./frames", f"file://{tmp_path}")
+    for path in (str(tmp_path / "a"), str(tmp_path / "b"), f"viewfs://store{frame}/frames/b"):
+        assert sorted(tuple(r) for r in plink_format.read_genotypes(spark, path, people, "keep").collect()) == sorted(cells)
+    with pytest.raises(Exception, match="missing call"):
+        plink_format.read_genotypes(spark, str(tmp_path / "b"), people).collect()
+    with pytest.raises(Exception, match="no whole sites"):
+        plink_format.read_genotypes(spark, str(tmp_path / "b"), people + 5).collect()
+    (tmp_path / "b.bed.zst").write_bytes((tmp_path / "b.bed.zst").read_bytes()[:-1])
+    with pytest.raises(Exception, match="no frames"):
+        plink_format.read_genotypes(spark, str(tmp_path / "b"), people).collect()
+
+
+def test_bundles_of_queries_do_not_grow_with_individuals_times_sites(spark, tmp_path, monkeypatch):
+    """The files of a bundle in which hardly anyone has copies are far below its two bits a cell."""
+    made = []
+    monkeypatch.setattr(state, "new_folder", lambda s, name: made.append(str(tmp_path / f"{len(made)}" / name)) or made[-1])
+    for name, n in (("customer", 4000), ("part", 3000)):
+        spark.range(n).selectExpr(f"id AS {name[0]}_{name}key".replace("customer", "cust"), *(["CAST(id % 25 AS INT) AS c_nationkey"] if name == "customer" else [])).write.parquet(str(tmp_path / f"in/{name}.parquet"))
+    spark.range(500).selectExpr("id AS o_orderkey", "id * 7 AS o_custkey").write.parquet(str(tmp_path / "in/orders.parquet"))
+    spark.range(1000).selectExpr("id % 500 AS l_orderkey", "id * 3 AS l_partkey").write.parquet(str(tmp_path / "in/lineitem.parquet"))
+    assert registry.QUERIES["plink_bundle"](spark, str(tmp_path / "in")).agg(F.sum("copies")).first()[0] == 1000
+    (path,) = [p for p in made if p.endswith("/bundle")]
+    assert sum(f.stat().st_size for f in Path(path).parent.iterdir() if ".bed" in f.name) < 4000 * 3000 / 4 / 20
