@@ -132,3 +132,29 @@ def test_edges_of_all_lengths_cover_their_places(spark):
     want = sorted((s, a, b) for s, _, p in sites for _, a, b in edges if a <= p < b)
     assert sorted((r.site, r.left, r.right) for r in got.collect()) == want
     assert ancestry.covering_edges(spark.createDataFrame(sites, "site int, chr int, bp long"), spark.createDataFrame([], "chr int, left long, right long")).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_large_trees_lose_their_lowest_nodes_and_keep_their_sums(spark, monkeypatch, seed):
+    """Samples within the tree too; no task gets a row for each tip, and trees above the limit are cut round by round."""
+    edges, time, _ = random_genealogy(seed, samples=14)
+    deme = {k: "ab"[k % 2] if k else "c" for k in range(14)} | {101: "b", 103: "c"}
+    frame = lambda rows, shape: spark.createDataFrame(rows, shape)
+    args = frame(edges, "chr int, left long, right long, parent long, child long"), frame(list(time.items()), "node long, time double"), frame(list(deme.items()), "node long, deme string")
+    sums = lambda: [tuple(r) for r in coalescence.coalescence_sums(*args, state.written).orderBy("chr", "stretch").collect()]
+    whole = sums()
+    for rows in (6, 1):
+        monkeypatch.setattr(coalescence, "TREE_ROWS", rows)
+        assert [pytest.approx(x) for x in sums()] == whole
+
+
+def test_tips_of_one_parent_come_to_a_tree_as_one_row(spark, monkeypatch):
+    seen = []
+    trees = coalescence._trees
+    monkeypatch.setattr(coalescence, "_trees", lambda cut, n: seen.append(cut.count()) or trees(cut, n))
+    edges = spark.range(1000).selectExpr("1 AS chr", "1L AS left", "9L AS right", "2000 + id % 2 AS parent", "id AS child").union(spark.createDataFrame([(1, 1, 9, 3000, 2000), (1, 1, 9, 3000, 2001)], "chr int, left long, right long, parent long, child long"))
+    nodes = spark.range(1000).selectExpr("id AS node", "0D AS time").union(spark.createDataFrame([(2000, 1.0), (2001, 2.0), (3000, 3.0)], "node long, time double"))
+    (got,) = coalescence.coalescence_sums(edges, nodes, spark.range(1000).selectExpr("id AS node", "id % 2 AS deme"), state.written).collect()
+    pairs = 500 * 499 / 2
+    assert (got.within_time, got.within_pairs, got.all_time, got.all_pairs) == (3 * pairs, 2 * pairs, 3 * pairs + 3 * 250000, 1000 * 999 / 2)
+    assert seen == [4]
