@@ -187,3 +187,13 @@ def test_bundles_of_queries_do_not_grow_with_individuals_times_sites(spark, tmp_
     assert registry.QUERIES["plink_bundle"](spark, str(tmp_path / "in")).agg(F.sum("copies")).first()[0] == 1000
     (path,) = [p for p in made if p.endswith("/bundle")]
     assert sum(f.stat().st_size for f in Path(path).parent.iterdir() if ".bed" in f.name) < 4000 * 3000 / 4 / 20
+
+
+def test_merged_panel_does_not_grow_with_individuals_times_sites(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(state, "new_folder", lambda s, name: made.append(str(tmp_path / f"{len(made)}" / name)) or made[-1])
+    spark.range(4000).selectExpr("id AS vec_id", "0 AS label", "CAST(array(IF(id < 3, 1, -1), -1) AS array<float>) AS embedding").write.parquet(str(tmp_path / "in/embeddings.parquet"))
+    spark.range(3000).selectExpr("id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "2D AS l_quantity").write.parquet(str(tmp_path / "in/lineitem.parquet"))
+    assert registry.QUERIES["merged_panel"](spark, str(tmp_path / "in")).agg(F.sum("copies")).first()[0] == 3003
+    (path,) = [p for p in made if p.endswith("/merged")]
+    assert sum(f.stat().st_size for f in Path(path).parent.iterdir() if ".bed" in f.name) < 2000 * 3000 / 4 / 20
